@@ -68,7 +68,11 @@ def grounding(n_cited: Column) -> Column:
 
 def validate(answer: Column, n_sources: Column) -> Column:
     """Struct is_valid, issues, citation_count, fact_count, coverage, clustered, invalid."""
-    all_marks, used = marks(answer), cited_numbers(answer)
+    return T.let(marks(answer), lambda m: _validate(answer, n_sources, m))
+
+
+def _validate(answer: Column, n_sources: Column, all_marks: Column) -> Column:
+    used = F.array_distinct(all_marks)
     invalid = F.filter(used, lambda n: (n > n_sources) | (n < 1))
     sentences = F.filter(F.split(answer, "[.!?]+", -1), lambda s: T.trim_ws(s) != "")
     facts = F.filter(sentences, lambda s: s.rlike(_FACT))
@@ -116,7 +120,11 @@ def key_figure_lines(query: Column) -> Column:
 
 def quality_score(query: Column, answer: Column, n_sources: Column) -> Column:
     """Struct score (0-100), citation_quality (40), key_figures (30), completeness (30), feedback."""
-    checked, figures = validate(answer, n_sources), key_figures(query, answer)
+    both = F.struct(validate(answer, n_sources).alias("checked"), key_figures(query, answer).alias("figures"))
+    return T.let(both, lambda b: _score(answer, b["checked"], b["figures"]))
+
+
+def _score(answer: Column, checked: Column, figures: Column) -> Column:
     citation = F.lit(40) - F.when(checked["clustered"], 15).otherwise(0) \
         - F.when(F.size(checked["invalid"]) > 0, 10).otherwise(0) - F.when(checked["coverage"] < 0.5, 15).otherwise(0)
     n_present, n_missing = F.size(figures["present"]), F.size(figures["missing"])
