@@ -73,25 +73,33 @@ def validate(answer: Column, n_sources: Column) -> Column:
 
 def _validate(answer: Column, n_sources: Column, all_marks: Column) -> Column:
     used = F.array_distinct(all_marks)
-    invalid = F.filter(used, lambda n: (n > n_sources) | (n < 1))
     sentences = F.filter(F.split(answer, "[.!?]+", -1), lambda s: T.trim_ws(s) != "")
-    facts = F.filter(sentences, lambda s: s.rlike(_FACT))
-    n_facts = F.greatest(F.size(facts), F.lit(1))
-    clustered = F.exists(F.split(answer, "\n\n+", -1), lambda p: p.rlike(r"(\[\d+\]){2,}[\s ]*\z"))
-    # the transition test sees the untrimmed sentence, so it only spares text starting the answer
-    bare = F.filter(facts, lambda s: ~s.contains("[") & ~s.rlike("(?i)" + vocab.TRANSITION_PATTERN))
-    issues = F.concat(
-        F.transform(invalid, lambda n: F.concat(F.lit("Invalid citation ["), n.cast("string"), F.lit("] - only "), n_sources.cast("string"), F.lit(" sources available"))),
-        F.when(clustered, F.array(F.lit("Citations clustered at paragraph end (should be inline)"))).otherwise(F.array().cast("array<string>")),
-        F.transform(bare, lambda s: F.concat(F.lit('Potentially uncited fact: "'), F.substring(T.trim_ws(s), 1, 50), F.lit('..."'))),
-    )
-    coverage = F.least(F.size(all_marks) / n_facts, F.lit(1.0))
-    return F.struct(
-        ((F.size(issues) == 0) & (coverage >= 0.5)).alias("is_valid"), issues.alias("issues"),
-        F.size(all_marks).alias("citation_count"), n_facts.alias("fact_count"), coverage.alias("coverage"),
-        clustered.alias("clustered"), invalid.alias("invalid"),
+    found = F.struct(
+        F.filter(used, lambda n: (n > n_sources) | (n < 1)).alias("invalid"),
+        F.filter(sentences, lambda s: s.rlike(_FACT)).alias("facts"),
+        F.exists(F.split(answer, "\n\n+", -1), lambda p: p.rlike(r"(\[\d+\]){2,}[\s\u00a0]*\z")).alias("clustered"),
     )
 
+    def with_issues(f):
+        # the transition test sees the untrimmed sentence, so it only spares text starting the answer
+        bare = F.filter(f["facts"], lambda s: ~s.contains("[") & ~s.rlike("(?i)" + vocab.TRANSITION_PATTERN))
+        issues = F.concat(
+            F.transform(f["invalid"], lambda n: F.concat(F.lit("Invalid citation ["), n.cast("string"), F.lit("] - only "), n_sources.cast("string"), F.lit(" sources available"))),
+            F.when(f["clustered"], F.array(F.lit("Citations clustered at paragraph end (should be inline)"))).otherwise(F.array().cast("array<string>")),
+            F.transform(bare, lambda s: F.concat(F.lit('Potentially uncited fact: "'), F.substring(T.trim_ws(s), 1, 50), F.lit('..."'))),
+        )
+        return F.struct(f["invalid"].alias("invalid"), f["clustered"].alias("clustered"), F.greatest(F.size(f["facts"]), F.lit(1)).alias("fact_count"), issues.alias("issues"))
+
+    def result(g):
+        coverage = F.least(F.size(all_marks) / g["fact_count"], F.lit(1.0))
+        return F.struct(
+            ((F.size(g["issues"]) == 0) & (coverage >= 0.5)).alias("is_valid"), g["issues"].alias("issues"),
+            F.size(all_marks).alias("citation_count"), g["fact_count"].alias("fact_count"), coverage.alias("coverage"),
+            g["clustered"].alias("clustered"), g["invalid"].alias("invalid"),
+        )
+
+    return T.let(found, lambda f: T.let(with_issues(f), result))
+
 
 def _per_topic(query: Column, build) -> list[Column]:
     """``build(topic row)`` where the query is about the topic, an empty array elsewhere."""

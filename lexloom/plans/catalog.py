@@ -1,5 +1,5 @@
 """All catalogue queries."""
-from lexloom.plans import citation_catalog, query_catalog  # noqa: F401
+from lexloom.plans import citation_catalog, query_catalog, search_catalog  # noqa: F401
 from lexloom.plans.common import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "hybrid_rrf"
