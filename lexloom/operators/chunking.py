@@ -150,9 +150,8 @@ def pages_of_groups(pages: DataFrame, document: str, page: str, tokens: str, max
     while True:
         reached = used.join(jump, [document, "__from"]).select(document, F.col("__to").alias("__from"))
         grown = checkpoint(used.unionByName(reached).distinct(), "page-starts")
-        doubled = jump.alias("a").join(jump.withColumnRenamed("__from", "__mid").withColumnRenamed("__to", "__end"),
-                                       (F.col(f"a.{document}") == F.col(document)) & (F.col("a.__to") == F.col("__mid"))) \
-            .select(F.col(f"a.{document}").alias(document), F.col("a.__from").alias("__from"), F.col("__end").alias("__to"))
+        onward = jump.select(document, F.col("__from").alias("__to"), F.col("__to").alias("__end"))
+        doubled = jump.join(onward, [document, "__to"]).select(document, "__from", F.col("__end").alias("__to"))
         if reached.join(used, [document, "__from"], "left_anti").isEmpty():
             break
         used, jump = grown, checkpoint(doubled, "page-jumps")
