@@ -279,4 +279,4 @@ def answer_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keyword recall, answer rate and mean time. rows: accuracy, answer, duration, confidence."""
     return rows.groupBy(*keys).agg(
         F.avg("accuracy").alias("keyword_recall"), F.avg(answered(F.col("answer")).cast("int")).alias("answer_rate"), F.avg("duration").alias("avg_time"),
-        F.avg((F.col("confidence") == "high").cast("int")).alias("high_confidence_share"), F.avg((F.col("accuracy") > 0).cast("int")).alias("keyword_match_rate"))
+        F.avg((F.col("confidence") == "high").cast("int")).alias("high_confidence_share"))
