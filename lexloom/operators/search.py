@@ -252,16 +252,18 @@ def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text") -
     return t.select("query_id", F.size("__t").cast("bigint").alias("n_terms"), F.explode("__t").alias("term"))
 
 
-def keyword_topk(terms: DataFrame, corpus: DataFrame, k: int, match: str = "or", cid: str = "chunk_id", text: str = "text",
-                 k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top k by BM25 per query; ``match="and"`` keeps chunks holding every term of the query.
-
-    Tokens that no query asks for are dropped right after the split, before any shuffle, and
-    term counts and partial scores are combined before they move. A term in a third of all
-    chunks therefore costs one row per chunk, spread by chunk.
+def keyword_scores(terms: DataFrame, corpus: DataFrame, match: str = "or", cid: str = "chunk_id", text: str = "text",
+                   k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of every (query_id, chunk_id) that match, with n_hit terms found.
+
+    ``match="and"`` keeps chunks holding every term of the query. Tokens that no query asks
+    for are dropped right after the split, before any shuffle, and term counts and partial
+    scores are combined before they move. A term in a third of all chunks therefore costs
+    one row per chunk, spread by chunk.
     """
-    size = corpus.select(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avg_len"))
-    n, avg_len = size.select("n").scalar(), size.select("avg_len").scalar()
+    size = corpus.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avg_len")).alias("s"))
+    total = size.scalar()
+    n, avg_len = total["n"], total["avg_len"]
     asked = terms.select("term").distinct()
     words = corpus.select(F.col(cid).alias("chunk_id"), T.tokens(F.col(text)).alias("__w"))
     hits = (
@@ -278,7 +280,12 @@ def keyword_topk(terms: DataFrame, corpus: DataFrame, k: int, match: str = "or",
     )
     if match == "and":
         scored = scored.where(F.col("n_hit") == F.col("n_terms"))
-    return top_k(scored.drop("n_terms"), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+    return scored.drop("n_terms")
+
+
+def keyword_topk(terms: DataFrame, corpus: DataFrame, k: int, match: str = "or", **kw) -> DataFrame:
+    """The best k of ``keyword_scores`` per query."""
+    return top_k(keyword_scores(terms, corpus, match, **kw), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
 def matches_all(tokens: Column, terms: Column) -> Column:

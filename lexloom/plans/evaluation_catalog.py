@@ -209,7 +209,7 @@ def ndcg_at_k(spark, sf):
 
 
 # a benchmark text's relevant documents are those holding all its terms
-_TEXT_REL = kw_sql(1000000, "and", name="al")
+_TEXT_REL = kw_sql(None, "and", name="al")
 
 
 @query("topk_compare", f"""WITH {QV}, {DOCS}, {_TEXT_REL}, {kw_sql(20, 'or')},
@@ -220,7 +220,7 @@ FROM g GROUP BY ROLLUP (span)""")
 def topk_compare(spark, sf):
     qs, c = bench_queries(spark, sf), corpus(spark, sf)
     terms = S.query_terms(qs)
-    ranks = E.first_relevant_rank(S.keyword_topk(terms, c, 20, "or"), S.keyword_topk(terms, c, 1000000, "and"), qs)
+    ranks = E.first_relevant_rank(S.keyword_topk(terms, c, 20, "or"), S.keyword_scores(terms, c, "and"), qs)
     ranks = ranks.join(qs.select("query_id", F.floor(F.length("text") / 100).alias("span")), "query_id")
     return E.compare_depths(ranks, "span").withColumns({x: F.round(x, 6) for x in ("hit_small", "hit_large", "improvement")})
 
@@ -234,7 +234,7 @@ def rerank_compare(spark, sf):
     """Rank of relevant documents in the vector order against the keyword order."""
     qs, c = bench_queries(spark, sf), corpus(spark, sf)
     terms = S.query_terms(qs)
-    rel = S.keyword_topk(terms, c, 1000000, "and")
+    rel = S.keyword_scores(terms, c, "and")
     return E.compare_orders(E.first_relevant_rank(S.semantic_topk(qs, c, 50), rel, qs), E.first_relevant_rank(S.keyword_topk(terms, c, 50, "or"), rel, qs))
 
 

@@ -62,7 +62,7 @@ def kw_sql(k, match, queries="qv", docs="cv", name="kw", terms=_TERMS):
 {name}_st AS (SELECT count(*) AS n, avg(len(w)) AS al FROM {name}_w),
 {name}_sc AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))), 6) AS score,
   count(*) AS n_hit, max(n_terms) AS n_terms FROM {name}_t JOIN {name}_tf USING (term) JOIN {name}_df USING (term), {name}_st GROUP BY 1, 2),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {name}_sc {keep}) WHERE rank <= {k})"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {name}_sc {keep}) {f"WHERE rank <= {k}" if k else ""})"""
 
 
 def fuse_sql(k, a="sem", b="kw", ws=1.0, wk=1.0, name="fused"):

@@ -19,6 +19,9 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # stream state on local disk with changelogs, not on the heap
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
