@@ -162,11 +162,13 @@ def search_terms(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of each token padded with two blanks before and one after."""
-    def of_word(w):
-        padded = F.concat(F.lit("  "), w, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(text)), of_word)))
+    """Distinct trigrams of each token padded with two blanks before and one after.
+
+    Tokens are set three blanks apart and every position is read with a look-ahead; the
+    windows across two tokens ("c  " and three blanks) do not match.
+    """
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?=(  \S| \S.|\S\S.))"), F.lit(1)))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

@@ -1,13 +1,24 @@
 """Choosing the documents worth searching for a question."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexloom import vocab
 from lexloom.functions import text as T
 from lexloom.operators.ordered import top_k
+from lexloom.session import checkpoint, fits
+
+try:
+    import ahocorasick
+except ImportError:  # the word join does the same work
+    ahocorasick = None
+
+# terms up to this number are searched by one scan of the texts
+MAX_SCAN_TERMS = 1_000_000
 
 # fixed values: points per kind of match
 NAME_POINTS, TEXT_POINTS = 10, 5
@@ -21,23 +32,54 @@ def _terms(question: Column) -> Column:
 
 
 def _term_hits(questions: DataFrame, documents: DataFrame, column: str, points: int) -> DataFrame:
-    """(owner, query_id, document_id, score) for question terms found inside a text column.
-
-    A term holds no blank, so it is in the text when it is in one of the blank-separated
-    words. Terms are matched against the distinct words of the corpus, over a shared
-    trigram (terms are at least three characters long); documents then join on whole words.
-    No question meets a document it shares no word with.
-    """
+    """(owner, query_id, document_id, score) for question terms found inside a text column."""
     asked = questions.select("owner", "query_id", F.explode(_terms(F.col("question"))).alias("term")) \
         .groupBy("owner", "query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    words = documents.select("owner", "document_id", F.explode(F.array_distinct(F.split(F.lower(F.col(column)), T.WS))).alias("word"))
+    terms = asked.select("term").distinct()
+    docs = documents.select("owner", "document_id", F.lower(F.col(column)).alias("low"))
+    found = _found_by_scan(docs, terms) if ahocorasick is not None and fits(terms, MAX_SCAN_TERMS) else _found_by_words(docs, terms)
+    return asked.join(found, ["owner", "term"]).groupBy("owner", "query_id", "document_id").agg((F.sum("times") * points).alias("score"))
+
+
+def _found_by_scan(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(owner, document_id, term): each text is read once against an automaton of all terms.
+
+    The terms, shown to be few, go to every task; documents are not shuffled.
+    """
+    listed = docs.sparkSession.sparkContext.broadcast(terms.toArrow()["term"].to_pylist())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "low") + ", term string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for term in listed.value:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for pdf in batches:
+            rows = [
+                (owner, doc, term)
+                for owner, doc, low in zip(pdf["owner"], pdf["document_id"], pdf["low"])
+                if low and len(automaton)
+                for term in {t for _, t in automaton.iter(low)}
+            ]
+            yield pd.DataFrame(rows, columns=["owner", "document_id", "term"])
+
+    return docs.mapInPandas(run, schema)
+
+
+def _found_by_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The same for any number of terms.
+
+    A term holds no blank, so it is in a text when it is in one of its blank-separated words.
+    Terms meet the distinct words of the corpus over a shared trigram (terms are at least
+    three characters long); documents then join on whole words.
+    """
+    words = docs.select("owner", "document_id", F.explode(F.array_distinct(F.split("low", T.WS))).alias("word"))
     vocabulary = words.select("word").where(F.length("word") > 2).distinct()
     grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))).alias("gram"))
-    keys = asked.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
+    keys = terms.withColumn("gram", F.substring("term", 1, 3))
     holds = grams.join(keys, "gram").where(F.col("word").contains(F.col("term"))).select("word", "term")
-    found = words.join(holds, "word").select("owner", "document_id", "term").distinct()
-    return asked.join(found, ["owner", "term"]).groupBy("owner", "query_id", "document_id").agg((F.sum("times") * points).alias("score"))
+    return words.join(holds, "word").select("owner", "document_id", "term").distinct()
 
 
 def _phrase_hits(questions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -79,14 +121,13 @@ def prefilter_documents(questions: DataFrame, documents: DataFrame, max_docs: in
     flags = documents.select("owner", "document_id", "pos", core.alias("__core"), regulation.alias("__reg"))
     # documents with points for their kind alone: of one kind only an owner's first can be chosen
     kinds = top_k(flags.where(F.col("__core") | F.col("__reg")), ["owner", "__core", "__reg"], [F.col("pos")], max_docs, "__n").drop("__n")
-    bonus = qs.join(kinds, "owner").select("owner", "query_id", "document_id", "pos", extra.alias("score")).where(F.col("score") > 0)
-    other = _term_hits(qs, documents, "name", NAME_POINTS).unionByName(_term_hits(qs, documents.where(F.col("description").isNotNull()), "description", TEXT_POINTS)) \
-        .unionByName(_phrase_hits(qs, documents)).groupBy("owner", "query_id", "document_id").agg(F.sum("score").alias("score"))
-    lifted = other.join(flags, ["owner", "document_id"]).join(qs.select("owner", "query_id", "__article"), ["owner", "query_id"])
-    lifted = lifted.select("owner", "query_id", "document_id", "pos", (F.col("score") + extra).alias("score"))
-    plain = bonus.join(lifted, ["owner", "query_id", "document_id"], "left_anti")
-    scored = lifted.unionByName(plain.select(*lifted.columns))
-    chosen = top_k(scored, ["query_id"], [F.col("score").desc(), F.col("pos")], max_docs)
+    zero = qs.join(kinds, "owner").select("owner", "query_id", "document_id", F.lit(0).cast("bigint").alias("score"))
+    points = _term_hits(qs, documents, "name", NAME_POINTS).unionByName(_term_hits(qs, documents.where(F.col("description").isNotNull()), "description", TEXT_POINTS)) \
+        .unionByName(_phrase_hits(qs, documents)).unionByName(zero).groupBy("owner", "query_id", "document_id").agg(F.sum("score").alias("score"))
+    scored = points.join(flags, ["owner", "document_id"]).join(qs.select("owner", "query_id", "__article"), ["owner", "query_id"]) \
+        .select("owner", "query_id", "document_id", "pos", (F.col("score") + extra).alias("score")).where(F.col("score") > 0)
+    # read four times below
+    chosen = checkpoint(top_k(scored, ["query_id"], [F.col("score").desc(), F.col("pos")], max_docs), "prefilter")
 
     have = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("__have"))
     counted = qs.join(have, "query_id", "left").withColumn("__have", F.coalesce("__have", F.lit(0)))

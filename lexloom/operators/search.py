@@ -10,15 +10,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions import scoring, text as T
 from lexloom.operators.ordered import top_k
-from lexloom.session import fits
+from lexloom.operators.rows import computed
+from lexloom.session import checkpoint, fits, small
 
 # a query matrix up to this many bytes is shipped to every executor; beyond it the search is blocked
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
+# query tables up to this size are matched by trigram in one scan of the corpus
+MAX_SCAN_QUERIES = 4096
 _SLICE = 1024
 
 
@@ -232,7 +236,7 @@ def ann_topk(queries: DataFrame, cells: DataFrame, model, k: int, n_probe: int,
 
 def postings(corpus: DataFrame, cid: str = "chunk_id", text: str = "text") -> DataFrame:
     """Inverted index rows (term, chunk_id, tf, doc_len)."""
-    words = corpus.select(F.col(cid).alias("chunk_id"), T.tokens(F.col(text)).alias("__w"))
+    words = computed(corpus.select(F.col(cid).alias("chunk_id"), F.col(text).alias("__x")), "__w", T.tokens(F.col("__x")))
     return (
         words.select("chunk_id", F.size("__w").cast("bigint").alias("doc_len"), F.explode("__w").alias("term"))
         .groupBy("term", "chunk_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
@@ -248,7 +252,7 @@ def write_postings(corpus: DataFrame, path: str, buckets: int = 256, salts: int
 
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, term, n_terms): distinct search terms of each query."""
-    t = queries.select(F.col(qid).alias("query_id"), T.search_terms(F.col(text)).alias("__t"))
+    t = computed(queries.select(F.col(qid).alias("query_id"), F.col(text).alias("__x")), "__t", T.search_terms(F.col("__x")))
     return t.select("query_id", F.size("__t").cast("bigint").alias("n_terms"), F.explode("__t").alias("term"))
 
 
@@ -261,21 +265,23 @@ def keyword_scores(terms: DataFrame, corpus: DataFrame, match: str = "or", cid:
     scores are combined before they move. A term in a third of all chunks therefore costs
     one row per chunk, spread by chunk.
     """
-    size = corpus.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avg_len")).alias("s"))
+    size = corpus.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.col(text), F.lit(T.WORD))).alias("avg_len")).alias("s"))
     total = size.scalar()
     n, avg_len = total["n"], total["avg_len"]
-    asked = terms.select("term").distinct()
-    words = corpus.select(F.col(cid).alias("chunk_id"), T.tokens(F.col(text)).alias("__w"))
+    asked = small(terms.select("term").distinct())
+    words = computed(corpus.select(F.col(cid).alias("chunk_id"), F.col(text).alias("__x")), "__w", T.tokens(F.col("__x")))
     hits = (
         words.select("chunk_id", F.size("__w").alias("doc_len"), F.explode("__w").alias("term"))
         .join(asked, "term", "left_semi")
         .groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
+    # used twice: the matching postings are kept, so the corpus is split into words once
+    hits = checkpoint(hits, "postings")
     spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = terms.join(spread, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
     scored = (
-        hits.join(weighted, "term").groupBy("query_id", "chunk_id")
+        hits.join(small(weighted), "term").groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("n_hit"), F.max("n_terms").alias("n_terms"))
     )
     if match == "and":
@@ -302,22 +308,68 @@ def trigram_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
     """Chunks whose trigram set is similar to the query's, best k.
 
     Set sizes alone rule out a pair when min/max is below the threshold, so chunks outside
-    the range of the query sizes never reach the join. Shared trigrams are counted before
-    they are shuffled: a task hands on one row per pair, not one per trigram.
+    the range of the query sizes are dropped first.
     """
-    q = queries.select(F.col(qid).alias("query_id"), T.trigrams(F.col(qtext)).alias("__q")).withColumn("__nq", F.size("__q"))
-    c = corpus.select(F.col(cid).alias("chunk_id"), T.trigrams(F.col(ctext)).alias("__c")).withColumn("__nc", F.size("__c"))
-    span = q.agg(F.min("__nq").alias("lo"), F.max("__nq").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    c = c.where((F.col("__nc") >= lo * threshold) & (F.col("__nc") * threshold <= hi))
+    q = computed(queries.select(F.col(qid).alias("query_id"), F.col(qtext).alias("__x")), "__q", T.trigrams(F.col("__x"))).withColumn("__nq", F.size("__q"))
+    c = computed(corpus.select(F.col(cid).alias("chunk_id"), F.col(ctext).alias("__x")), "__c", T.trigrams(F.col("__x"))).withColumn("__nc", F.size("__c"))
+    span = q.agg(F.struct(F.min("__nq").alias("lo"), F.max("__nq").alias("hi")).alias("s")).scalar()
+    c = c.where((F.col("__nc") >= span["lo"] * threshold) & (F.col("__nc") * threshold <= span["hi"]))
+    sim = _trigram_scan(q, c, threshold) if fits(q, MAX_SCAN_QUERIES) else None
+    if sim is None:
+        sim = _trigram_join(q, c, threshold)
+    return top_k(sim, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+
+
+def _trigram_join(q: DataFrame, c: DataFrame, threshold: float) -> DataFrame:
+    """Shared trigrams counted per pair before they are shuffled: one row per pair and task moves."""
     pairs = (
         c.select("chunk_id", "__nc", F.explode("__c").alias("__g"))
         .join(q.select("query_id", "__nq", F.explode("__q").alias("__g")), "__g")
         .where((F.col("__nc") >= F.col("__nq") * threshold) & (F.col("__nc") * threshold <= F.col("__nq")))
         .groupBy("query_id", "chunk_id", "__nq", "__nc").agg(F.count(F.lit(1)).alias("__both"))
     )
-    sim = pairs.select("query_id", "chunk_id", F.round(F.col("__both") / (F.col("__nq") + F.col("__nc") - F.col("__both")), 9).alias("score"))
-    return top_k(sim.where(F.col("score") >= threshold), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+    sim = F.round(F.col("__both") / (F.col("__nq") + F.col("__nc") - F.col("__both")), 9)
+    return pairs.select("query_id", "chunk_id", sim.alias("score")).where(F.col("score") >= threshold)
+
+
+def _trigram_scan(q: DataFrame, c: DataFrame, threshold: float) -> DataFrame | None:
+    """The same for a query table shown to be small: chunks stay where they are, and shared
+    trigrams of all pairs are one product of 0/1 matrices per batch. None when the query
+    matrix would be too large to ship."""
+    got = q.select("query_id", "__q").toArrow()
+    query_ids, sets = got["query_id"], got["__q"].combine_chunks()
+    grams = pc.unique(sets.flatten())
+    if len(sets) * len(grams) * 4 > 4 * BROADCAST_BYTES:
+        return None
+    table, step = _incidence(sets, grams), max(16, 2 ** 24 // max(1, len(grams)))
+    shipped = c.sparkSession.sparkContext.broadcast((query_ids.to_pylist(), grams, table, np.diff(sets.offsets.to_numpy())))
+    names = {"query_id": q.schema["query_id"].dataType, "chunk_id": c.schema["chunk_id"].dataType}
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in names.items()) + ", score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, grams, table, sizes = shipped.value
+        ids = np.array(ids)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                sets = batch["__c"]
+                both = _incidence(sets, grams) @ table.T
+                lengths = batch["__nc"].to_numpy()[:, None]
+                sims = np.round(both.astype(np.float64) / (lengths + sizes[None, :] - both), 9)
+                row, col = np.nonzero(sims >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[col].tolist()), batch["chunk_id"].take(pa.array(row)), pa.array(sims[row, col])], names=["query_id", "chunk_id", "score"])
+
+    return c.mapInArrow(run, schema)
+
+
+def _incidence(sets: pa.ListArray, values: pa.Array) -> np.ndarray:
+    """0/1 matrix of which value is in which set."""
+    out = np.zeros((len(sets), len(values)), dtype=np.float32)
+    rows = np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
+    cols = pc.index_in(sets.flatten(), value_set=values)
+    known = pc.is_valid(cols).to_numpy(zero_copy_only=False)
+    out[rows[known], cols.drop_null().to_numpy()] = 1.0
+    return out
 
 
 # ------------------------------------------------------------------ fusion
@@ -344,12 +396,13 @@ def fuse_left(semantic: DataFrame, keyword: DataFrame, k: int, rrf_k: int = 60,
 
 
 def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, min_similarity: float | None = None, rrf_k: int = 60,
-                w_semantic: float = 1.0, w_keyword: float = 1.0, match: str = "and") -> DataFrame:
-    """Vector and keyword search, twice k each, fused. Both tables have columns id, text, embedding.
+                w_semantic: float = 1.0, w_keyword: float = 1.0, match: str = "and", vectors: DataFrame | None = None) -> DataFrame:
+    """Vector and keyword search, twice k each, fused.
 
-    queries: query_id, text, embedding; corpus: chunk_id, text, embedding.
+    queries: query_id, text, embedding; corpus: chunk_id, text, embedding. Vectors kept in a
+    table of their own (chunk_id, embedding) are passed as ``vectors`` and need no join.
     """
-    semantic = semantic_topk(queries, corpus, 2 * k, min_similarity)
+    semantic = semantic_topk(queries, corpus if vectors is None else vectors, 2 * k, min_similarity)
     keyword = keyword_topk(query_terms(queries), corpus, 2 * k, match)
     return fuse(semantic, keyword, k, rrf_k, w_semantic, w_keyword)
 

@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lexloom.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take much work each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def q(text: str) -> str:
     """SQL string literal."""
     return "'" + text.replace("'", "''") + "'"
@@ -77,7 +84,7 @@ ANSWER_FORMS = [
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, owner, question: one question per order."""
-    o = table(spark, sf_dir, "orders")
+    o = texts(spark, sf_dir, "orders")
     text = F.replace(pick(QUESTION_FORMS, F.col("o_orderkey")), F.lit("{n}"), (F.col("o_custkey") % 97 + 1).cast("string"))
     return o.select(F.col("o_orderkey").alias("question_id"), F.col("o_custkey").alias("owner"), text.alias("question"))
 
@@ -91,7 +98,7 @@ QUESTIONS_SQL = f"""questions AS (
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, question, answer, n_sources: one answer per order."""
-    o = table(spark, sf_dir, "orders").select(
+    o = texts(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("question_id"),
         pick(ANSWER_FORMS, F.col("o_custkey")).alias("form"),
         (F.col("o_orderkey") % 7 + 1).cast("string").alias("a"),

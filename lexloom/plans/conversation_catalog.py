@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexloom import vocab
 from lexloom.functions import scoring, text as T
 from lexloom.operators import conversation as V, ordered, tables as TB
-from lexloom.plans.common import QUESTIONS_SQL, q, query, questions, sql_list, sql_tokens, table
+from lexloom.plans.common import QUESTIONS_SQL, q, query, questions, sql_list, sql_tokens, table, texts
 from lexloom.sources import files as FS
 
 
@@ -93,7 +93,7 @@ def cascade_delete(spark, sf):
 @query("incremental_scan", """SELECT lang AS user_id, source || '/' || doc_id AS file_name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def incremental_scan(spark, sf):
     name = F.concat("source", F.lit("/"), "doc_id")
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     loaded = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("lang").alias("user_id"), name.alias("file_name"))
     return FS.new_files(d.select(F.col("lang").alias("user_id"), name.alias("file_name")), loaded)
 
@@ -142,7 +142,7 @@ def message_sources(spark, sf):
 
 @query("search_tokens", f"""SELECT doc_id, len({sql_tokens('text')})::BIGINT AS n_tokens, md5(array_to_string({sql_tokens('text')}, ' ')) AS digest FROM documents""")
 def search_tokens(spark, sf):
-    d = TB.with_search_tokens(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")))
+    d = TB.with_search_tokens(texts(spark, sf, "documents").select("doc_id", F.col("text").alias("content")))
     return d.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 

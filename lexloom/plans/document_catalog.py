@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from lexloom import vocab
 from lexloom.functions import text as T
 from lexloom.operators import chunking as C, context as X, prefilter as P, search as S, tables as TB
-from lexloom.plans.common import QUESTIONS_SQL, q, query, questions, sql_list, table
-from lexloom.plans.search_catalog import DOCS, QV, bench_queries, corpus, kw_sql, sem_sql
+from lexloom.plans.common import QUESTIONS_SQL, q, query, questions, sql_list, table, texts
+from lexloom.plans.search_catalog import DOCS, QV, bench_queries, corpus, docs, kw_sql, sem_sql
 from lexloom.sources import files as FS
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents")
 
 
 CHUNKS = """chunks AS (SELECT doc_id, unnest(range(0, greatest(1, ceil((length(text) - 150) / 850.0)::BIGINT))) AS chunk_index, text FROM documents WHERE length(text) > 0),
@@ -42,7 +42,7 @@ def chunk_index_global(spark, sf):
 
 @query("html_to_text", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s\x{00a0}]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pages""")
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+    return texts(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
 @query("corpus_stats", f"""WITH {CHUNKS}, c AS (SELECT count(*) AS n_chunks, avg(length(content)) AS avg_chunk, sum(length(content)) AS chunk_chars FROM chunk),
@@ -183,7 +183,7 @@ SELECT query_id, chunk_id, (instr(page, target) - 1)::BIGINT AS start, length(ta
 def locate_passages(spark, sf):
     """Benchmark texts in the documents holding all their words, where they stand there whole."""
     c, qs = corpus(spark, sf), bench_queries(spark, sf)
-    hits = S.keyword_topk(S.query_terms(qs), c, 10, "and").select("query_id", "chunk_id")
+    hits = S.keyword_topk(S.query_terms(qs), docs(spark, sf), 10, "and").select("query_id", "chunk_id")
     rows = hits.join(c.select("chunk_id", F.col("text").alias("page")), "chunk_id").join(qs.select("query_id", F.col("text").alias("passage")), "query_id")
     d = rows.withColumn("l", T.locate_passage(F.col("passage"), F.col("page"))).where(F.col("l.strategy") == "full")
     return d.select("query_id", "chunk_id", F.col("l.start").cast("bigint").alias("start"), F.col("l.len").cast("bigint").alias("len"))
@@ -205,6 +205,6 @@ def match_snippets(spark, sf):
 @query("page_extraction", r"""SELECT url AS path, 1::BIGINT AS page_number, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s\x{00a0}]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pages""")
 def page_extraction(spark, sf):
     """Stored pages taken through the file extractor as HTML files."""
-    raw = table(spark, sf, "pages").select(F.col("url").alias("path"), F.lit("text/html").alias("mime_type"), F.encode("html", "UTF-8").alias("content"), F.length("html").cast("bigint").alias("length"))
+    raw = texts(spark, sf, "pages").select(F.col("url").alias("path"), F.lit("text/html").alias("mime_type"), F.encode("html", "UTF-8").alias("content"), F.length("html").cast("bigint").alias("length"))
     ok, _ = FS.split_supported(raw)
     return FS.extract_pages(ok).select("path", F.col("page_number").cast("bigint").alias("page_number"), "text")

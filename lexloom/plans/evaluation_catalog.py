@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.operators import evaluation as E, ordered, rerank as RR, search as S
-from lexloom.plans.common import ANSWERS_SQL, answers, query, table
-from lexloom.plans.search_catalog import DOCS, EV, LC, QV, bench_queries, corpus, kw_sql, label_centres, sem_sql, vectors
+from lexloom.plans.common import ANSWERS_SQL, answers, query, table, texts
+from lexloom.plans.search_catalog import DOCS, EV, LC, QV, bench_queries, corpus, doc_vectors, docs, kw_sql, label_centres, sem_sql, vectors
 from lexloom.sources import sinks
 
 
@@ -110,7 +110,7 @@ _RES = """res AS (SELECT d.doc_id, lang AS category, source AS difficulty, CASE
 
 
 def results(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = texts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     return d.select("doc_id", F.col("lang").alias("category"), F.col("source").alias("difficulty"), F.when(F.col("n_chars") > 1500, "long").otherwise("short").alias("topic"),
                     F.col("quality").cast("double").alias("keyword_accuracy"), (F.col("toxic") == 0).alias("article_match"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("passed"), F.col("n_chars").alias("duration"))
 
@@ -169,14 +169,14 @@ def configuration_grid(spark, sf):
 @query("stratified_sample", """WITH s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS draw FROM documents),
 p AS (SELECT * FROM s WHERE draw <= ceil(50 / (SELECT count(DISTINCT lang) FROM documents))) SELECT doc_id, lang, draw FROM p ORDER BY lang, draw LIMIT 50""")
 def stratified_sample(spark, sf):
-    d = E.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 50, hasher=lambda c: F.md5(c.cast("string").cast("binary")))
+    d = E.stratified_sample(texts(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 50, hasher=lambda c: F.md5(c.cast("string").cast("binary")))
     return _big(d, "draw")
 
 
 @query("score_thresholds", """SELECT lang, round(avg((n_chars >= 1000)::INT), 6) AS pass_share, round(count(*) FILTER (WHERE n_chars >= 1000 AND quality = 1) / nullif(count(*) FILTER (WHERE n_chars >= 1000), 0), 6) AS precision,
 round(count(*) FILTER (WHERE n_chars >= 1000 AND quality = 1) / nullif(count(*) FILTER (WHERE quality = 1), 0), 6) AS recall FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
 def score_thresholds(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("real", F.col("quality") == 1)
+    d = texts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("real", F.col("quality") == 1)
     out = E.score_thresholds(d, ["lang"], "n_chars", "real", 1000)
     return out.select("lang", *[F.round(c, 6).alias(c) for c in ("pass_share", "precision", "recall")])
 
@@ -218,7 +218,7 @@ g AS (SELECT q.query_id, (length(q.text) // 100)::BIGINT AS span, r FROM qv q LE
 SELECT span, count(*) AS n, round(avg(coalesce(r <= 10, false)::INT), 6) AS hit_small, round(avg(coalesce(r <= 20, false)::INT), 6) AS hit_large, round(avg(coalesce(r <= 20, false)::INT) - avg(coalesce(r <= 10, false)::INT), 6) AS improvement
 FROM g GROUP BY ROLLUP (span)""")
 def topk_compare(spark, sf):
-    qs, c = bench_queries(spark, sf), corpus(spark, sf)
+    qs, c = bench_queries(spark, sf), docs(spark, sf)
     terms = S.query_terms(qs)
     ranks = E.first_relevant_rank(S.keyword_topk(terms, c, 20, "or"), S.keyword_scores(terms, c, "and"), qs)
     ranks = ranks.join(qs.select("query_id", F.floor(F.length("text") / 100).alias("span")), "query_id")
@@ -232,10 +232,10 @@ SELECT count(*) FILTER (WHERE a.r IS NULL AND b.r IS NOT NULL) AS newly_found, c
  count(*) FILTER (WHERE a.r IS NULL AND b.r IS NOT NULL) - count(*) FILTER (WHERE a.r IS NOT NULL AND b.r IS NULL) AS net FROM a JOIN b USING (query_id)""")
 def rerank_compare(spark, sf):
     """Rank of relevant documents in the vector order against the keyword order."""
-    qs, c = bench_queries(spark, sf), corpus(spark, sf)
+    qs, c, vec = bench_queries(spark, sf), docs(spark, sf), doc_vectors(spark, sf)
     terms = S.query_terms(qs)
     rel = S.keyword_scores(terms, c, "and")
-    return E.compare_orders(E.first_relevant_rank(S.semantic_topk(qs, c, 50), rel, qs), E.first_relevant_rank(S.keyword_topk(terms, c, 50, "or"), rel, qs))
+    return E.compare_orders(E.first_relevant_rank(S.semantic_topk(qs, vec, 50), rel, qs), E.first_relevant_rank(S.keyword_topk(terms, c, 50, "or"), rel, qs))
 
 
 @query("threshold_sweep", f"""WITH {LC}, {EV}, {sem_sql(10, 'lc', 'ev')}, h AS (SELECT s.*, label = query_id AS rel, label % 5 = query_id % 5 AS doc FROM sem s JOIN ev USING (chunk_id)),

@@ -11,17 +11,26 @@ from lexloom import vocab
 from lexloom.functions import scoring, text as T, vectors as V
 from lexloom.operators import rerank as R, search as S
 from lexloom.operators.ordered import top_k
-from lexloom.plans.common import query, sql_list, sql_tokens, table
+from lexloom.plans.common import query, sql_list, sql_tokens, table, texts
 
 K = 10
 
 
 def corpus(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+    d = texts(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return d.join(e, "chunk_id", "left")
 
 
+def docs(spark, sf):
+    """Texts alone, for searches that read no vectors."""
+    return texts(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def doc_vectors(spark, sf):
+    return corpus(spark, sf).select("chunk_id", "embedding")
+
+
 def bench_queries(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -132,24 +141,24 @@ def vector_normalize(spark, sf):
 
 @query("keyword_search_and", f"WITH {QV}, {DOCS}, {kw_sql(K, 'and')} SELECT query_id, chunk_id, score, n_hit, rank FROM kw")
 def keyword_search_and(spark, sf):
-    return _big(S.keyword_topk(S.query_terms(bench_queries(spark, sf)), corpus(spark, sf), K, "and"), "rank")
+    return _big(S.keyword_topk(S.query_terms(bench_queries(spark, sf)), docs(spark, sf), K, "and"), "rank")
 
 
 @query("keyword_search_or", f"WITH {QV}, {DOCS}, {kw_sql(K, 'or')} SELECT query_id, chunk_id, score, n_hit, rank FROM kw")
 def keyword_search_or(spark, sf):
-    return _big(S.keyword_topk(S.query_terms(bench_queries(spark, sf)), corpus(spark, sf), K, "or"), "rank")
+    return _big(S.keyword_topk(S.query_terms(bench_queries(spark, sf)), docs(spark, sf), K, "or"), "rank")
 
 
 @query("hybrid_rrf", f"WITH {QV}, {DOCS}, {sem_sql(2 * K)}, {kw_sql(2 * K, 'and')}, {fuse_sql(K)} SELECT query_id, chunk_id, semantic_rank, keyword_rank, rrf_score, rank, source AS file_name FROM fused JOIN cv USING (chunk_id)")
 def hybrid_rrf(spark, sf):
     c = corpus(spark, sf)
-    fused = S.hybrid_topk(bench_queries(spark, sf), c, K).drop("search_type")
+    fused = S.hybrid_topk(bench_queries(spark, sf), docs(spark, sf), K, vectors=doc_vectors(spark, sf)).drop("search_type")
     return _big(fused.join(c.select("chunk_id", F.col("source").alias("file_name")), "chunk_id"), "rank", "semantic_rank", "keyword_rank")
 
 
 @query("hybrid_weighted", f"WITH {QV}, {DOCS}, {sem_sql(2 * K, floor=0.2)}, {kw_sql(2 * K, 'or')}, {fuse_sql(K, ws=0.6, wk=0.4)} SELECT query_id, chunk_id, semantic_rank, keyword_rank, rrf_score, search_type, rank FROM fused")
 def hybrid_weighted(spark, sf):
-    out = S.hybrid_topk(bench_queries(spark, sf), corpus(spark, sf), K, 0.2, 60, 0.6, 0.4, "or")
+    out = S.hybrid_topk(bench_queries(spark, sf), docs(spark, sf), K, 0.2, 60, 0.6, 0.4, "or", doc_vectors(spark, sf))
     return _big(out, "rank", "semantic_rank", "keyword_rank")
 
 
@@ -165,7 +174,7 @@ def tri_sql(k, name="tri"):
 
 @query("near_duplicate_trigram", f"WITH {QV}, {DOCS}, {tri_sql(K)} SELECT query_id, chunk_id, score, rank FROM tri")
 def near_duplicate_trigram(spark, sf):
-    return _big(S.trigram_topk(bench_queries(spark, sf), corpus(spark, sf), K), "rank")
+    return _big(S.trigram_topk(bench_queries(spark, sf), docs(spark, sf), K), "rank")
 
 
 @query("hybrid_left_trigram", f"""WITH {QV}, {DOCS}, {sem_sql(3 * K)}, {tri_sql(3 * K)},
@@ -174,7 +183,7 @@ f AS (SELECT *, round(0.7::DOUBLE / (60 + semantic_rank) + 0.3::DOUBLE / (60 + k
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM f) WHERE rank <= {K}""")
 def hybrid_left_trigram(spark, sf):
     qs, c = bench_queries(spark, sf), corpus(spark, sf)
-    out = S.fuse_left(S.semantic_topk(qs, c, 3 * K), S.trigram_topk(qs, c, 3 * K), K)
+    out = S.fuse_left(S.semantic_topk(qs, c, 3 * K), S.trigram_topk(qs, docs(spark, sf), 3 * K), K)
     return _big(out, "rank", "semantic_rank", "keyword_rank")
 
 
@@ -183,7 +192,7 @@ m AS (SELECT query_id, chunk_id, rank, 'keyword' AS source FROM kw UNION ALL SEL
 SELECT * FROM m""")
 def search_fallback(spark, sf):
     qs, c = bench_queries(spark, sf), corpus(spark, sf)
-    kw = S.keyword_topk(S.query_terms(qs), c, K, "and").select("query_id", "chunk_id", "rank", F.lit("keyword").alias("source"))
+    kw = S.keyword_topk(S.query_terms(qs), docs(spark, sf), K, "and").select("query_id", "chunk_id", "rank", F.lit("keyword").alias("source"))
     sem = S.semantic_topk(qs, c, K).select("query_id", "chunk_id", "rank", F.lit("semantic").alias("source"))
     return _big(S.with_fallback(kw, sem), "rank")
 
@@ -195,7 +204,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_s
 def multi_query_merge(spark, sf):
     qs, c = bench_queries(spark, sf), corpus(spark, sf)
     terms = S.query_terms(qs)
-    return _big(S.merge_lists([S.semantic_topk(qs, c, K), S.keyword_topk(terms, c, K, "or"), S.keyword_topk(terms, c, K, "and")], K), "rank")
+    t = docs(spark, sf)
+    return _big(S.merge_lists([S.semantic_topk(qs, c, K), S.keyword_topk(terms, t, K, "or"), S.keyword_topk(terms, t, K, "and")], K), "rank")
 
 
 @query("semantic_cache", f"""WITH ev AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS ce FROM embeddings WHERE vec_id % 5 <> 0), {LC}, {sem_sql(1, 'lc', 'ev')}
@@ -264,5 +274,5 @@ def rerank_or_pass(spark, sf):
 @query("doc_search_ilike", """WITH d AS (SELECT source AS document_id, doc_id // 20 AS page_number, doc_id AS chunk_index, text FROM documents)
 SELECT document_id, chunk_index, page_number, rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number NULLS LAST, chunk_index) AS rank FROM d WHERE text ILIKE '%th_re%') WHERE rank <= 50""")
 def doc_search_ilike(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.floor(F.col("doc_id") / 20).alias("page_number"), F.col("doc_id").alias("chunk_index"), "text")
+    d = texts(spark, sf, "documents").select(F.col("source").alias("document_id"), F.floor(F.col("doc_id") / 20).alias("page_number"), F.col("doc_id").alias("chunk_index"), "text")
     return _big(R.find_in_documents(d, "th_re", 50).select("document_id", "chunk_index", "page_number", "rank"), "rank")

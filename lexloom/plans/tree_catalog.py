@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.operators import ordered, tree as R
-from lexloom.plans.common import query, table
+from lexloom.plans.common import query, table, texts
 from lexloom.plans.index_flow import build_index
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -51,7 +51,7 @@ def ends(rows):
 
 
 def pages(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     seg = F.element_at(F.array(*[F.lit(s) for s in _SEGMENTS]), (F.col("doc_id") % 5 + 1).cast("int"))
     return d.select(seg.alias("document_id"), (F.floor(F.col("doc_id") / 5) + 1).cast("int").alias("page_number"), "text", F.ceil(F.length("text") / 4).alias("token_count"))
 
@@ -187,7 +187,7 @@ f AS (SELECT document_id, min(pos) - 1 AS pos, arg_min(physical_index, pos) AS p
 SELECT document_id, pos, title, physical_index FROM t UNION ALL SELECT document_id, pos, 'Preface', 1 FROM f WHERE p > 1""")
 def toc_preface(spark, sf):
     i = F.col("doc_id")
-    t = table(spark, sf, "documents").select(F.col("source").alias("document_id"), i.alias("pos"), F.substring("text", 1, 20).alias("title"), (F.floor(i / 20) + i % 3 + 1).alias("physical_index"))
+    t = texts(spark, sf, "documents").select(F.col("source").alias("document_id"), i.alias("pos"), F.substring("text", 1, 20).alias("title"), (F.floor(i / 20) + i % 3 + 1).alias("physical_index"))
     return _big(R.add_preface(t).select("document_id", "pos", "title", "physical_index"), "physical_index")
 
 

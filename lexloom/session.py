@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -56,3 +56,21 @@ def checkpoint(df: DataFrame, name: str = "step") -> DataFrame:
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when the DataFrame has at most ``max_rows`` rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast when it is shown to have few rows, unchanged otherwise.
+
+    For rows of a few dozen bytes, so the bound keeps the copy below some 100 MB.
+    """
+    return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan with fewer splits than task slots, dealt out over all slots.
+
+    For row-wise work heavier than a shuffle of the row. Large tables have more splits than
+    slots and pass unchanged. Only for plain scans: counting splits runs nothing there.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan

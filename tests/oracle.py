@@ -54,6 +54,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
     """(ok, message) for one query."""
     t0 = time.time()
     df = fn(spark, sf_dir)
+    if os.environ.get("AUDIT"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        odd = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython") if w in plan]
+        print("PLAN", name, odd, flush=True) if odd else None
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
     if sql is None:
