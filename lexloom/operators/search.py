@@ -187,8 +187,11 @@ def _scan_cells(queries, corpus, cols, qvec, cvec, dim, k, floor, cell, probes,
     grid = sizes.join(loads, cell)
     left = asks.join(grid, cell).withColumn("__q", F.pmod(F.xxhash64(cols["qid"]), F.col("__nq")).cast("int")) \
         .withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__nc") - 1)))
-    right = corpus.join(grid, cell).withColumn("__c", F.pmod(F.xxhash64(cols["cid"]), F.col("__nc")).cast("int")) \
-        .withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__nq") - 1)))
+    # both sides of a cogroup need columns of their own
+    grid = grid.select(F.col(cell).alias("__cell"), F.col("__nc").alias("__mc"), F.col("__nq").alias("__mq"))
+    right = corpus.select(F.col(cols["cid"]).alias("__id"), F.col(cvec).alias("__vec"), F.col(cell).alias("__cell")).join(grid, "__cell") \
+        .withColumn("__c", F.pmod(F.xxhash64("__id"), F.col("__mc")).cast("int")).withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__mq") - 1))) \
+        .withColumnsRenamed({"__cell": cell, "__id": cols["cid"], "__vec": cvec})
     scorer = _block_scorer(cols, qvec, cvec, dim, k, floor, arrow)
     return left.groupBy(cell, "__q", "__c").cogroup(right.groupBy(cell, "__q", "__c")).applyInArrow(scorer, schema)
 
@@ -345,6 +348,7 @@ def _trigram_scan(q: DataFrame, c: DataFrame, threshold: float) -> DataFrame | N
     shipped = c.sparkSession.sparkContext.broadcast((query_ids.to_pylist(), grams, table, np.diff(sets.offsets.to_numpy())))
     names = {"query_id": q.schema["query_id"].dataType, "chunk_id": c.schema["chunk_id"].dataType}
     schema = ", ".join(f"{n} {t.simpleString()}" for n, t in names.items()) + ", score double"
+    id_type = got.schema.field("query_id").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, grams, table, sizes = shipped.value
@@ -357,7 +361,7 @@ def _trigram_scan(q: DataFrame, c: DataFrame, threshold: float) -> DataFrame | N
                 lengths = batch["__nc"].to_numpy()[:, None]
                 sims = np.round(both.astype(np.float64) / (lengths + sizes[None, :] - both), 9)
                 row, col = np.nonzero(sims >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[col].tolist()), batch["chunk_id"].take(pa.array(row)), pa.array(sims[row, col])], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[col].tolist(), type=id_type), batch["chunk_id"].take(pa.array(row)), pa.array(sims[row, col])], names=["query_id", "chunk_id", "score"])
 
     return c.mapInArrow(run, schema)
 
