@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import ordered, tree as R
 from lexloom.plans.common import query, table, texts
 from lexloom.plans.index_flow import build_index
+from lexloom.session import checkpoint
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -205,7 +206,6 @@ def tree_build_index(spark, sf):
 @query("section_retrieval")
 def section_retrieval(spark, sf):
     """Best sections of the region / nation / customer trees for every benchmark text."""
-    n = R.node_texts(nodes(spark, sf), pages(spark, sf))
-    qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    out = R.retrieve_sections(R.select_by_terms(qs, n, 5, len(_SEGMENTS)), n)
-    return out.drop("text")
+    n = checkpoint(R.node_texts(nodes(spark, sf), pages(spark, sf)), "node-texts")
+    qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return R.retrieve_sections(R.select_by_terms(qs, n, 5), n).drop("text")

@@ -149,3 +149,22 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT rrf_term(NULL, 60, 1D), rrf_term(1, 59, 3D), estimate_tokens('abcde'), strip_html('<p>a</p>  b')").first()[:] == (0.0, 0.05, 2, "a b")
     rows = spark.sql("SELECT d.id, s.pos, s.content FROM VALUES (1, 'aaa bbb ccc') AS d(id, t), LATERAL split_text(d.t, 7, 0) s ORDER BY pos").collect()
     assert [(r["pos"], r["content"]) for r in rows] == [(0, "aaa"), (1, "bbb"), (2, "ccc")] or [r["content"] for r in rows] == ["aaa bbb", "ccc"]
+
+
+def test_ask_flow(spark):
+    from lexloom.operators import tree as R
+    from lexloom.plans.ask_flow import answer_questions
+    docs = spark.createDataFrame([("u", "d1", 0, "small business guide", None), ("u", "d2", 1, "loss notes", "carry forward of losses"), ("v", "d3", 0, "small business guide", None)],
+                                 "owner string, document_id string, pos int, name string, description string")
+    nodes = spark.createDataFrame([("d1", [0], "Scope", 1, 2, "small business relief applies"), ("d1", [1], "Limits", 3, 4, "revenue limit of the relief"), ("d2", [0], "Losses", 1, 9, "losses carry forward"), ("d3", [0], "Other", 1, 1, "small business relief revenue")],
+                                  "document_id string, path array<bigint>, title string, start_index int, end_index int, text string")
+    qs = spark.createDataFrame([("u", 1, "small business relief revenue", None), ("u", 2, "weather in paris", None), ("u", 3, "zzzz qqqq", None), ("u", 4, "elaborate on that relief revenue", "see Article 5")],
+                               "owner string, query_id int, question string, context string")
+
+    def client():
+        return lambda prompts: ["Relief is 3 million [2]. More [1] and [9]." for _ in prompts]
+    out = {r["query_id"]: r for r in answer_questions(qs, docs, R.number_nodes(nodes), client).collect()}
+    assert out[2]["route"] == "programming" and out[3]["route"] == "low_confidence"
+    assert (out[1]["route"], out[1]["n_sources"], out[1]["n_cited"], out[1]["grounding"]) == ("answered", 2, 2, "grounded")
+    assert out[1]["answer"] == "Relief is 3 million [2]. More [1] and [9]." and 0 <= out[1]["quality"] <= 100
+    assert out[4]["question"].startswith("Regarding Article 5: ")
