@@ -166,3 +166,10 @@ def pages_of_groups(pages: DataFrame, document: str, page: str, tokens: str, max
     if shared is None:
         return own
     return own.unionByName(shared.join(sums.select(document, "__i", page), [document, "__i"]).select(document, page, "group_no"))
+
+
+def group_texts(groups: DataFrame, pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
+    """document, group_no, text: the tagged pages of each packed group, as large as the token budget."""
+    rows = groups.join(pages.select(document, page, T.labelled_page(F.col(page), F.col(text)).alias("__t")), [document, page])
+    return rows.groupBy(document, "group_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "__t"))), lambda s: s["__t"]), "").alias("text"))

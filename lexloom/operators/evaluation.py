@@ -252,10 +252,9 @@ def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.withColumnRenamed("value", "before").join(after.withColumnRenamed("value", "after"), "metric").withColumn("delta", F.col("after") - F.col("before"))
 
 
-def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 0, fill_in_order: bool = True, hasher=None) -> DataFrame:
-    """ceil(n / strata) rows per stratum in seeded hash order, n in all: the sampling operator.
-
-    ``fill_in_order`` takes strata in order until n is reached; both rules cut the last one.
+def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 0, hasher=None) -> DataFrame:
+    """ceil(n / strata) rows per stratum in seeded hash order, n in all, strata in order: the
+    sampling operator. Stopping at n while filling and cutting at n afterwards give the same rows.
     """
     order = hasher(F.col(key)) if hasher else F.xxhash64(F.col(key).cast("string"), F.lit(seed))
     strata = rows.select(F.count_distinct(stratum).alias("n")).select("n").scalar()

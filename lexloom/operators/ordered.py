@@ -76,12 +76,10 @@ def carry(df: DataFrame, keys: list[str], order: list[str], value: Column, out:
     inner = Window.partitionBy(*keys, _B).orderBy(*by).rowsBetween(Window.unboundedPreceding, last)
     across = Window.partitionBy(*keys).orderBy(*_ordering([_B], backward)).rowsBetween(Window.unboundedPreceding, -1)
     pick = F.min_by if backward else F.max_by
-    edges = (
-        cut.where(F.col("__value").isNotNull()).groupBy(*keys, _B)
-        .agg(pick("__value", F.struct(*order)).alias("__edge"))
-    )
+    # rows without a value have no place in the order, so a bucket without values gives null
+    place = F.when(F.col("__value").isNotNull(), F.struct(*order))
     carried = (
-        cut.select(*keys, _B).distinct().join(edges, [*keys, _B], "left")
+        cut.groupBy(*keys, _B).agg(pick("__value", place).alias("__edge"))
         .withColumn("__carried", F.last("__edge", ignorenulls=True).over(across)).drop("__edge")
     )
     return (

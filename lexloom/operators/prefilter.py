@@ -113,7 +113,8 @@ def prefilter_documents(questions: DataFrame, documents: DataFrame, max_docs: in
     naming an article with under three documents is topped up with core documents; one
     without any document takes up to five core documents, or the owner's first ones.
     """
-    qs = questions.withColumn("__article", F.lower("question").rlike(r"article\s*\d+"))
+    # read by every step below
+    qs = checkpoint(questions.withColumn("__article", F.lower("question").rlike(r"article\s*\d+")), "prefilter-questions")
     name = F.lower("name")
     core, regulation = is_core(F.col("name")), name.contains("executive regulation")
     extra = F.when(F.col("__core") & F.col("__article"), CORE_ARTICLE_POINTS).when(F.col("__core"), CORE_POINTS).otherwise(0) \

@@ -95,13 +95,16 @@ def merge_feedback(target: DataFrame, folded: DataFrame, keys: list[str], last:
     return kept.unionByName(folded.join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
-def fold_status(events: DataFrame, key: str, status: str, ts: str, event_id: str, bucket: Column | None = None, terminal: list[str] = TERMINAL) -> DataFrame:
-    """status = latest; processed_at = first entry into a terminal status from another one."""
+def fold_status(events: DataFrame, key: str, status: str, ts: str, event_id: str, bucket: Column | None = None, terminal: list[str] = TERMINAL,
+                extra: tuple[str, ...] = ()) -> DataFrame:
+    """status = latest; processed_at = first entry into a terminal status from another one;
+    ``extra`` columns (error text, chunk count) keep their latest non-null value."""
     order = [ts, event_id]
     prev = ordered.previous_row(events, [key], order, [status], "__prev", bucket)
     enters = F.col(status).isin(*terminal) & ~F.coalesce(F.col(f"__prev.{status}").isin(*terminal), F.lit(False))
     return prev.groupBy(key).agg(
-        F.max_by(status, F.struct(*order)).alias("status"), F.min(F.when(enters, F.col(ts))).alias("processed_at"), F.count(F.lit(1)).alias("n_updates"))
+        F.max_by(status, F.struct(*order)).alias("status"), F.min(F.when(enters, F.col(ts))).alias("processed_at"), F.count(F.lit(1)).alias("n_updates"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in extra])
 
 
 def cascade_delete(tables: list[tuple[DataFrame, str]], removed: DataFrame, key: str) -> list[DataFrame]:

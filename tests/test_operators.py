@@ -423,3 +423,23 @@ def test_sinks(spark, tmp_path):
     assert '"a ""q"""' in text and "50%" in text and "0.10000" in text and "two lines" in text
     sinks.write_results(wide, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 1
+
+
+def test_contents_and_descriptions_by_model(spark):
+    pages = spark.createDataFrame([("d", i, f"page {i}", 10) for i in range(1, 6)], "document_id string, page_number int, text string, token_count int")
+
+    def client():
+        import re
+        def call(prompts):
+            return [json.dumps([{"structure": n, "title": f"T{n}", "physical_index": f"<physical_index_{n}>"} for n in dict.fromkeys(re.findall(r"<physical_index_(\d+)>", p))]) for p in prompts]
+        return call
+    got = [(r["pos"], r["title"], r["physical_index"]) for r in R.contents_by_model(pages, client, "{text}", 20).orderBy("pos").collect()]
+    assert [g[2] for g in got] == sorted(g[2] for g in got) and {g[2] for g in got} == {1, 2, 3, 4, 5}
+    nodes = spark.createDataFrame([("d", [0], "0000", "A"), ("d", [1], "0001", "B")], "document_id string, path array<bigint>, node_id string, title string")
+    assert R.describe_documents(nodes, lambda: (lambda ps: [p.upper() for p in ps]), "about {outline}").first()["description"] == "ABOUT 0000 A\n0001 B"
+
+
+def test_status_keeps_error_text(spark):
+    ev = spark.createDataFrame([("f", 1, 1, "pending", None), ("f", 2, 2, "failed", "bad file"), ("f", 3, 3, "processing", None), ("f", 4, 4, "completed", None)], "id string, event_id int, ts int, status string, error string")
+    r = tables.fold_status(ev, "id", "status", "ts", "event_id", F.floor(F.col("ts") / 2), extra=("error",)).first()
+    assert (r["status"], r["processed_at"], r["n_updates"], r["error"]) == ("completed", 2, 4, "bad file")
