@@ -133,7 +133,15 @@ p AS (SELECT owner, query_id, question, {_PT} AS terms, regexp_matches(lower(que
 sc AS (SELECT query_id, doc_id, art, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(name), t) THEN 10 ELSE 0 END + CASE WHEN contains(low, t) THEN 5 ELSE 0 END)), 0) + {_PH}
   + CASE WHEN {_CORE} AND art THEN 50 WHEN {_CORE} THEN 5 ELSE 0 END + CASE WHEN art AND contains(lower(name), 'executive regulation') THEN 30 ELSE 0 END AS score FROM p JOIN nd USING (owner)),
 ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10)
-SELECT query_id, doc_id AS document_id, score::BIGINT AS score, rank FROM ch""")
+law AS (SELECT owner, doc_id FROM nd WHERE contains(lower(name), 'federal-decree-law') OR contains(lower(name), 'executive regulation')),
+hv AS (SELECT p.query_id, p.owner, p.art, count(ch.doc_id) AS have FROM p LEFT JOIN ch ON ch.query_id = p.query_id GROUP BY 1, 2, 3),
+tu AS (SELECT query_id, doc_id, have + n AS rank FROM (SELECT hv.query_id, law.doc_id, have, row_number() OVER (PARTITION BY hv.query_id ORDER BY law.doc_id) AS n FROM hv JOIN law USING (owner)
+  WHERE art AND have < 3 AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.query_id = hv.query_id AND ch.doc_id = law.doc_id)) WHERE have + n <= 10),
+al AS (SELECT query_id, doc_id, score, rank FROM ch UNION ALL SELECT query_id, doc_id, 0, rank FROM tu),
+fb AS (SELECT * FROM (SELECT owner, doc_id, row_number() OVER (PARTITION BY owner ORDER BY doc_id) AS rank FROM nd WHERE contains(lower(name), 'corporate tax') OR contains(lower(name), 'federal-decree-law')) WHERE rank <= 5),
+fd AS (SELECT * FROM (SELECT owner, doc_id, row_number() OVER (PARTITION BY owner ORDER BY doc_id) AS rank FROM nd WHERE owner NOT IN (SELECT owner FROM fb)) WHERE rank <= 10),
+fin AS (SELECT * FROM al UNION ALL SELECT query_id, doc_id, 0, rank FROM p JOIN (SELECT * FROM fb UNION ALL SELECT * FROM fd) USING (owner) WHERE query_id NOT IN (SELECT query_id FROM al))
+SELECT query_id, doc_id AS document_id, score::BIGINT AS score, rank::BIGINT AS rank FROM fin""")
 def doc_prefilter(spark, sf):
     return P.prefilter_documents(prefilter_questions(spark, sf), _named(spark, sf), 10)
 
