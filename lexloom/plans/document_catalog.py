@@ -132,7 +132,7 @@ def prefilter_questions(spark, sf):
 p AS (SELECT owner, query_id, question, {_PT} AS terms, regexp_matches(lower(question), 'article\\s*\\d+') AS art FROM pq),
 sc AS (SELECT query_id, doc_id, art, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(name), t) THEN 10 ELSE 0 END + CASE WHEN contains(low, t) THEN 5 ELSE 0 END)), 0) + {_PH}
   + CASE WHEN {_CORE} AND art THEN 50 WHEN {_CORE} THEN 5 ELSE 0 END + CASE WHEN art AND contains(lower(name), 'executive regulation') THEN 30 ELSE 0 END AS score FROM p JOIN nd USING (owner)),
-ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10)
+ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10),
 law AS (SELECT owner, doc_id FROM nd WHERE contains(lower(name), 'federal-decree-law') OR contains(lower(name), 'executive regulation')),
 hv AS (SELECT p.query_id, p.owner, p.art, count(ch.doc_id) AS have FROM p LEFT JOIN ch ON ch.query_id = p.query_id GROUP BY 1, 2, 3),
 tu AS (SELECT query_id, doc_id, have + n AS rank FROM (SELECT hv.query_id, law.doc_id, have, row_number() OVER (PARTITION BY hv.query_id ORDER BY law.doc_id) AS n FROM hv JOIN law USING (owner)
