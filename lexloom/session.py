@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +29,20 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in the Python workers of the session, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "lexloom")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+        _shipped.add(app)
+    return spark
+
+
 @functools.cache
 def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
