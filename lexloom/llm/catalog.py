@@ -1,15 +1,21 @@
 """Queries of this folder over the given tables, with SQL where it can say the same."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexloom.llm import fingerprint, language_id, line_dedup, quality_rules, url_filter
+from lexloom.llm import fingerprint, language_id, line_dedup, packing, quality_rules, sentence_pieces, url_filter
 from lexloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _BLANK = r"[\x20\x09-\x0D]*"
 
 
+@query("op1_best_fit_packing")
+def packing_query(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op2_line_dedup", sql=f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
@@ -28,6 +34,16 @@ def line_dedup_query(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op3_sentence_pieces")
+def sentence_pieces_query(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    decoded = sentence_pieces.decode(encoded, path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
 _RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
