@@ -10,6 +10,8 @@ fingerprints estimates how much the two multisets have in common.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.operators.rows import computed
@@ -95,10 +97,11 @@ def _bucket(key: Column, bounds: list) -> Column:
         lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, at + step - 1) <= key), at + step).otherwise(at))
 
 
-def with_next(docs: DataFrame, columns: list[str], prefix: str = "next_") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], mark: Callable[[DataFrame], DataFrame], prefix: str = "next_") -> DataFrame:
     """Every document beside the next one in descending (doc_id, hash of the text); the last is followed by the first.
 
-    ``docs`` has doc_id, text and ``columns`` (the columns wanted of the next document). Rows
+    ``docs`` has doc_id and text. ``mark`` adds columns row by row once the ranges are known,
+    and ``columns`` are wanted of the next document. Rows
     are dealt out by ranges of doc_id; the first row of every range is also sent to the range
     before it, so that no window spans the table. Null doc_ids come last; equal rows follow
     each other.
@@ -124,7 +127,7 @@ def with_next(docs: DataFrame, columns: list[str], prefix: str = "next_") -> Dat
         .drop("__id", "__h").withColumnRenamed("before", "__bucket").withColumn("__extra", F.lit(1))
         .dropDuplicates(["__bucket"]))
     order = Window.partitionBy("__bucket").orderBy("__extra", F.desc("doc_id"), F.desc("__hash"))
-    both = placed.unionByName(extra)
+    both = mark(placed.unionByName(extra))
     return both.withColumns({prefix + c: F.lead(c).over(order) for c in columns}).where("__extra = 0").drop("__bucket", "__extra", "__hash")
 
 
@@ -138,8 +141,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     other; a single document follows itself; an empty table gives no rows.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = computed(plain, "lanes", fingerprint(F.col("text")))
-    paired = with_next(marked, ["text", "lanes"])
+    paired = with_next(plain, ["text", "lanes"], lambda rows: computed(rows, "lanes", fingerprint(F.col("text"))))
     size = F.length("text")
     third = F.floor(size / 3).cast("int")
     edited = computed(paired.withColumn("edited", F.concat(
