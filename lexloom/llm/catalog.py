@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexloom.llm import fingerprint, language_id, line_dedup, packing, quality_rules, sentence_pieces, url_filter
+from lexloom.llm import fingerprint, language_id, line_dedup, packing, quality_rules, sentence_pieces, toxicity, url_filter
 from lexloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,15 @@ def sentence_pieces_query(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
+@query("op5_toxicity")
+def toxicity_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    network = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.score(docs, network)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 _RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),

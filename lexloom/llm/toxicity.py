@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexloom.llm import words
 
 WINDOW, STRIDE = 64, 32
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 6000  # labelled documents of each class to learn from
-SAMPLE_CHARS = 6000  # characters of each of them
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3500  # labelled documents of each class to learn from
+SAMPLE_CHARS = 4000  # characters of each of them
 WORD_SIZE, GRAM_SIZE, HIDDEN, ATTENTION = 4, 4, 8, 8
 GRAMS = (3, 4, 5)
 MIN_DOCUMENTS = 3  # a word or n-gram in fewer sampled texts has no vector
@@ -67,18 +67,16 @@ class Features:
         return np.where(self.keys[at] == hashes, at + 1, 0)
 
 
-def _select(text: np.ndarray, hashes: np.ndarray, labels: np.ndarray) -> tuple[Features, np.ndarray]:
-    """Features found in enough texts and unevenly between the classes, and how unevenly (a clipped z-score)."""
+def _select(hashes: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[Features, np.ndarray]:
+    """Features found often enough and unevenly between the classes, and how unevenly (a clipped z-score).
+
+    ``toxic`` and ``clean`` count the texts of each class for every entry of ``hashes``.
+    """
     keys, at = np.unique(hashes, return_inverse=True)
-    at, text = np.divmod(np.unique(at * len(labels) + text), len(labels))  # each once per text
-    toxic = np.bincount(at, weights=labels[text], minlength=len(keys))
-    every = np.bincount(at, minlength=len(keys))
-    n1, n = labels.sum(), len(labels)
-    share = every / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = (toxic / n1 - (every - toxic) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    z = np.nan_to_num(z)
-    good = np.flatnonzero((every >= MIN_DOCUMENTS) & (np.abs(z) >= 2))
+    toxic, clean = np.bincount(at, toxic, len(keys)), np.bincount(at, clean, len(keys))
+    share = np.minimum((toxic + clean) / (n_toxic + n_clean), 0.99)
+    z = (toxic / n_toxic - clean / n_clean) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_toxic + 1 / n_clean))
+    good = np.flatnonzero((toxic + clean >= MIN_DOCUMENTS) & (np.abs(z) >= 2))
     good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MAX_FEATURES]])
     return Features(keys[good]), np.r_[0.0, np.clip(z[good] / 10, -1, 1)]
 
@@ -232,16 +230,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     rng = np.random.default_rng(seed)
     texts, labels = [*texts, ""], np.r_[labels, 0.0]  # no words, not toxic
     codes, bounds, vocabulary = words.split(pc.utf8_lower(pa.array(texts, pa.string())))
-    text_of = words.row_of(bounds)
-    used = np.unique(np.stack([text_of, codes], axis=1), axis=0)
-    word_keys, word_z = _select(used[:, 0], words.hashes(vocabulary)[used[:, 1]], labels)
+    once = np.unique(words.row_of(bounds) * len(vocabulary) + codes)  # every word once per text
+    text, word = np.divmod(once, max(1, len(vocabulary)))
+    toxic = np.bincount(word, labels[text], len(vocabulary))
+    clean = np.bincount(word, 1 - labels[text], len(vocabulary))
+    of = int(labels.sum()), int(len(labels) - labels.sum())
+    word_keys, word_z = _select(words.hashes(vocabulary), toxic, clean, *of)
     owner, hashes = _grams(vocabulary)
-    # n-grams of a text: those of its distinct words
-    order = np.argsort(owner, kind="stable")
-    first = np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
-    count = np.diff(first)[used[:, 1]]
-    spot = np.repeat(first[used[:, 1]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    gram_keys, gram_z = _select(np.repeat(used[:, 0], count), hashes[order][spot], labels)
+    gram_keys, gram_z = _select(hashes, toxic[owner], clean[owner], *of)
     net = Network(word_keys, gram_keys, word_z, gram_z, labels.mean(), seed)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.weights.items()}
     step = 0
@@ -286,11 +282,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean)).select("doc_id", "toxic")
+    every = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     rows = (
         docs.select("doc_id", F.substring("text", 1, chars).alias("text")).where("text IS NOT NULL")
         .join(F.broadcast(picked), "doc_id")  # the sample's rows only
         .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect())  # the bounded sample
-    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    net = train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    if isinstance(net, Network):  # the sample holds more toxic texts than there are among all labelled ones
+        taken = sum(r["toxic"] for r in rows)
+        net.weights["b"] += np.log(every[1] / every[0]) - np.log(taken / (len(rows) - taken))
+    return net
 
 
 def score(docs: DataFrame, network: Network | float) -> DataFrame:
