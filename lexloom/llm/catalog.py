@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexloom.llm import fingerprint, language_id, line_dedup, packing, quality_rules, sentence_pieces, toxicity, url_filter
+from lexloom.llm import fingerprint, language_id, line_dedup, near_dedup, packing, quality_rules, sentence_pieces, toxicity, url_filter
 from lexloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,24 @@ def sentence_pieces_query(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
+@query("op4_minhash_near_dedup", sql=rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+runs AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM runs a JOIN runs b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+arcs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT a.y, r.root FROM reach r JOIN arcs a ON a.x = r.node),
+tops AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+sets AS (SELECT doc_id, md5(array_to_string(list(s ORDER BY s), chr(10))) AS set_id FROM runs GROUP BY doc_id),
+firsts AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY set_id) AS class_id FROM sets)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id, d.doc_id = root AS kept, coalesce(class_id, d.doc_id) AS class_id
+FROM documents d JOIN tops ON tops.node = d.doc_id LEFT JOIN sizes USING (doc_id) LEFT JOIN firsts USING (doc_id)""")
+def near_dedup_query(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_toxicity")
 def toxicity_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
