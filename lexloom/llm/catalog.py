@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexloom.llm import fingerprint, language_id, line_dedup, near_dedup, packing, quality_rules, sentence_pieces, toxicity, url_filter
+from lexloom.llm import fingerprint, language_id, line_dedup, near_dedup, packing, quality_rules, sentence_pieces, substring_dedup, toxicity, url_filter
 from lexloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -161,3 +161,17 @@ FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source""")
 def quality_rules_query(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.withColumn("host_rate", F.round("host_rate", 6))
+
+
+@query("op10_substring_dedup", sql=rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM docs WHERE len(w) >= 50),
+later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(50) t(k)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL) AS text
+  FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)""")
+def substring_dedup_query(spark, sf_dir):
+    kept = substring_dedup.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"), plain=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
