@@ -27,8 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spark = prepare(spark)
     learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     network = toxicity.fit(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
-    rejected = toxicity.score(docs.where("doc_id IS NOT NULL"), network).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.score(docs, network).where("predicted = 0").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

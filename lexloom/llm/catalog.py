@@ -67,7 +67,7 @@ def toxicity_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     network = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
-    found = toxicity.score(docs, network)
+    found = toxicity.score(docs, network, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -294,15 +294,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     return net
 
 
-def score(docs: DataFrame, network: Network | float) -> DataFrame:
-    """(doc_id, score, predicted) of every document, over its whole text.
+def score(docs: DataFrame, network: Network | float, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if None) with score and predicted, over the whole text.
 
-    Needs doc_id and text; other columns are not read. A null text counts as empty; texts
-    without words get the network's score of an empty window. Repeated rows are scored one by one; an empty table
-    gives no rows.
+    Only ``text`` is read for the score. A null text counts as empty; texts without words get
+    the network's score of an empty window. Repeated rows are scored one by one; former
+    columns score and predicted are replaced; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network.light() if isinstance(network, Network) else network)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", score double, predicted int"
 
     def run(batches):
         net = shared.value
@@ -312,5 +313,5 @@ def score(docs: DataFrame, network: Network | float) -> DataFrame:
             else:
                 found = np.full(batch.num_rows, net)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+                [batch.column(c) for c in names] + [pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
