@@ -1,13 +1,14 @@
 """Model calls as a batch operator, with deterministic stand-ins for work without a network."""
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
 Client = Callable[[list[str]], list[str | None]]
 
@@ -60,40 +61,62 @@ def judge_score(reply: Column) -> Column:
 
 # ------------------------------------------------------------------ embeddings
 
+_LEGAL = {"article", "chapter", "section", "law", "decree", "clause", "tax"}
+HASHED = "hashed"
+
+
 def _bucket_weights(text: str, dim: int) -> np.ndarray:
     """Hashed word counts: legal words and numbers count double, a number after a legal word 1.5 times."""
-    import re
-    import xxhash
-    legal = {"article", "chapter", "section", "law", "decree", "clause", "tax"}
     v, prev = np.zeros(dim), ""
     for w in re.findall(r"\w+", text.lower()):
-        weight = 2.0 if w in legal or w.isdigit() else 1.0
-        if w.isdigit() and prev in legal:
+        weight = 2.0 if w in _LEGAL or w.isdigit() else 1.0
+        if w.isdigit() and prev in _LEGAL:
             weight *= 1.5
-        v[xxhash.xxh64_intdigest(w) % dim] += weight
+        v[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") % dim] += weight
         prev = w
     n = np.linalg.norm(v)
     return v / n if n else v
 
 
-def embed(text: Column, dim: int = 384, model: Callable[[], Callable[[list[str]], list]] | None = None) -> Column:
-    """Unit vectors of texts: a provider's model built once per batch, or hashed word counts.
+def hashed_words(dim: int = 384) -> Callable[[], Callable[[list[str]], list]]:
+    """The provider that needs no model: unit vectors of hashed word counts."""
+    return lambda: lambda texts: [_bucket_weights(t, dim) for t in texts]
+
+
+def embed(text: Column, providers: list[tuple[str, Callable[[], Callable[[list[str]], list]]]] | None = None) -> Column:
+    """struct<provider, vector> of texts; blank text gives null.
 
-    A failing provider falls back to the hashed form; blank text gives null.
+    ``providers``: (name, function that builds a model), in order of preference; hashed word
+    counts if none are given. A model is built once per task. Where one fails on a batch, the
+    next takes the whole batch, and its name says which vector space the vectors are in: keep
+    one column or table per provider. With no provider left the job fails.
     """
-    @F.pandas_udf(ArrayType(FloatType()))
-    def run(texts: pd.Series) -> pd.Series:
-        def local(t):
-            return _bucket_weights(t, dim).astype("float32")
-        blank = texts.isna() | (texts.str.strip() == "")
-        if model is not None:
-            try:
-                got = model()(texts[~blank].tolist())
-                return pd.Series([list(map(float, v)) for v in got], index=texts.index[~blank]).reindex(texts.index)
-            except Exception:  # noqa: BLE001 - provider switch
-                pass
-        return texts.where(~blank).map(lambda t: None if t is None or t != t else local(t))
-    return run(text)
+    chosen = providers if providers is not None else [(HASHED, hashed_words())]
+
+    @F.pandas_udf("struct<provider:string,vector:array<float>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        models: dict[str, Callable] = {}
+        for texts in batches:
+            blank = (texts.isna() | (texts.str.strip() == "")).to_numpy()
+            asked, name, vectors, failures = texts[~blank].tolist(), None, [], []
+            for name, make in chosen if asked else []:
+                try:
+                    if name not in models:
+                        models[name] = make()
+                    vectors = [np.asarray(v, dtype="float32") for v in models[name](asked)]
+                    break
+                except Exception as exc:  # noqa: BLE001 - the next provider may still answer
+                    failures.append(f"{name}: {type(exc).__name__}: {exc}")
+            else:
+                if asked:
+                    raise RuntimeError("no embedding provider left: " + "; ".join(failures))
+            out = pd.DataFrame({"provider": [None] * len(texts), "vector": [None] * len(texts)}, dtype=object)
+            at = np.flatnonzero(~blank)
+            for i, v in zip(at, vectors):
+                out.at[i, "provider"], out.at[i, "vector"] = name, v
+            yield out
+    found = run(text)
+    return F.when(found["vector"].isNotNull(), found)
 
 
 def embedding_model(corpus: DataFrame, text: str, dim: int = 384):

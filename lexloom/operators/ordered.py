@@ -6,7 +6,8 @@ aggregate row per bucket is combined across buckets, and the two are joined agai
 holding a third of the table is spread over as many tasks as it has buckets. With
 ``bucket=None`` the plain window is used.
 
-The order columns must be unique within a key, and key columns must not be null.
+The order columns must be unique within a key. Null keys are a key of their own, and rows
+whose order or bucket is null come first in ascending order, with and without buckets.
 """
 from __future__ import annotations
 
@@ -15,6 +16,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _B = "__bucket"
 
 
+def _join_buckets(rows: DataFrame, per_bucket: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (key, bucket) joined to the rows of its bucket, nulls matching nulls."""
+    names = [*keys, _B]
+    other = per_bucket.withColumnsRenamed({c: f"__join_{i}" for i, c in enumerate(names)})
+    same = [F.col(c).eqNullSafe(F.col(f"__join_{i}")) for i, c in enumerate(names)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return rows.join(other, on).drop(*[f"__join_{i}" for i in range(len(names))])
+
+
 def _ordering(order: list[str], descending: bool):
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
@@ -44,8 +56,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
         .withColumn("__before", F.sum("__total").over(across)).drop("__total")
     )
     return (
-        cut.withColumn("__inner", F.sum(value).over(inner))
-        .join(before, [*keys, _B])
+        _join_buckets(cut.withColumn("__inner", F.sum(value).over(inner)), before, keys)
         .withColumn(out, F.coalesce(F.col("__inner"), F.lit(0)) + F.coalesce(F.col("__before"), F.lit(0)))
         .drop("__inner", "__before", _B)
     )
@@ -83,8 +94,7 @@ def carry(df: DataFrame, keys: list[str], order: list[str], value: Column, out:
         .withColumn("__carried", F.last("__edge", ignorenulls=True).over(across)).drop("__edge")
     )
     return (
-        cut.withColumn("__inner", F.last("__value", ignorenulls=True).over(inner))
-        .join(carried, [*keys, _B])
+        _join_buckets(cut.withColumn("__inner", F.last("__value", ignorenulls=True).over(inner)), carried, keys)
         .withColumn(out, F.coalesce("__inner", "__carried"))
         .drop("__inner", "__carried", "__value", _B)
     )

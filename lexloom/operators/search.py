@@ -109,23 +109,26 @@ def semantic_topk(queries: DataFrame, corpus: DataFrame, k: int, min_similarity:
     the corpus is never shuffled and a run of equal vectors adds nothing to the shuffle. A
     larger query table is cut into blocks that meet corpus blocks in bounded groups.
     With ``cell`` and ``probes`` (query_id, cell) only rows of a query's cells count.
+    Queries and chunks of different vector lengths have no similarity: every length found
+    among the queries is searched by itself.
     """
     cols = dict(qid=qid, cid=cid)
     corpus = corpus.where(F.col(cvec).isNotNull()).select(cid, cvec, *([cell] if cell else []))
     queries = queries.where(F.col(qvec).isNotNull()).select(qid, qvec)
     schema, arrow = _result_schema(queries, corpus, cols), _arrow_schema(queries, corpus, cols)
-    sample = queries.select(F.size(qvec)).first()
-    if sample is None:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    dim = sample[0]
-    corpus, queries = corpus.where(F.size(cvec) == dim), queries.where(F.size(qvec) == dim)
-    limit = max(1, broadcast_bytes // (dim * 8))
-    if fits(queries, limit):
-        found = _scan_broadcast(queries, corpus, cols, qvec, cvec, dim, k, min_similarity, cell, probes, schema, arrow)
-    elif cell is None:
-        found = _scan_blocks(queries, corpus, cols, qvec, cvec, dim, k, min_similarity, schema, arrow)
-    else:
-        found = _scan_cells(queries, corpus, cols, qvec, cvec, dim, k, min_similarity, cell, probes, schema, arrow)
+    found = queries.sparkSession.createDataFrame([], schema)
+    # one number per embedding model in use
+    for dim in sorted(r[0] for r in queries.select(F.size(qvec)).distinct().collect() if r[0] > 0):
+        mine, others = queries.where(F.size(qvec) == dim), corpus.where(F.size(cvec) == dim)
+        asked = None if probes is None else probes.join(mine.select(F.col(qid).alias("query_id")), "query_id", "left_semi")
+        limit = max(1, broadcast_bytes // (dim * 8))
+        if fits(mine, limit):
+            part = _scan_broadcast(mine, others, cols, qvec, cvec, dim, k, min_similarity, cell, asked, schema, arrow)
+        elif cell is None:
+            part = _scan_blocks(mine, others, cols, qvec, cvec, dim, k, min_similarity, schema, arrow)
+        else:
+            part = _scan_cells(mine, others, cols, qvec, cvec, dim, k, min_similarity, cell, asked, schema, arrow)
+        found = found.unionByName(part)
     return top_k(found, ["query_id"], [F.col("similarity").desc(), F.col("chunk_id")], k)
 
 

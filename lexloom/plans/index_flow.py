@@ -36,7 +36,9 @@ def build_index(pages: DataFrame, regenerate: Callable[[DataFrame], DataFrame] =
     again = R.valid_rows(fresh.select(R.DOC, "pos", "structure", "title", F.col("physical_index").cast("int")), bounds.select(R.DOC, "n_pages"))
     chosen = R.add_preface(R.choose_by_accuracy(verified, repaired, again, toc))
     text_of = pages.select(R.DOC, F.col("page_number").alias("physical_index"), F.col("text").alias("__t"))
-    flagged = chosen.join(text_of, [R.DOC, "physical_index"]).withColumn("appear_start", R.starts_page(F.col("title"), F.col("__t"))).drop("__t")
+    # a title on a page without text starts no page, and stays
+    starts = F.when(F.col("__t").isNull(), F.lit("no")).otherwise(R.starts_page(F.col("title"), F.col("__t")))
+    flagged = chosen.join(text_of, [R.DOC, "physical_index"], "left").withColumn("appear_start", starts).drop("__t")
     nodes = R.build_tree(flagged, bounds.select(R.DOC, "last_page"))
 
     def contents(big: DataFrame, all_pages: DataFrame) -> DataFrame:

@@ -103,8 +103,6 @@ def tree_simplified(spark, sf):
 WHERE end_index - start_index > 0 GROUP BY 1, 2 HAVING sum(ceil(length(text) / 4)) >= 900""")
 def tree_large_nodes(spark, sf):
     n, p = nodes(spark, sf), pages(spark, sf)
-    first = p.groupBy("document_id").agg(F.max("page_number").alias("m"))
-    n = n.join(first, "document_id").where(F.col("start_index") <= F.col("m")).drop("m")
     return R.large_nodes(n, p, 0, 900).select("document_id", "node_id", "n_tokens")
 
 

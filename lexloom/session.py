@@ -51,12 +51,22 @@ def _local_dir() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below the cluster's shared checkpoint folder.
 
-    Where the session names none (tests, a laptop) one is made under the temporary folder.
+    Where a local session names none (tests, a laptop) one is made under the temporary
+    folder. On a cluster that folder would differ from machine to machine, so it must be named.
     """
-    root = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR) or _local_dir()
+    root = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
+    if not root:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that all machines of the cluster share")
+        root = _local_dir()
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+def is_local(master: str) -> bool:
+    """True for a master whose executors are threads of this process."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint(df: DataFrame, name: str = "step") -> DataFrame:
     """The DataFrame written to and read back from shared storage.
 

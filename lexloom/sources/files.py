@@ -77,7 +77,8 @@ def _extracted(files: DataFrame, extract: PageExtractor, keep_blank: bool) -> Da
 def extract_pages(files: DataFrame, pdf: PageExtractor | None = None, office: PageExtractor = office_text, keep_blank: bool = False) -> DataFrame:
     """Pages of every file by its kind. Plain text and HTML stay in the JVM; PDF and office
     files go through the given per-file extractors, batch by batch. Empty texts are dropped,
-    blank PDF pages kept only with ``keep_blank`` (page numbers always count them).
+    blank PDF pages kept only with ``keep_blank`` (page numbers always count them). Without
+    a PDF extractor every PDF gives one failed row (page_number null, text the reason).
     """
     mime, ext = _mime(files), extension(F.col("path"))
     kind = F.when((mime == "text/plain") | (mime == "text/markdown") | ext.isin(*PLAIN), "plain") \
@@ -86,8 +87,9 @@ def extract_pages(files: DataFrame, pdf: PageExtractor | None = None, office: Pa
     body = F.decode("content", "UTF-8")
     text = F.when(F.col("__kind") == "plain", T.trim_ws(body)).otherwise(T.strip_html(body))
     out = marked.where(F.col("__kind").isin("plain", "html")).select("path", F.lit(1).alias("page_number"), text.alias("text")).where(F.col("text") != "")
-    if pdf is not None:
-        out = out.unionByName(_extracted(marked.where(F.col("__kind") == "pdf"), pdf, keep_blank))
+    pdfs = marked.where(F.col("__kind") == "pdf")
+    failed = pdfs.select("path", F.lit(None).cast("int").alias("page_number"), F.lit("no PDF extractor given").alias("text"))
+    out = out.unionByName(failed if pdf is None else _extracted(pdfs, pdf, keep_blank))
     return out.unionByName(_extracted(marked.where(F.col("__kind") == "office"), office, True))
 
 

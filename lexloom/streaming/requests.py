@@ -1,7 +1,7 @@
 """Answer streams: event parsing and routing, request metrics, activity, deduplication.
 
 Policy: event time in ``ts`` (TIMESTAMP), watermark 10 minutes, later rows are dropped and
-counted by the state operators (``late_rows``). A request ends with its ``[DONE]`` event
+counted by the state operators (``LateRows``). A request ends with its ``[DONE]`` event
 or when its time-out passes.
 """
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexloom.functions import scoring
@@ -55,9 +56,32 @@ def with_event_time(events: DataFrame, ts: str = "ts", delay: str = WATERMARK) -
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def late_rows(query) -> int:
-    """Rows a finished or running query dropped behind its watermark."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows each query drops behind its watermark, over all its batches.
+
+    Add it to the session before the query starts: ``spark.streams.addListener(LateRows())``.
+    Spark itself only remembers the last hundred batches.
+    """
+
+    def __init__(self):
+        self._dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self._dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event):
+        run = str(event.progress.runId)
+        self._dropped[run] = self._dropped.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def of(self, query) -> int:
+        """Rows dropped by the query so far; complete once its last progress event has arrived."""
+        return self._dropped.get(str(query.runId), 0)
 
 
 # ------------------------------------------------------------------ aggregations

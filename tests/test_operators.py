@@ -280,7 +280,7 @@ def test_large_nodes_are_split(spark):
 
     def contents(big, _):
         return spark.createDataFrame(rows, schema).join(big.select("document_id", F.col("path").alias("parent_path")), ["document_id", "parent_path"], "left_semi")
-    out = R.split_large_nodes(nodes, pages, contents, rounds=2, max_pages=50, max_tokens=500)
+    out = R.split_large_nodes(nodes, pages, contents, max_pages=50, max_tokens=500)
     assert {(tuple(r["path"]), r["title"], r["start_index"], r["end_index"]) for r in out.collect()} == {
         ((0,), "Root", 1, 5), ((0, 1), "First", 5, 39), ((0, 1, 2), "Inner", 40, 90), ((2,), "Other", 90, 100)}
     ids = R.number_nodes(out)
@@ -307,7 +307,7 @@ def test_batch_infer_retries(spark):
 
 def test_embeddings(spark):
     df = spark.createDataFrame([(1, "article 5 tax"), (2, "Article 5 tax"), (3, " "), (4, "other words entirely")], "i int, t string")
-    got = {r["i"]: r["e"] for r in df.withColumn("e", infer.embed(F.col("t"))).collect()}
+    got = {r["i"]: r["e"] for r in df.withColumn("e", infer.embed(F.col("t"))["vector"]).collect()}
     assert got[1] == got[2] and got[3] is None and np.linalg.norm(got[1]) == pytest.approx(1.0, abs=1e-5)
     model = infer.embedding_model(df, "t", 64)
     out = infer.embedded(model, df).where("i in (1, 2)").collect()
@@ -436,7 +436,7 @@ def test_contents_and_descriptions_by_model(spark):
     got = [(r["pos"], r["title"], r["physical_index"]) for r in R.contents_by_model(pages, client, "{text}", 20).orderBy("pos").collect()]
     assert [g[2] for g in got] == sorted(g[2] for g in got) and {g[2] for g in got} == {1, 2, 3, 4, 5}
     nodes = spark.createDataFrame([("d", [0], "0000", "A"), ("d", [1], "0001", "B")], "document_id string, path array<bigint>, node_id string, title string")
-    assert R.describe_documents(nodes, lambda: (lambda ps: [p.upper() for p in ps]), "about {outline}").first()["description"] == "ABOUT 0000 A\n0001 B"
+    assert R.describe_documents(nodes, lambda: (lambda ps: [p.upper() for p in ps]), "about {outline}").first()["description"] == 'ABOUT [{"TITLE":"A","NODE_ID":"0000"},{"TITLE":"B","NODE_ID":"0001"}]'
 
 
 def test_status_keeps_error_text(spark):

@@ -2,6 +2,8 @@
 import datetime as dt
 import json
 import os
+import time
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -60,9 +62,23 @@ def test_sessions_close_and_late_rows_are_counted(spark, tmp_path):
     write_batch(src, 2, [event("end", 5000, "x")])
     write_batch(src, 3, [event("end", 5001, "x")])
     write_batch(src, 4, [event("a", 30, "x"), event("end", 9000, "x")])
+    late = Q.LateRows()
+    spark.streams.addListener(late)
     out, q = run(spark, Q.request_sessions(stream(spark, src)), "rs")
     assert {(r["request_id"], r["token_count"]) for r in out.where("request_id <> 'end'").collect()} == {("a", 2), ("b", 1)}
-    assert Q.late_rows(q) >= 1
+    deadline = time.time() + 30  # progress events come on their own thread
+    while late.of(q) < 1 and time.time() < deadline:
+        time.sleep(0.2)
+    spark.streams.removeListener(late)
+    assert late.of(q) >= 1
+
+
+def test_late_rows_count_more_than_the_last_batches():
+    late = Q.LateRows()
+    for n in range(250):
+        op = SimpleNamespace(numRowsDroppedByWatermark=2)
+        late.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(runId="r", stateOperators=[op, op])))
+    assert late.of(SimpleNamespace(runId="r")) == 1000
 
 
 def test_feedback_over_batches(spark, tmp_path):
