@@ -295,9 +295,112 @@ def keyword_scores(terms: DataFrame, corpus: DataFrame, match: str = "or", cid:
     return scored.drop("n_terms")
 
 
-def keyword_topk(terms: DataFrame, corpus: DataFrame, k: int, match: str = "or", **kw) -> DataFrame:
-    """The best k of ``keyword_scores`` per query."""
-    return top_k(keyword_scores(terms, corpus, match, **kw), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
+_PAIRS = 1 << 21  # (query, chunk, term) triples worked on at once inside a task
+_TERM_BYTES = 64  # of a (query, term) row in a task, beside the term itself
+
+
+def _count_terms(asked: pa.Array):
+    """Task that turns token lists into counts of the asked terms, given by number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["__w"]
+            size = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            code = pc.index_in(lists.flatten(), value_set=asked)
+            known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+            both, tf = np.unique(row[known] * max(1, len(asked)) + code.drop_null().to_numpy(), return_counts=True)
+            row, code = np.divmod(both, max(1, len(asked)))
+            ends = pa.array(np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch["chunk_id"], pa.array(size.astype(np.int64), mask=lists.is_null().to_numpy(zero_copy_only=False)),
+                 pa.ListArray.from_arrays(ends, pa.array(code.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))],
+                names=["chunk_id", "doc_len", "terms", "tfs"])
+    return run
+
+
+def _score_terms(shipped, k: int, match: str, k1: float, b: float, schema: pa.Schema):
+    """Task that scores its chunks for all queries and hands on k rows per query."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, needed, starts, asking, idf, avg_len = shipped.value
+        best_q, best_s, best_n, best_id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), None
+        floor = np.full(len(query_ids), -np.inf)
+        for whole in batches:
+            entries = np.diff(whole["terms"].offsets.to_numpy())
+            term, tf = whole["terms"].flatten().to_numpy(), whole["tfs"].flatten().to_numpy().astype(np.float64)
+            row = np.repeat(np.arange(len(entries)), entries)
+            length = whole["doc_len"].to_numpy(zero_copy_only=False).astype(np.float64)[row]
+            weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
+            ids = _ids(whole["chunk_id"])
+            best_id = ids[:0] if best_id is None else best_id
+            fan = starts[term + 1] - starts[term]
+            cut = np.searchsorted(np.cumsum(fan), np.arange(_PAIRS, max(1, fan.sum()) + _PAIRS, _PAIRS), side="right")
+            edge = np.r_[0, np.cumsum(entries)]
+            at = 0
+            for stop in np.unique(edge[np.minimum(np.searchsorted(edge, cut, side="left"), len(edge) - 1)]):  # whole chunks only
+                part, at = slice(at, int(stop)), int(stop)
+                n = fan[part]
+                ends = np.cumsum(n)
+                query = asking[np.repeat(starts[term[part]] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+                pair, place, hits = np.unique(np.repeat(row[part], n) * len(query_ids) + query, return_inverse=True, return_counts=True)
+                chunk, query = np.divmod(pair, max(1, len(query_ids)))
+                score = np.round(np.bincount(place, np.repeat(weight[part], n), len(pair)), 6)
+                keep = score >= floor[query]
+                if match == "and":
+                    keep &= hits == needed[query]
+                best_q, best_s, best_n = np.r_[best_q, query[keep]], np.r_[best_s, score[keep]], np.r_[best_n, hits[keep]]
+                best_id = np.concatenate([best_id, ids[chunk[keep]]])
+                order = np.lexsort((best_id, -best_s, best_q))
+                best_q, best_s, best_n, best_id = best_q[order], best_s[order], best_n[order], best_id[order]
+                first = np.searchsorted(best_q, best_q, side="left")
+                top = np.arange(len(best_q)) - first < k
+                best_q, best_s, best_n, best_id = best_q[top], best_s[top], best_n[top], best_id[top]
+                last = np.flatnonzero(np.arange(len(best_q)) - np.searchsorted(best_q, best_q, side="left") == k - 1)
+                floor[best_q[last]] = best_s[last]
+        if best_id is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([query_ids[q] for q in best_q.tolist()], schema.field(0).type), pa.array(best_id.tolist(), schema.field(1).type), pa.array(best_s), pa.array(best_n)], schema=schema)
+    return run
+
+
+def keyword_topk(terms: DataFrame, corpus: DataFrame, k: int, match: str = "or", cid: str = "chunk_id", text: str = "text",
+                 k1: float = 1.2, b: float = 0.75, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The best k of ``keyword_scores`` per query: (query_id, chunk_id, score, n_hit, rank).
+
+    The corpus is split into words once. All terms of a chunk are in one row, so each task
+    scores its chunks by itself and only k rows per query and task move, however common a
+    word is. The terms sent to tasks are bounded: a larger query table is cut into blocks of
+    queries, each a pass of its own.
+    """
+    schema = f"query_id {terms.schema['query_id'].dataType.simpleString()}, chunk_id {corpus.schema[cid].dataType.simpleString()}, score double, n_hit long"
+    arrow = _arrow_schema(terms, corpus, dict(qid="query_id", cid=cid))
+    arrow = pa.schema([arrow.field(0), arrow.field(1), ("score", pa.float64()), ("n_hit", pa.int64())])
+    terms = checkpoint(terms.select("query_id", "term", "n_terms"), "terms")
+    total = terms.agg(F.sum(F.octet_length("term") + _TERM_BYTES)).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    words = computed(corpus.select(F.col(cid).alias("chunk_id"), F.col(text).alias("__x")), "__w", T.tokens(F.col("__x"))).select("chunk_id", "__w")
+    found = terms.sparkSession.createDataFrame([], schema)
+    for block in range(blocks):
+        mine = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id", "term").toArrow()  # at most about block_bytes
+        if not mine.num_rows:
+            continue
+        coded = mine["term"].combine_chunks().dictionary_encode()
+        id_type = corpus.schema[cid].dataType.simpleString()
+        counted = checkpoint(words.mapInArrow(_count_terms(coded.dictionary), f"chunk_id {id_type}, doc_len long, terms array<int>, tfs array<int>"), "term-counts")
+        size = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len")).first()
+        spread = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toArrow()  # one row per asked term
+        df = np.zeros(len(coded.dictionary))
+        df[spread["t"].to_numpy()] = spread["df"].to_numpy()
+        idf = np.log(1 + (size["n"] - df + 0.5) / (df + 0.5))
+        queries = mine["query_id"].combine_chunks().dictionary_encode()
+        code, query = coded.indices.to_numpy(), queries.indices.to_numpy().astype(np.int64)
+        needed = np.zeros(len(queries.dictionary), np.int64)
+        needed[query] = mine["n_terms"].to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+        shipped = terms.sparkSession.sparkContext.broadcast((queries.dictionary.to_pylist(), needed, starts, query[order], idf, size["avg_len"] or 1.0))
+        hit = counted.where(F.size("terms") > 0)
+        found = found.unionByName(hit.mapInArrow(_score_terms(shipped, k, match, k1, b, arrow), schema))
+    return top_k(found, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
 def matches_all(tokens: Column, terms: Column) -> Column:
