@@ -101,9 +101,8 @@ def _validate(answer: Column, n_sources: Column, all_marks: Column) -> Column:
     return T.let(found, lambda f: T.let(with_issues(f), result))
 
 
-def _per_topic(query: Column, build) -> list[Column]:
-    """``build(topic row)`` where the query is about the topic, an empty array elsewhere."""
-    low = F.lower(query)
+def _per_topic(low: Column, build) -> list[Column]:
+    """``build(topic row)`` where the lower-cased query is about the topic, an empty array elsewhere."""
     empty = F.array().cast("array<string>")
     return [F.when(T.contains_any(low, row[1]), build(row)).otherwise(empty) for row in vocab.KEY_FIGURES]
 
@@ -114,16 +113,18 @@ def _strings(cols: list[Column]) -> Column:
 
 def key_figures(query: Column, answer: Column) -> Column:
     """Struct present, missing, topics: figures an answer on the query's topics should give."""
-    low = F.lower(answer)
-    present = F.concat(*_per_topic(query, lambda r: _strings([F.when(low.contains(f.lower()), F.lit(f"{r[0]}: {f}")) for f in r[2]])))
-    missing = F.concat(*_per_topic(query, lambda r: _strings([F.when(~low.contains(f.lower()), F.lit(f"{r[0]}: {f} ({r[3]})")) for f in r[2]])))
-    topics = F.concat(*_per_topic(query, lambda r: F.array(F.lit(r[0]))))
-    return F.struct(present.alias("present"), missing.alias("missing"), topics.alias("topics"))
+    def figures(low):
+        query, answer = low["query"], low["answer"]
+        present = F.concat(*_per_topic(query, lambda r: _strings([F.when(answer.contains(f.lower()), F.lit(f"{r[0]}: {f}")) for f in r[2]])))
+        missing = F.concat(*_per_topic(query, lambda r: _strings([F.when(~answer.contains(f.lower()), F.lit(f"{r[0]}: {f} ({r[3]})")) for f in r[2]])))
+        topics = F.concat(*_per_topic(query, lambda r: F.array(F.lit(r[0]))))
+        return F.struct(present.alias("present"), missing.alias("missing"), topics.alias("topics"))
+    return T.let(F.struct(F.lower(query).alias("query"), F.lower(answer).alias("answer")), figures)
 
 
 def key_figure_lines(query: Column) -> Column:
     """``- figures: description`` line per topic of the query, one text; empty without topics."""
-    return F.array_join(F.concat(*_per_topic(query, lambda r: F.array(F.lit(f"- {' / '.join(r[2])}: {r[3]}")))), "\n")
+    return T.let(F.lower(query), lambda low: F.array_join(F.concat(*_per_topic(low, lambda r: F.array(F.lit(f"- {' / '.join(r[2])}: {r[3]}")))), "\n"))
 
 
 def quality_score(query: Column, answer: Column, n_sources: Column) -> Column:
