@@ -1,7 +1,6 @@
 """Column expressions over text: normalising, keywords, references, snippets.
 
-Whitespace is ``[\\s\\u00a0]`` and word characters are ASCII, as in the browser and
-server code these rules come from; Spark string lengths count code points.
+Whitespace is ``[\\s\\u00a0]`` and word characters are ASCII; lengths count code points.
 """
 from __future__ import annotations
 

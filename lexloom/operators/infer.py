@@ -144,9 +144,3 @@ def synthetic_questions(chunks: DataFrame, document: str, order: str, make_clien
     picked = top_k(chunks, [document], [F.col(order)], first, "__n").withColumn("__prompt", fill_template(template, content=F.col("content")))
     asked = batch_infer(picked, "__prompt", "__reply", make_client)
     return asked.select(document, order, F.explode(json_array_in(F.col("__reply"))).alias("question"))
-
-
-def short_texts(limit_kind: str) -> int:
-    """Input limits in characters by use."""
-    return {"local": 2000, "remote": 8191 * 4, "evaluation": 8000}[limit_kind]
-

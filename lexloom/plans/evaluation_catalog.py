@@ -139,17 +139,22 @@ def configuration_totals(spark, sf):
     return d.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
-@query("configuration_wide", """WITH r AS (SELECT o_custkey AS id, o_orderpriority[1:1] AS p, max(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1, 2)
+_WIDE = ", ".join(
+    f"""max(CASE WHEN p = '{i}' THEN (n > 1)::VARCHAR END) AS "P{i}_passed", max(CASE WHEN p = '{i}' THEN (n % 100)::INT || '%' END) AS "P{i}_accuracy",
+  max(CASE WHEN p = '{i}' THEN n::VARCHAR END) AS "P{i}_duration_ms", max(CASE WHEN p = '{i}' THEN printf('%.5f', n / 8.0) END) AS "P{i}_cost_usd",
+  max(CASE WHEN p = '{i}' THEN 'two lines ' || n END) AS "P{i}_answer\"""" for i in range(1, 6))
+
+
+@query("configuration_wide", f"""WITH r AS (SELECT o_custkey AS id, o_orderpriority[1:1] AS p, max(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT id::VARCHAR AS id, 'q' || id AS query, 'c' || (id % 3) AS category, 'easy' AS difficulty,
-  max(CASE WHEN p = '1' THEN (n > 1)::VARCHAR END) AS "P1_passed", max(CASE WHEN p = '1' THEN (n % 100)::INT || '%' END) AS "P1_accuracy", max(CASE WHEN p = '1' THEN n::VARCHAR END) AS "P1_duration_ms", max(CASE WHEN p = '1' THEN printf('%.5f', n / 8.0) END) AS "P1_cost_usd", max(CASE WHEN p = '1' THEN 'two lines ' || n END) AS "P1_answer",
-  max(CASE WHEN p = '2' THEN (n > 1)::VARCHAR END) AS "P2_passed", max(CASE WHEN p = '2' THEN (n % 100)::INT || '%' END) AS "P2_accuracy", max(CASE WHEN p = '2' THEN n::VARCHAR END) AS "P2_duration_ms", max(CASE WHEN p = '2' THEN printf('%.5f', n / 8.0) END) AS "P2_cost_usd", max(CASE WHEN p = '2' THEN 'two lines ' || n END) AS "P2_answer"
+  {_WIDE}
 FROM r GROUP BY id""")
 def configuration_wide(spark, sf):
     r = table(spark, sf, "orders").groupBy("o_custkey", F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1)).alias("configuration")).agg(F.count(F.lit(1)).alias("n"))
     i = F.col("o_custkey")
     rows = r.select(i.cast("string").alias("id"), F.concat(F.lit("q"), i).alias("query"), F.concat(F.lit("c"), i % 3).alias("category"), F.lit("easy").alias("difficulty"), "configuration",
                     (F.col("n") > 1).alias("passed"), ((F.col("n") % 100) / 100).alias("accuracy"), F.col("n").alias("duration"), (F.col("n") / 8.0).alias("cost"), F.concat(F.lit("two\nlines "), "n").alias("response"))
-    return sinks.comparison_rows(rows, ["P1", "P2"])
+    return sinks.comparison_rows(rows, [f"P{i}" for i in range(1, 6)])
 
 
 @query("paired_runs", """SELECT o_custkey AS id, max(CASE WHEN o_orderstatus = 'F' THEN t END) AS "F", max(CASE WHEN o_orderstatus = 'O' THEN t END) AS "O", max(CASE WHEN o_orderstatus = 'P' THEN t END) AS "P"

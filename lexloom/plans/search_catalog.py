@@ -119,12 +119,11 @@ def ann_topk_recall(spark, sf):
     return exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
-@query("cosine_pairs", """SELECT doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
-FROM labels JOIN embeddings a ON doc_id = a.vec_id JOIN embeddings b ON doc_id + 1 = b.vec_id""")
+@query("cosine_pairs", """SELECT a.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
+FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id""")
 def cosine_pairs(spark, sf):
     e = table(spark, sf, "embeddings")
-    a = table(spark, sf, "labels").join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a")), "doc_id")
-    p = a.join(e.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("b")), "doc_id")
+    p = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("b")), "doc_id")
     sim = V.cosine(F.col("a"), F.col("b"))
     return p.select("doc_id", F.round(sim, 6).alias("similarity"), F.round(1 - sim, 6).alias("distance"))
 

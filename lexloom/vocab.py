@@ -1,7 +1,7 @@
 """Word lists and lookup tables.
 
-All lists in this module are fixed values: results only agree with the system
-being replaced when they are equal to its lists, in the same order.
+All lists in this module are fixed values: they decide results, entry by entry and in the
+order given.
 """
 
 # fixed values: typo -> correction, applied in this order
@@ -78,25 +78,29 @@ SYNONYMS = {
 }
 
 # fixed values: stop words of the search keyword extractor
-SEARCH_STOP_WORDS = (
-    "what is the a an are how do does can could would should will for to of in on at by with "
-    "about from as into through during before after above below between under again further "
-    "then once here there when where why which who whom this that these those am be been being "
-    "have has had having get gets please tell me explain describe show give find"
-).split()
+SEARCH_STOP_WORDS = [
+    "what", "is", "the", "a", "an", "are", "how", "do", "does", "can", "could", "would", "should", "will", "for", "to", "of", "in", "on",
+    "at", "by", "with", "about", "from", "as", "into", "through", "during", "before", "after", "above", "below", "between", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "which", "who", "whom", "this", "that", "these", "those",
+    "am", "be", "been", "being", "have", "has", "had", "having", "get", "gets", "please", "tell", "me", "explain", "describe", "show",
+    "give", "find",
+]
 
 # fixed values: stop words of the document pre-filter
-PREFILTER_STOP_WORDS = "what are the in of to for is a an and or how does do can uae under about say says".split()
+PREFILTER_STOP_WORDS = [
+    "what", "are", "the", "in", "of", "to", "for", "is", "a", "an", "and", "or", "how", "does", "do", "can", "uae", "under", "about", "say",
+    "says",
+]
 
 # fixed values: stop words of the keyword reranker
-RERANK_STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may "
-    "might must shall can need dare ought used to of in for on with at by from as into through "
-    "during before after above below between under again further then once here there when where "
-    "why how all each few more most other some such no nor not only own same so than too very s t "
-    "just don now what which who this that these those am it its and but if or because until while "
-    "about"
-).split()
+RERANK_STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "must", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at",
+    "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "between", "under", "again", "further", "then",
+    "once", "here", "there", "when", "where", "why", "how", "all", "each", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "just", "don", "now", "what", "which", "who", "this", "that",
+    "these", "those", "am", "it", "its", "and", "but", "if", "or", "because", "until", "while", "about",
+]
 
 # fixed values: query class signals
 TECHNICAL_SIGNALS = [
