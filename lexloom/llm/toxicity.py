@@ -27,6 +27,8 @@ MIN_DOCUMENTS = 3  # a word or n-gram in fewer sampled texts has no vector
 MAX_FEATURES = 50_000
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 MIN_STEPS = 300  # small samples are read more often
+_LIKELY_BITS = 20
+_SLICE_BYTES = 16 << 20
 _BLOCK = 1024  # windows scored together
 
 
@@ -61,10 +63,16 @@ class Features:
     keys: np.ndarray
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at + 1, 0)
+        out = np.zeros(len(hashes), np.int64)
+        if len(self.keys):
+            maybe = np.flatnonzero(self.likely[hashes >> np.uint64(64 - _LIKELY_BITS)])  # few need the search
+            at = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
+            out[maybe] = np.where(self.keys[at] == hashes[maybe], at + 1, 0)
+        return out
+
+    def __post_init__(self):
+        self.likely = np.zeros(1 << _LIKELY_BITS, bool)  # leading bits in use
+        self.likely[self.keys >> np.uint64(64 - _LIKELY_BITS)] = True
 
 
 def _select(hashes: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[Features, np.ndarray]:
@@ -123,11 +131,22 @@ class Network:
             best[owner[up], k], winner[owner[up], k] = value[up], row[up]
         return np.concatenate([w["word"][word_row], best], axis=1), winner
 
-    def _scan(self, side: str, codes, mask, projected, keep):
+    def word_vectors(self, vocabulary: pa.Array) -> np.ndarray:
+        """The same vectors without the winners, for scoring."""
+        word_row, owner, row = self.rows(vocabulary)
+        w = self.weights
+        best = np.zeros((len(word_row), GRAM_SIZE), w["gram"].dtype)
+        if len(owner):
+            order = np.argsort(owner, kind="stable")
+            first = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])
+            best[owner[order][first]] = np.maximum(np.maximum.reduceat(w["gram"][row[order]], first), 0)
+        return np.concatenate([w["word"][word_row], best], axis=1)
+
+    def _scan(self, side: str, codes, mask, projected, states, keep):
+        """Reads the windows in one direction and writes the states; returns what gradients need."""
         u = self.weights["U" + side]
         h = np.zeros((codes.shape[1], HIDDEN), projected.dtype)
         steps = range(len(codes)) if side == "f" else range(len(codes) - 1, -1, -1)
-        states = np.zeros((*codes.shape, HIDDEN), projected.dtype)
         full = mask.all(axis=1)
         trace = {}
         for t in steps:
@@ -140,25 +159,31 @@ class Network:
             step = z * (n - h)
             h = h + (step if full[t] else step * mask[t, :, None])
             states[t] = h
-        return states, trace
+        return trace
+
+    def projected(self, x):
+        """What the word vectors give to the gates, in both directions."""
+        return [x @ self.weights["W" + s] + self.weights["c" + s] for s in "fb"]
 
-    def forward(self, codes, mask, x, keep: bool = False):
+    def forward(self, codes, mask, projected, keep: bool = False):
         """Logits of windows given as word numbers (WINDOW, windows)."""
         w = self.weights
-        parts = [self._scan(s, codes, mask, x @ w["W" + s] + w["c" + s], keep) for s in "fb"]
-        states = np.concatenate([p[0] for p in parts], axis=2)  # (WINDOW, windows, 2 HIDDEN)
-        u = np.tanh(states @ w["A"])
-        score = np.where(mask > 0, u @ w["v"], -1e9).astype(x.dtype)
-        share = np.exp(score - score.max(axis=0)) * mask
-        share = share / np.maximum(share.sum(axis=0), 1e-9)
+        states = np.empty((*codes.shape, 2 * HIDDEN), projected[0].dtype)
+        traces = [self._scan(s, codes, mask, projected[k], states[:, :, k * HIDDEN:(k + 1) * HIDDEN], keep) for k, s in enumerate("fb")]
+        flat = states.reshape(-1, 2 * HIDDEN)
+        u = np.tanh(flat @ w["A"])
+        score = (u @ w["v"]).reshape(codes.shape)
+        share = np.exp(score - score.max(axis=0)) * mask  # scores are bounded by tanh, so padding cannot drown the words
+        share = share / np.maximum(share.sum(axis=0), 1e-30)
+        if not keep:  # the output is linear: pool its values instead of the states
+            return (share * (flat @ w["o"]).reshape(codes.shape)).sum(axis=0) + w["b"][0]
         pooled = np.einsum("tb,tbh->bh", share, states)
-        logit = pooled @ w["o"] + w["b"][0]
-        return (logit, (parts, states, u, share, pooled)) if keep else logit
+        return pooled @ w["o"] + w["b"][0], (traces, states, u.reshape(*codes.shape, -1), share, pooled)
 
     def gradients(self, codes, mask, x, labels):
         """Gradients of the mean logistic loss, and of the word vectors."""
         w = self.weights
-        logit, (parts, states, u, share, pooled) = self.forward(codes, mask, x, keep=True)
+        logit, (traces, states, u, share, pooled) = self.forward(codes, mask, self.projected(x), keep=True)
         d = (_sigmoid(logit) - labels) / len(labels)
         grad = {"o": pooled.T @ d, "b": np.array([d.sum()])}
         d_pooled = d[:, None] * w["o"]
@@ -171,7 +196,7 @@ class Network:
         d_states = d_states + d_u @ w["A"].T
         d_x = np.zeros_like(x)
         for k, side in enumerate("fb"):
-            trace, u_ = parts[k][1], w["U" + side]
+            trace, u_ = traces[k], w["U" + side]
             g_u, g_w, g_c = np.zeros_like(u_), np.zeros_like(w["W" + side]), np.zeros_like(w["c" + side])
             d_h = np.zeros((codes.shape[1], HIDDEN))
             steps = range(len(codes) - 1, -1, -1) if side == "f" else range(len(codes))
@@ -196,16 +221,17 @@ class Network:
         windows = _windows(bounds)
         text, start, size = windows
         logit = np.zeros(len(text), x.dtype)
+        projected = self.projected(x)
         for a in range(0, len(text), _BLOCK):
             part = slice(a, a + _BLOCK)
-            logit[part] = self.forward(*_cut(codes, start[part], size[part], len(x) - 1, x.dtype), x)
+            logit[part] = self.forward(*_cut(codes, start[part], size[part], len(x) - 1, x.dtype), projected)
         worst = np.lexsort((-logit, text))
         worst = worst[np.r_[True, text[worst][1:] != text[worst][:-1]]]
         return logit[worst].astype(np.float64), worst, windows
 
     def scores(self, codes: np.ndarray, bounds: np.ndarray, vocabulary: pa.Array) -> np.ndarray:
         """Score of every text: that of its worst window."""
-        return _sigmoid(self.worst_windows(codes, bounds, self.vectors(self.rows(vocabulary))[0])[0])
+        return _sigmoid(self.worst_windows(codes, bounds, self.word_vectors(vocabulary))[0])
 
     def light(self) -> Network:
         """The same in single precision, for scoring."""
@@ -307,7 +333,7 @@ def score(docs: DataFrame, network: Network | float, keep: list[str] | None = No
 
     def run(batches):
         net = shared.value
-        for batch in words.slices(batches):
+        for batch in words.slices(batches, max_bytes=_SLICE_BYTES):
             if isinstance(net, Network):
                 found = net.scores(*words.split(pc.utf8_lower(pc.fill_null(batch.column("text"), ""))))
             else:

@@ -85,7 +85,7 @@ def test_toxicity_gradients_match_differences():
     labels = np.array([1.0, 0, 1, 0, 1, 0])
 
     def loss():
-        logit = net.forward(cut, mask, net.vectors(rows)[0])
+        logit = net.forward(cut, mask, net.projected(net.vectors(rows)[0]))
         return np.mean(np.log1p(np.exp(logit)) - labels * logit)
     grad, d_x = net.gradients(cut, mask, net.vectors(rows)[0], labels)
     for name in ("o", "v", "A", "Uf", "Wb", "cf", "b"):
