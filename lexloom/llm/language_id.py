@@ -29,14 +29,18 @@ _LETTER = re.compile(r"[^\W\d_]")
 def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary content per language, from (text, lang).
 
-    Learns from a bounded sample: of each language the ``sample_texts`` texts with the smallest
-    hashes, ``sample_chars`` characters of each. Rows with null text or language teach nothing.
+    Learns from a bounded sample: of each language ``sample_texts`` distinct texts with the
+    smallest hashes, ``sample_chars`` characters of each. Rows with null text or language teach
+    nothing. Languages are counted first, so that each hands on a few times the sample only,
+    however large it is.
     """
-    order = F.xxhash64("text")
-    smallest = (
-        labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("hash", order)
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))  # WindowGroupLimit: each task keeps its own n
-        .where(F.col("n") <= sample_texts).select("lang", "n", F.substring("text", 1, sample_chars).alias("text")))
+    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
+    share = known.groupBy("lang").agg((4.0 * sample_texts / F.count(F.lit(1))).alias("share"))
+    marked = known.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, sample_chars).alias("text"))
+    near = marked.join(share, "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    once = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash")
+    smallest = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts)
     content: dict[str, list[str]] = {}
     for r in smallest.orderBy("lang", F.desc("n")).collect():  # the bounded sample
         content.setdefault(r["lang"], []).append(r["text"])
