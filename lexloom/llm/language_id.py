@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexloom.llm import words
 
 SAMPLE_TEXTS = 800  # labelled texts per language in its dictionary
-SAMPLE_CHARS = 600  # characters of each of them
+SAMPLE_CHARS = 1200  # characters of each of them
 PIECE_BYTES = 2048
-LEVEL = 3
+LEVEL = 6
 MIN_MARGIN = 0.01  # best and second size closer than this share of the second: rejected
 UNDETERMINED = "und"
 # lower-case letters carry the language; ASCII digits and signs become blanks, runs of them shrink by compression
