@@ -1,7 +1,7 @@
 """Answers and retrieval against expectations: per-question checks and grouped reports."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions import citations as C, text as T
 from lexloom.operators.ordered import top_k
@@ -216,8 +216,21 @@ def weak_categories(summary: DataFrame, below: float = 0.7) -> DataFrame:
 
 def best_and_fastest(summary: DataFrame) -> DataFrame:
     """One row: model with the highest score and with the lowest time; first by name on ties."""
-    return summary.agg(F.max_by("model", F.struct("avg_score", F.lit(0) - F.col("name_rank"))).alias("best_model"),
-                       F.min_by("model", F.struct("avg_time", "name_rank")).alias("fastest_model"))
+    return summary.agg(F.min_by("model", F.struct(-F.col("avg_score"), "model")).alias("best_model"),
+                       F.min_by("model", F.struct("avg_time", "model")).alias("fastest_model"))
+
+
+def first_failures(results: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """The first ``n`` failed results by ``order``, numbered, with the reason and the number of all failures.
+
+    A result failed if it has an error or a score of at most 0. results: total_score, error
+    and the columns of ``order``; columns of the result: those, failure_no, reason, n_failures.
+    """
+    failed = results.where(F.col("error").isNotNull() | (F.col("total_score") <= 0))
+    first = failed.orderBy(*order).limit(n).withColumn("reason", F.coalesce("error", F.lit("Score 0")))
+    numbered = first.withColumn("failure_no", F.row_number().over(Window.orderBy(*order)))  # n rows
+    total = failed.agg(F.count(F.lit(1)).alias("n_failures"))
+    return numbered.join(F.broadcast(total)).select(*order, "failure_no", "reason", "n_failures")
 
 
 def frequent_missing(results: DataFrame, keys: list[str], missing: str = "missing", n: int = 5) -> DataFrame:

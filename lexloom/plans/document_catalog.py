@@ -32,6 +32,17 @@ def chunk_recursive(spark, sf):
     return C.number_chunks(parts, "document_id", "page_number", "pos").drop("pos")
 
 
+@query("chunk_recursive_cover", """SELECT doc_id, md5(regexp_replace(text, '[\\x{1c}-\\x{1f}\\s\\p{Z}\\x{85}]+', '', 'g')) AS digest, true AS fits FROM documents WHERE length(trim(text)) > 0""")
+def chunk_recursive_cover(spark, sf):
+    """Without overlap the chunks hold every non-blank character once, in order, and none is longer than asked."""
+    d = documents(spark, sf).select("doc_id", "text")
+    parts = C.recursive_chunks(d, ["doc_id"], "text", 1000, 0)
+    bare = F.regexp_replace("content", r"[\x1c-\x1f\s\p{Z}\x85]+", "")
+    # the chunks of one text
+    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", bare.alias("c")))).alias("r"), F.max(F.length("content")).alias("longest"))
+    return rows.select("doc_id", F.md5(F.array_join(F.transform("r", lambda x: x["c"]), "")).alias("digest"), (F.col("longest") <= 1000).alias("fits"))
+
+
 @query("chunk_index_global", f"""WITH {CHUNKS} SELECT source AS document_id, c.doc_id AS page_number, row_number() OVER (PARTITION BY source ORDER BY c.doc_id, c.chunk_index) - 1 AS chunk_index, md5(content) AS digest
 FROM chunk c JOIN documents d ON c.doc_id = d.doc_id""")
 def chunk_index_global(spark, sf):
@@ -146,7 +157,15 @@ def doc_prefilter(spark, sf):
     return P.prefilter_documents(prefilter_questions(spark, sf), _named(spark, sf), 10)
 
 
-@query("page_grouping")
+@query("page_grouping", """WITH RECURSIVE p AS (SELECT *, sum(t) OVER (PARTITION BY document_id ORDER BY i) AS s FROM (
+  SELECT source AS document_id, doc_id AS page_number, ceil(length(text) / 4)::BIGINT AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)),
+b AS (SELECT document_id, CASE WHEN sum(t) <= 5000 THEN sum(t) ELSE ceil((sum(t) / ceil(sum(t) / 5000) + 5000) / 2) END AS budget FROM p GROUP BY 1),
+jump AS (SELECT a.document_id, a.i, min(q.i) AS j FROM p a JOIN b USING (document_id) LEFT JOIN p r ON r.document_id = a.document_id AND r.i = a.i - 1
+  JOIN p q ON q.document_id = a.document_id AND q.i > a.i AND q.s > coalesce(r.s - r.t, 0) + b.budget GROUP BY 1, 2),
+g(document_id, group_no, i) AS (SELECT document_id, 0::BIGINT, 0::BIGINT FROM b UNION ALL SELECT g.document_id, group_no + 1, jump.j FROM g JOIN jump USING (document_id, i)),
+spans AS (SELECT *, lead(i) OVER (PARTITION BY document_id ORDER BY group_no) AS stop FROM g)
+SELECT p.document_id, page_number, group_no FROM p JOIN spans s ON s.document_id = p.document_id AND p.i >= s.i AND (s.stop IS NULL OR p.i < s.stop)
+UNION ALL SELECT p.document_id, page_number, group_no FROM p JOIN g ON g.document_id = p.document_id AND group_no > 0 AND p.i = g.i - 1""")
 def page_grouping(spark, sf):
     d = documents(spark, sf).select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), T.estimate_tokens(F.col("text")).alias("token_count"))
     return C.pages_of_groups(d, "document_id", "page_number", "token_count", 5000)

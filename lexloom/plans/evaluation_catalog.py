@@ -139,6 +139,28 @@ def configuration_totals(spark, sf):
     return d.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+_SCORED = "li AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 3 AND l_discount > 0.07 THEN 'timeout' END AS error, l_tax * 10 - 0.1 AS total_score, l_returnflag || l_linestatus AS model, l_extendedprice AS ms FROM lineitem)"
+
+
+def scored(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when((F.col("l_quantity") < 3) & (F.col("l_discount") > 0.07), "timeout").alias("error"),
+        (F.col("l_tax") * 10 - 0.1).alias("total_score"), F.concat("l_returnflag", "l_linestatus").alias("model"), F.col("l_extendedprice").alias("ms"))
+
+
+@query("first_failures", f"""WITH {_SCORED}, f AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS failure_no, count(*) OVER () AS n_failures FROM li WHERE error IS NOT NULL OR total_score <= 0)
+SELECT l_orderkey, l_linenumber, failure_no, coalesce(error, 'Score 0') AS reason, n_failures FROM f WHERE failure_no <= 10""")
+def first_failures(spark, sf):
+    return E.first_failures(scored(spark, sf), ["l_orderkey", "l_linenumber"]).withColumn("failure_no", F.col("failure_no").cast("bigint"))
+
+
+@query("best_and_fastest", f"""WITH {_SCORED}, s AS (SELECT model, round(avg(total_score), 6) AS a, round(avg(ms), 4) AS t FROM li GROUP BY 1)
+SELECT (SELECT model FROM s ORDER BY a DESC, model LIMIT 1) AS best_model, (SELECT model FROM s ORDER BY t, model LIMIT 1) AS fastest_model""")
+def best_and_fastest(spark, sf):
+    s = scored(spark, sf).groupBy("model").agg(F.round(F.avg("total_score"), 6).alias("avg_score"), F.round(F.avg("ms"), 4).alias("avg_time"))
+    return E.best_and_fastest(s)
+
+
 _WIDE = ", ".join(
     f"""max(CASE WHEN p = '{i}' THEN (n > 1)::VARCHAR END) AS "P{i}_passed", max(CASE WHEN p = '{i}' THEN (n % 100)::INT || '%' END) AS "P{i}_accuracy",
   max(CASE WHEN p = '{i}' THEN n::VARCHAR END) AS "P{i}_duration_ms", max(CASE WHEN p = '{i}' THEN printf('%.5f', n / 8.0) END) AS "P{i}_cost_usd",
