@@ -4,9 +4,9 @@ A document is the set of its distinct runs of five words. Equal sets are one cla
 are never compared. Each class gets a SuperMinHash signature: every element deals ranks
 0, 1, 2, ... to the places of the signature in an order of its own, and stops as soon as its
 ranks are larger than all places hold. Classes that agree in a band of the signature are
-candidates. In a bucket every class is first checked against the smallest one only; what
-that leaves in several components is checked further, until nothing in the bucket is open. Checks compare full
-sets. Components come from union-find inside tasks and star contraction between them.
+candidates. In a bucket every class is first checked against the smallest one only. Where that
+leaves several components, members of different ones are compared by sketches inside the
+tasks, and only pairs that may still link are checked. Checks compare full sets. Components come from union-find inside tasks and star contraction between them.
 """
 from __future__ import annotations
 
@@ -21,7 +21,9 @@ from lexloom.session import checkpoint
 SHINGLE = 5
 ROWS, BANDS = 4, 24  # a pair at 0.85 is missed with a chance of 2e-8
 PERCENT = 85
-MIN_AGREE = 0.55  # share of equal places below which a pair at 0.85 would lie over 7 standard deviations off
+SKETCH = 1024  # smallest hashes kept of a set; smaller sets are kept whole
+DEVIATIONS = 5.5  # a pair at 0.85 is dropped by an estimate with a chance of 2e-8
+MIN_AGREE = PERCENT / 100 - DEVIATIONS * (0.85 * 0.15 / (ROWS * BANDS)) ** 0.5  # of the places of two signatures
 CHUNK = 128  # documents compared with one leader in one task
 _U64 = np.uint64
 
@@ -93,17 +95,19 @@ def _mark(batches):
         small = words.mix(signature.view(_U64)).astype(np.uint8)  # one byte a place is enough to estimate
         keys = _bands(signature)
         ids = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+        top = (values >> _U64(32)).astype("<u4")  # sets are sorted, so the first are the smallest
+        sketch = [top[a:min(b, a + SKETCH)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(ids, pa.binary()), pa.array([r.tobytes() for r in small], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))],
-            names=["doc_id", "n_shingles", "set_id", "signature", "bands"])
+            pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1))), pa.array(sketch, pa.binary())],
+            names=["doc_id", "n_shingles", "set_id", "signature", "bands", "sketch"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_id, signature, bands) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        _mark, f"doc_id {kind}, n_shingles long, set_id binary, signature binary, bands array<long>")
+        _mark, f"doc_id {kind}, n_shingles long, set_id binary, signature binary, bands array<long>, sketch binary")
 
 
 def _alike_in_size(n: Column, other: Column) -> Column:
@@ -194,56 +198,85 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-_OPEN = "key long, block long, role int, c long, n long, root long, signature binary"
 _BLOCK = 1024
 
 
+class _Held:
+    """Members outside the main component of a group, against which the others are compared."""
+
+    def __init__(self, rows: list[dict]):
+        self.c, self.n, self.root = (np.array([r[k] for r in rows], np.int64) for k in ("c", "n", "root"))
+        self.signature = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint8).reshape(len(rows), -1)
+        parts = [np.frombuffer(r["sketch"], "<u4") for r in rows]
+        self.size = np.array([len(p) for p in parts])
+        self.owner = np.repeat(np.arange(len(rows)), self.size)
+        self.values = np.concatenate(parts)
+        self.sorted = (self.owner.astype(np.uint64) << _U64(32)) | self.values
+        self.start = np.cumsum(self.size) - self.size
+        self.most = np.where(self.n > self.size, self.values[self.start + self.size - 1], 2 ** 32 - 1).astype(np.int64)
+
+    def partners(self, row: dict) -> np.ndarray:
+        """Places of the members that may link with the row and are in another component."""
+        alike = 100 * np.minimum(self.n, row["n"]) >= PERCENT * np.maximum(self.n, row["n"])
+        near = np.flatnonzero(alike & (self.root != row["root"]))
+        near = near[(self.signature[near] == np.frombuffer(row["signature"], np.uint8)).mean(axis=1) >= MIN_AGREE]
+        if not len(near):
+            return near
+        mine = np.frombuffer(row["sketch"], "<u4")
+        most = int(mine[-1]) if row["n"] > len(mine) else 2 ** 32 - 1
+        # up to the smaller of the two last hashes both sketches are complete: the overlap there estimates the whole, or is it
+        limit = np.minimum(self.most[near], most)
+        of_mine = np.searchsorted(mine, limit, side="right")
+        of_held = np.searchsorted(self.sorted, (near.astype(np.uint64) << _U64(32)) | limit.astype(np.uint64), side="right") - self.start[near]
+        picked = np.repeat(np.arange(len(near)), self.size[near])
+        values = self.values[np.repeat(self.start[near] - (np.cumsum(self.size[near]) - self.size[near]), self.size[near]) + np.arange(len(picked))]
+        at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+        shared = np.bincount(picked[mine[at] == values], minlength=len(near))
+        union = np.maximum(of_mine + of_held - shared, 1)
+        slack = np.where(limit < 2 ** 32 - 1, DEVIATIONS * np.sqrt(0.85 * 0.15 / union), 0)
+        return near[shared >= (PERCENT / 100 - slack) * union - 1e-9]
+
+
 def _agreeing(batches):
-    """Streams members of buckets, the few (role 0) before all (role 1), into pairs that may still link."""
-    held, key = [], None
+    """Streams members of groups, the few (role 0) before all (role 1), into pairs that may still link."""
+    rows_held, held, key = [], None, None
     for batch in batches:
-        rows = batch.to_pylist()
         doc, leader = [], []
-        start = 0
-        while start < len(rows):
-            at = rows[start]["key"], rows[start]["block"], rows[start]["role"]
-            stop = start
-            while stop < len(rows) and (rows[stop]["key"], rows[stop]["block"], rows[stop]["role"]) == at:
-                stop += 1
-            part, start = rows[start:stop], stop
-            if at[2] == 0:
-                held = (held if key == at[:2] else []) + part
-                key = at[:2]
-                continue
-            if key != at[:2] or not held:
-                continue
-            few = np.frombuffer(b"".join(r["signature"] for r in held), np.uint8).reshape(len(held), -1)
-            few_n, few_root, few_c = (np.array([r[k] for r in held], np.int64) for k in ("n", "root", "c"))
-            for r in part:
-                agree = (few == np.frombuffer(r["signature"], np.uint8)).mean(axis=1)
-                hit = (agree >= MIN_AGREE) & (few_root != r["root"]) & (100 * np.minimum(few_n, r["n"]) >= PERCENT * np.maximum(few_n, r["n"]))
-                doc += np.maximum(few_c[hit], r["c"]).tolist()
-                leader += np.minimum(few_c[hit], r["c"]).tolist()
+        for row in batch.to_pylist():
+            if row["role"] == 0:
+                if key != (row["leader"], row["block"]):
+                    rows_held, key = [], (row["leader"], row["block"])
+                rows_held.append(row)
+                held = None
+            elif key == (row["leader"], row["block"]):
+                held = held or _Held(rows_held)
+                for c in held.c[held.partners(row)].tolist():
+                    doc.append(max(c, row["c"]))
+                    leader.append(min(c, row["c"]))
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(leader, pa.int64())], names=["doc", "leader"])
 
 
 def open_pairs(members: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components and were not checked yet.
+    """Pairs that share a leader, are in different components, may still link and were not checked yet.
 
-    ``members``: (key, c, n, root, signature). Only members outside the largest component of
-    their bucket are compared with the others, in blocks, so a hot bucket is spread. Pairs whose
-    signatures or sizes rule a link out are left; the rest is one row per pair.
+    ``members``: (leader, c, n, root, signature, sketch). Only members outside the largest
+    component of their group are compared with the others, in blocks, so a hot group is
+    spread. The comparison stays inside the task: pairs that sizes, signatures or sketches rule out are
+    never rows.
     """
-    parts = checkpoint(members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")), "parts")
-    shape = parts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"))
-    shape = checkpoint(shape.where("roots > 1").select(
-        "key", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.m")) / _BLOCK).cast("long").alias("k"), F.ceil(F.col("all") / (8 * _BLOCK)).cast("long").alias("spread")), "shape")
-    inside = members.join(shape, "key")
-    few = inside.where("root <> main").select(
-        "key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1), lambda i: F.pmod(F.xxhash64("c"), F.col("k")) * F.col("spread") + i)).alias("block"), F.lit(0).alias("role"), "c", "n", "root", "signature")
-    every = inside.select(
-        "key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: i * F.col("spread") + F.pmod(F.xxhash64("c"), F.col("spread")))).alias("block"), F.lit(1).alias("role"), "c", "n", "root", "signature")
-    dealt = few.unionByName(every).repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    parts = checkpoint(members.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("m")), "parts")
+    shape = parts.groupBy("leader").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"))
+    few, every = F.ceil((F.col("all") - F.col("most.m")) / _BLOCK).cast("long"), F.ceil(F.col("all") / _BLOCK).cast("long")
+    shape = checkpoint(shape.where("roots > 1").select("leader", F.col("most.root").alias("main"), few.alias("k"), every.alias("spread")), "shape")
+    inside = members.join(shape, "leader")
+    own, other = F.pmod(F.xxhash64("c"), F.col("k")), F.pmod(F.xxhash64("c"), F.col("spread"))
+
+    def blocks(count, number):
+        return F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), number)).alias("block")
+    columns = ["c", "n", "root", "signature", "sketch"]
+    left = inside.where("root <> main").select("leader", blocks("spread", lambda i: own * F.col("spread") + i), F.lit(0).alias("role"), *columns)
+    right = inside.select("leader", blocks("k", lambda i: i * F.col("spread") + other), F.lit(1).alias("role"), *columns)
+    dealt = left.unionByName(right).repartition("leader", "block").sortWithinPartitions("leader", "block", "role")
     pairs = dealt.mapInArrow(_agreeing, "doc long, leader long").distinct()
     return pairs.join(checked, ["doc", "leader"], "left_anti")
 
@@ -262,18 +295,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     marked = checkpoint(signatures(docs), "signatures")
     classes = checkpoint(marked.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("c"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")), "classes")
+        F.min("doc_id").alias("c"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
     banded = classes.select(F.explode("bands").alias("key"), "c", "n")
     leads = banded.groupBy("key").agg(F.min("c").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     sizes = classes.select(F.col("c").alias("leader"), F.col("n").alias("leader_n"))
-    members = checkpoint(banded.join(checkpoint(leads, "buckets"), "key"), "members")  # only shared buckets
-    star = members.where("c <> leader").select(F.col("c").alias("doc"), "leader", "n").distinct()
+    # classes that share a bucket, once for each leader they have
+    members = checkpoint(banded.join(checkpoint(leads, "buckets"), "key").select("leader", "c", "n").distinct(), "members")
+    star = members.where("c <> leader").select(F.col("c").alias("doc"), "leader", "n")
     star = checkpoint(star.join(sizes, "leader").where(_alike_in_size(F.col("n"), F.col("leader_n"))).select("doc", "leader"), "star")
     edges = checkpoint(verify(docs, star), "links")
     roots = components(edges)
-    labelled = members.select("key", "c", "n").join(roots, F.col("c") == F.col("node"), "left").select(
-        "key", "c", "n", F.coalesce("root", "c").alias("root"))
-    shown = labelled.join(classes.select("c", "signature"), "c")
+    labelled = members.join(roots, F.col("c") == F.col("node"), "left").select("leader", "c", "n", F.coalesce("root", "c").alias("root"))
+    mixed = labelled.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("leader")
+    shown = labelled.join(mixed, "leader").join(classes.select("c", "signature", "sketch"), "c")  # open groups only
     more = checkpoint(verify(docs, open_pairs(checkpoint(shown, "labelled"), star)), "links")
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
