@@ -149,7 +149,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("doc"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"), F.lit(1).alias("role"))
     wanted = checkpoint(leaders.unionByName(members), "wanted")
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = wanted.join(texts, "doc_id")
+    rows = wanted.hint("merge").join(texts, "doc_id")  # both sides grow with the corpus
     dealt = rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "role")
     return dealt.select("leader", "chunk", "role", "doc_id", "text").mapInArrow(_compare, "a long, b long")
 
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(edges)
     labelled = members.join(roots, F.col("c") == F.col("node"), "left").select("leader", "c", "n", F.coalesce("root", "c").alias("root"))
     mixed = labelled.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("leader")
-    shown = labelled.join(mixed, "leader").join(classes.select("c", "signature", "sketch"), "c")  # open groups only
+    shown = labelled.join(mixed, "leader").hint("merge").join(classes.select("c", "signature", "sketch"), "c")  # open groups only
     more = checkpoint(verify(docs, open_pairs(checkpoint(shown, "labelled"), star)), "links")
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
