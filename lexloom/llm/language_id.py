@@ -6,8 +6,6 @@ with each dictionary, and the sizes are added up over the whole text.
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -23,7 +21,6 @@ MIN_MARGIN = 0.01  # best and second size closer than this share of the second:
 UNDETERMINED = "und"
 # lower-case letters carry the language; ASCII digits and signs become blanks, runs of them shrink by compression
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
@@ -67,7 +64,7 @@ class _Sizes:
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not any(map(str.isalpha, text)) or not self.languages:
             return UNDETERMINED, 0.0, True
         sizes = np.array(self.of(_plain(text)), float)
         order = np.argsort(sizes, kind="stable")

@@ -68,8 +68,8 @@ def test_language_held_out_and_edges(spark):
     found = language_id.predict(docs.where(held), content).join(docs, "doc_id")
     rows = found.select("lang", "lang_pred", "score").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
-    edges = {r.doc_id: r for r in language_id.predict(frame(spark, EDGES), content).collect()}
-    assert all(edges[i].lang_pred == "und" and edges[i].score == 0 and edges[i].rejected for i in (1, 2, 3))
+    edges = {r.doc_id: r for r in language_id.predict(frame(spark, EDGES + [(70, "12 ½ ² _ ☃")]), content).collect()}
+    assert all(edges[i].lang_pred == "und" and edges[i].score == 0 and edges[i].rejected for i in (1, 2, 3, 70))
     assert edges[4].lang_pred != "und"
     none = language_id.fit(frame(spark, EDGES).where("false").select("text", "lang"))
     assert none == {} and {r.lang_pred for r in language_id.predict(frame(spark, EDGES), none).collect()} == {"und"}
