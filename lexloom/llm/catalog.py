@@ -59,7 +59,7 @@ firsts AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY set_id) AS class_id FRO
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id, d.doc_id = root AS kept, coalesce(class_id, d.doc_id) AS class_id
 FROM documents d JOIN tops ON tops.node = d.doc_id LEFT JOIN sizes USING (doc_id) LEFT JOIN firsts USING (doc_id)""")
 def near_dedup_query(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 @query("op5_toxicity")

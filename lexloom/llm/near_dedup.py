@@ -10,6 +10,8 @@ tasks, and only pairs that may still link are checked. Checks compare full sets.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,15 +21,26 @@ from lexloom.llm import words
 from lexloom.session import checkpoint
 
 SHINGLE = 5
-ROWS, BANDS = 4, 24  # a pair at 0.85 is missed with a chance of 2e-8
+ROWS = 4
+MISSED = 2.1e-8  # chance that a pair at the threshold agrees in no band
 PERCENT = 85
 SKETCH = 1024  # smallest hashes kept of a set; smaller sets are kept whole
-DEVIATIONS = 5.5  # a pair at 0.85 is dropped by an estimate with a chance of 2e-8
-MIN_AGREE = PERCENT / 100 - DEVIATIONS * (0.85 * 0.15 / (ROWS * BANDS)) ** 0.5  # of the places of two signatures
+DEVIATIONS = 5.5  # a pair at the threshold is dropped by an estimate with a chance of 2e-8
 CHUNK = 128  # documents compared with one leader in one task
 _U64 = np.uint64
 
 
+def bands_for(percent: int) -> int:
+    """Bands that keep the chance of a miss at the threshold under MISSED: 24 at 85, 34 at 80."""
+    return math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** ROWS)) if percent < 100 else 1
+
+
+def min_agree(percent: int) -> float:
+    """Share of the places of two signatures that a pair at the threshold agrees in at least."""
+    p = percent / 100
+    return p - DEVIATIONS * (p * (1 - p) / (ROWS * bands_for(percent))) ** 0.5
+
+
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the sorted distinct word runs of every text; fewer words than ``width`` form one run."""
     codes, bounds, vocabulary = words.split(texts, lower=True)
@@ -81,60 +94,64 @@ def super_minhash(values: np.ndarray, bounds: np.ndarray, places: int) -> np.nda
 
 def _bands(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key for every band of ROWS places."""
-    parts = signature.view(_U64).reshape(len(signature), BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=_U64)[None, :] * _U64(0x9E3779B97F4A7C15)
+    parts = signature.view(_U64).reshape(len(signature), -1, ROWS)
+    key = np.arange(1, parts.shape[1] + 1, dtype=_U64)[None, :] * _U64(0x9E3779B97F4A7C15)
     for r in range(ROWS):
         key = words.mix(key + parts[:, :, r])
     return key.view(np.int64)
 
 
-def _mark(batches):
-    for batch in words.slices(batches):
-        values, bounds = shingle_sets(batch.column("text"))
-        signature = super_minhash(values, bounds, ROWS * BANDS)
-        small = words.mix(signature.view(_U64)).astype(np.uint8)  # one byte a place is enough to estimate
-        keys = _bands(signature)
-        ids = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-        top = (values >> _U64(32)).astype("<u4")  # sets are sorted, so the first are the smallest
-        sketch = [top[a:min(b, a + SKETCH)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(ids, pa.binary()), pa.array([r.tobytes() for r in small], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1))), pa.array(sketch, pa.binary())],
-            names=["doc_id", "n_shingles", "set_id", "signature", "bands", "sketch"])
-
-
-def signatures(docs: DataFrame) -> DataFrame:
+def _mark(bands: int):
+    def mark(batches):
+        for batch in words.slices(batches):
+            values, bounds = shingle_sets(batch.column("text"))
+            signature = super_minhash(values, bounds, ROWS * bands)
+            small = words.mix(signature.view(_U64)).astype(np.uint8)  # one byte a place is enough to estimate
+            keys = _bands(signature)
+            ids = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+            top = (values >> _U64(32)).astype("<u4")  # sets are sorted, so the first are the smallest
+            sketch = [top[a:min(b, a + SKETCH)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(ids, pa.binary()), pa.array([r.tobytes() for r in small], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1))), pa.array(sketch, pa.binary())],
+                names=["doc_id", "n_shingles", "set_id", "signature", "bands", "sketch"])
+    return mark
+
+
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, set_id, signature, bands) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        _mark, f"doc_id {kind}, n_shingles long, set_id binary, signature binary, bands array<long>, sketch binary")
+        _mark(bands_for(percent)), f"doc_id {kind}, n_shingles long, set_id binary, signature binary, bands array<long>, sketch binary")
 
 
-def _alike_in_size(n: Column, other: Column) -> Column:
-    return 100 * F.least(n, other) >= PERCENT * F.greatest(n, other)
+def _alike_in_size(n: Column, other: Column, percent: int) -> Column:
+    return 100 * F.least(n, other) >= percent * F.greatest(n, other)
 
 
-def _compare(batches):
+def _compare(percent: int):
     """Streams (leader, chunk, role, doc_id, text), the leader's text first, into linked pairs."""
-    current = leader_set = None
-    for batch in words.slices(batches):
-        values, bounds = shingle_sets(batch.column("text"))
-        a, b = [], []
-        leads, docs, roles = batch.column("leader").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("role").to_pylist()
-        for i, (leader, doc, role) in enumerate(zip(leads, docs, roles)):
-            mine = values[bounds[i]:bounds[i + 1]]
-            if role == 0:
-                current, leader_set = leader, mine
-            elif leader == current and len(mine) and len(leader_set):
-                at = np.minimum(np.searchsorted(leader_set, mine), len(leader_set) - 1)
-                shared = int((leader_set[at] == mine).sum())
-                if 100 * shared >= PERCENT * (len(mine) + len(leader_set) - shared):
-                    a.append(max(doc, leader))
-                    b.append(min(doc, leader))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    def compare(batches):
+        current = leader_set = None
+        for batch in words.slices(batches):
+            values, bounds = shingle_sets(batch.column("text"))
+            a, b = [], []
+            leads, docs, roles = batch.column("leader").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("role").to_pylist()
+            for i, (leader, doc, role) in enumerate(zip(leads, docs, roles)):
+                mine = values[bounds[i]:bounds[i + 1]]
+                if role == 0:
+                    current, leader_set = leader, mine
+                elif leader == current and len(mine) and len(leader_set):
+                    at = np.minimum(np.searchsorted(leader_set, mine), len(leader_set) - 1)
+                    shared = int((leader_set[at] == mine).sum())
+                    if 100 * shared >= percent * (len(mine) + len(leader_set) - shared):
+                        a.append(max(doc, leader))
+                        b.append(min(doc, leader))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return compare
+
+
+def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (doc, leader) whose full sets link them, as edges (a, b) with a > b.
 
     A leader with many partners is sent to several tasks, each with its share of them; texts
@@ -151,7 +168,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rows = wanted.hint("merge").join(texts, "doc_id")  # both sides grow with the corpus
     dealt = rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "role")
-    return dealt.select("leader", "chunk", "role", "doc_id", "text").mapInArrow(_compare, "a long, b long")
+    return dealt.select("leader", "chunk", "role", "doc_id", "text").mapInArrow(_compare(percent), "a long, b long")
 
 
 def _forest(batches):
@@ -204,7 +221,8 @@ _BLOCK = 1024
 class _Held:
     """Members outside the main component of a group, against which the others are compared."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], percent: int):
+        self.percent = percent
         self.c, self.n, self.root = (np.array([r[k] for r in rows], np.int64) for k in ("c", "n", "root"))
         self.signature = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint8).reshape(len(rows), -1)
         parts = [np.frombuffer(r["sketch"], "<u4") for r in rows]
@@ -217,9 +235,9 @@ class _Held:
 
     def partners(self, row: dict) -> np.ndarray:
         """Places of the members that may link with the row and are in another component."""
-        alike = 100 * np.minimum(self.n, row["n"]) >= PERCENT * np.maximum(self.n, row["n"])
+        alike = 100 * np.minimum(self.n, row["n"]) >= self.percent * np.maximum(self.n, row["n"])
         near = np.flatnonzero(alike & (self.root != row["root"]))
-        near = near[(self.signature[near] == np.frombuffer(row["signature"], np.uint8)).mean(axis=1) >= MIN_AGREE]
+        near = near[(self.signature[near] == np.frombuffer(row["signature"], np.uint8)).mean(axis=1) >= min_agree(self.percent)]
         if not len(near):
             return near
         mine = np.frombuffer(row["sketch"], "<u4")
@@ -233,30 +251,33 @@ class _Held:
         at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
         shared = np.bincount(picked[mine[at] == values], minlength=len(near))
         union = np.maximum(of_mine + of_held - shared, 1)
-        slack = np.where(limit < 2 ** 32 - 1, DEVIATIONS * np.sqrt(0.85 * 0.15 / union), 0)
-        return near[shared >= (PERCENT / 100 - slack) * union - 1e-9]
+        p = self.percent / 100
+        slack = np.where(limit < 2 ** 32 - 1, DEVIATIONS * np.sqrt(p * (1 - p) / union), 0)
+        return near[shared >= (p - slack) * union - 1e-9]
 
 
-def _agreeing(batches):
+def _agreeing(percent: int):
     """Streams members of groups, the few (role 0) before all (role 1), into pairs that may still link."""
-    rows_held, held, key = [], None, None
-    for batch in batches:
-        doc, leader = [], []
-        for row in batch.to_pylist():
-            if row["role"] == 0:
-                if key != (row["leader"], row["block"]):
-                    rows_held, key = [], (row["leader"], row["block"])
-                rows_held.append(row)
-                held = None
-            elif key == (row["leader"], row["block"]):
-                held = held or _Held(rows_held)
-                for c in held.c[held.partners(row)].tolist():
-                    doc.append(max(c, row["c"]))
-                    leader.append(min(c, row["c"]))
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(leader, pa.int64())], names=["doc", "leader"])
-
-
-def open_pairs(members: DataFrame, checked: DataFrame) -> DataFrame:
+    def agreeing(batches):
+        rows_held, held, key = [], None, None
+        for batch in batches:
+            doc, leader = [], []
+            for row in batch.to_pylist():
+                if row["role"] == 0:
+                    if key != (row["leader"], row["block"]):
+                        rows_held, key = [], (row["leader"], row["block"])
+                    rows_held.append(row)
+                    held = None
+                elif key == (row["leader"], row["block"]):
+                    held = held or _Held(rows_held, percent)
+                    for c in held.c[held.partners(row)].tolist():
+                        doc.append(max(c, row["c"]))
+                        leader.append(min(c, row["c"]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(leader, pa.int64())], names=["doc", "leader"])
+    return agreeing
+
+
+def open_pairs(members: DataFrame, checked: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs that share a leader, are in different components, may still link and were not checked yet.
 
     ``members``: (leader, c, n, root, signature, sketch). Only members outside the largest
@@ -277,15 +298,15 @@ def open_pairs(members: DataFrame, checked: DataFrame) -> DataFrame:
     left = inside.where("root <> main").select("leader", blocks("spread", lambda i: own * F.col("spread") + i), F.lit(0).alias("role"), *columns)
     right = inside.select("leader", blocks("k", lambda i: i * F.col("spread") + other), F.lit(1).alias("role"), *columns)
     dealt = left.unionByName(right).repartition("leader", "block").sortWithinPartitions("leader", "block", "role")
-    pairs = dealt.mapInArrow(_agreeing, "doc long, leader long").distinct()
+    pairs = dealt.mapInArrow(_agreeing(percent), "doc long, leader long").distinct()
     return pairs.join(checked, ["doc", "leader"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Component of every document: (doc_id, n_shingles, component_id, kept, class_id).
 
     Needs doc_id (a whole number) and text. Documents link if their shingle sets share at
-    least PERCENT per cent of their union; components are those of all links, named by their
+    least ``percent`` per cent of their union; components are those of all links, named by their
     smallest doc_id, which is the document kept. class_id is the smallest doc_id with the same
     set. A null text, or one without words, has an empty set, links with nothing and is kept.
     Rows without doc_id take no part: class and component are null, and they are kept. Rows that repeat a doc_id
@@ -293,7 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = checkpoint(signatures(docs), "signatures")
+    marked = checkpoint(signatures(docs, percent), "signatures")
     classes = checkpoint(marked.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("c"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
     banded = classes.select(F.explode("bands").alias("key"), "c", "n")
@@ -302,13 +323,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # classes that share a bucket, once for each leader they have
     members = checkpoint(banded.join(checkpoint(leads, "buckets"), "key").select("leader", "c", "n").distinct(), "members")
     star = members.where("c <> leader").select(F.col("c").alias("doc"), "leader", "n")
-    star = checkpoint(star.join(sizes, "leader").where(_alike_in_size(F.col("n"), F.col("leader_n"))).select("doc", "leader"), "star")
-    edges = checkpoint(verify(docs, star), "links")
+    star = checkpoint(star.join(sizes, "leader").where(_alike_in_size(F.col("n"), F.col("leader_n"), percent)).select("doc", "leader"), "star")
+    edges = checkpoint(verify(docs, star, percent), "links")
     roots = components(edges)
     labelled = members.join(roots, F.col("c") == F.col("node"), "left").select("leader", "c", "n", F.coalesce("root", "c").alias("root"))
     mixed = labelled.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("leader")
     shown = labelled.join(mixed, "leader").hint("merge").join(classes.select("c", "signature", "sketch"), "c")  # open groups only
-    more = checkpoint(verify(docs, open_pairs(checkpoint(shown, "labelled"), star)), "links")
+    more = checkpoint(verify(docs, open_pairs(checkpoint(shown, "labelled"), star, percent), percent), "links")
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     named = checkpoint(classes.select("set_id", "c").join(roots, F.col("c") == F.col("node"), "left").select(
