@@ -14,6 +14,7 @@ from lexloom.llm.tables import prepare, table
 from lexloom.session import checkpoint
 
 TOKENIZER = "word_bpe_49k.json"
+LONG_LINE = 8  # words from which a repeated line is content by itself; op2 has runs of two lines only, by its SQL
 NEAR_PERCENT = 80  # op4 has 85 by its SQL; the corpus keeps no copies above 0.8
 
 
@@ -32,9 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs leave the texts."""
+    """Later copies of repeated line runs, and of long repeated lines standing alone, leave the texts."""
     prepare(spark)
-    return _columns(line_dedup.dedupe(docs), docs)
+    return _columns(line_dedup.dedupe(docs, long_words=LONG_LINE), docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

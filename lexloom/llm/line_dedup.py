@@ -6,7 +6,8 @@ names of its two halves, which lie in the same row, so naming moves nothing. Suf
 the same name of length K stand side by side in the suffix array and form an interval whose
 longest common prefix is K lines or more. One shuffle on the names finds the first suffix of
 every interval, the others are later copies. A maximal repeated run of K lines or more is the
-union of such windows, so deleting the windows deletes the run.
+union of such windows, so deleting the windows deletes the run. Lines of ``long_words`` words
+or more can be asked to count as runs by themselves; their names join the others.
 """
 from __future__ import annotations
 
@@ -22,11 +23,12 @@ def _pair(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
-def _sequence(text: Column) -> Column:
-    """The non-blank lines: (place among all lines, ID)."""
+def _sequence(text: Column, long_words: int | None = None) -> Column:
+    """The non-blank lines: (place among all lines, ID), with ``long_words`` also whether the line has so many words."""
     lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line"), line.alias("text")))
     filled = F.filter(lines, lambda x: x["text"].rlike(r"[^\x20\x09-\x0D]"))
-    return F.transform(filled, lambda x: F.struct(x["line"].alias("line"), _pair(x["text"]).alias("name")))
+    wide = lambda x: [] if long_words is None else [(F.regexp_count(x["text"], F.lit(r"[^\x20\x09-\x0D]+")) >= long_words).alias("long")]
+    return F.transform(filled, lambda x: F.struct(x["line"].alias("line"), _pair(x["text"]).alias("name"), *wide(x)))
 
 
 def _doubled(names: Column, step: int) -> Column:
@@ -36,18 +38,27 @@ def _doubled(names: Column, step: int) -> Column:
         lambda x, i: F.struct(x["line"].alias("line"), _pair(x["name"]["a"], x["name"]["b"], F.get(names, i + step)["name"]["a"], F.get(names, i + step)["name"]["b"]).alias("name")))
 
 
-def suffix_names(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def suffix_names(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """One row per suffix of at least ``min_lines`` lines: (doc_id, place, a, b).
 
     ``place`` counts the non-blank lines of the text from 0; (a, b) names the suffix's first
-    ``min_lines`` lines.
+    ``min_lines`` lines. With ``long_words`` there is also a row for every line of so many
+    words, naming this line, and ``single`` tells the two apart.
     """
-    named = computed(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "names", _sequence(F.col("text"))).drop("text")
+    named = computed(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "names", _sequence(F.col("text"), long_words)).drop("text")
+    if long_words is not None:
+        named = named.withColumn("lines", F.col("names"))
     width = 1
     while width < min_lines:
         step = min(width, min_lines - width)
         named = computed(named.withColumnRenamed("names", "halves"), "names", _doubled(F.col("halves"), step)).drop("halves")
         width += step
+    if long_words is not None:
+        def row(x, i, single):
+            return F.struct(i.alias("place"), x["name"]["a"].alias("a"), x["name"]["b"].alias("b"), F.lit(single).alias("single"))
+        runs = F.transform("names", lambda x, i: row(x, i, False))
+        single = F.filter(F.transform("lines", lambda x, i: F.when(x["long"], row(x, i, True))), lambda x: x.isNotNull())
+        return named.select("doc_id", F.explode(F.concat(runs, single)).alias("x")).select("doc_id", "x.place", "x.a", "x.b", "x.single")
     return named.select("doc_id", F.posexplode("names").alias("place", "x")).select("doc_id", "place", "x.name.a", "x.name.b")
 
 
@@ -58,34 +69,41 @@ def intervals(suffixes: DataFrame) -> DataFrame:
         .where("n > 1"))
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Where a later copy of ``min_lines`` repeated lines starts: (doc_id, places)."""
-    suffixes = checkpoint(suffix_names(docs, min_lines), "suffixes")
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """Where a later copy of ``min_lines`` repeated lines starts: (doc_id, places), with ``long_words`` also singles, the long lines that are later copies."""
+    suffixes = checkpoint(suffix_names(docs, min_lines, long_words), "suffixes")
     shared = checkpoint(intervals(suffixes), "intervals")
     # both sides are plain tables: Spark splits a hot name over several tasks
     copies = suffixes.join(shared, ["a", "b"]).where(F.struct("doc_id", "place") > F.col("first"))
+    if long_words is not None:
+        return copies.groupBy("doc_id").agg(
+            F.collect_set(F.when(~F.col("single"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("single"), F.col("place"))).alias("singles"))
     return copies.groupBy("doc_id").agg(F.collect_set("place").alias("places"))  # never more than the lines of one text
 
 
-def dedupe(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedupe(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from ``text``, plus n_lines and n_removed.
 
     Runs are compared over the whole corpus in the order of (doc_id, place in the text); the
-    first copy stays. Lines are equal if all their characters are. Blank lines belong to no
+    first copy stays. With ``long_words``, a repeated line of so many words or more is a run even
+    by itself. Lines are equal if all their characters are. Blank lines belong to no
     run and stay. A null text stays null with no lines; an empty one stays empty. Documents
     without doc_id are returned unchanged and compared with nothing; rows that repeat a doc_id
     are one place, so none is a later copy of the other. Other columns pass through, also one
     named n_lines or n_removed, which is replaced. An empty table gives no rows.
     """
-    places = later_copies(docs, min_lines).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"))
+    found = later_copies(docs, min_lines, long_words)
+    singles = [] if long_words is None else [F.col("singles").alias("__singles")]
+    places = found.select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"), *singles)
     joined = docs.join(places, docs["doc_id"] == places["__doc"], "left").drop("__doc")
     lines = F.split("text", "\n")
     filled = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
-    gone = F.array_distinct(F.flatten(F.transform("__places", lambda p: F.transform(F.sequence(F.lit(0), F.lit(min_lines - 1)), lambda k: F.get(filled, p + k)))))
+    gone = F.flatten(F.transform("__places", lambda p: F.transform(F.sequence(F.lit(0), F.lit(min_lines - 1)), lambda k: F.get(filled, p + k))))
+    gone = F.array_distinct(gone if long_words is None else F.concat(gone, F.transform("__singles", lambda p: F.get(filled, p))))
     with_gone = computed(joined, "__gone", F.when(F.col("__places").isNotNull(), gone))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
     return with_gone.withColumns({
         "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
         "n_removed": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"),
         "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-    }).drop("__places", "__gone")
+    }).drop("__places", "__singles", "__gone")
