@@ -403,6 +403,25 @@ def keyword_topk(terms: DataFrame, corpus: DataFrame, k: int, match: str = "or",
     return top_k(found, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
+def keyword_matches(terms: DataFrame, corpus: DataFrame, cid: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Every (query_id, chunk_id) where the chunk holds all terms of the query, without scores or a bound.
+
+    A query meets only the chunks that hold its rarest term; the others are looked up in the row.
+    """
+    terms = checkpoint(terms.select("query_id", "term"), "terms")
+    words = computed(corpus.select(F.col(cid).alias("chunk_id"), F.col(text).alias("__x")), "__w", F.array_distinct(T.tokens(F.col("__x")))).select("chunk_id", "__w")
+    asked = small(terms.select("term").distinct())
+    postings = checkpoint(words.select("chunk_id", F.explode("__w").alias("term")).join(asked, "term", "left_semi"), "postings")
+    spread = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = terms.join(spread, "term", "left").groupBy("query_id").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term"), F.collect_set("term").alias("terms"))
+    # both sides are plain tables: Spark splits a hot term over several tasks
+    rare = checkpoint(rare, "rarest")
+    met = postings.join(rare, "term").select("query_id", "chunk_id", "terms")
+    held = postings.groupBy("chunk_id").agg(F.collect_set("term").alias("held"))  # never more than the words of one text
+    return met.join(held, "chunk_id").where(matches_all(F.col("held"), F.col("terms"))).select("query_id", "chunk_id").distinct()
+
+
 def matches_all(tokens: Column, terms: Column) -> Column:
     """Row form of the AND match for a term array."""
     return F.forall(terms, lambda t: F.array_contains(tokens, t))

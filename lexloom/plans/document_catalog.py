@@ -208,9 +208,9 @@ _NORM = r"lower(regexp_replace(regexp_replace(regexp_replace({t}, '[\s\x{{00a0}}
 n AS (SELECT query_id, chunk_id, {_NORM.format(t='cv.text')} AS page, substring({_NORM.format(t='qv.text')}, 1, 300) AS target FROM kw JOIN cv USING (chunk_id) JOIN qv USING (query_id))
 SELECT query_id, chunk_id, (instr(page, target) - 1)::BIGINT AS start, length(target)::BIGINT AS len FROM n WHERE instr(page, target) > 0""")
 def locate_passages(spark, sf):
-    """Benchmark texts in the documents holding all their words, where they stand there whole."""
+    """Benchmark texts in all documents holding all their words, where they stand there whole."""
     c, qs = corpus(spark, sf), bench_queries(spark, sf)
-    hits = S.keyword_topk(S.query_terms(qs), docs(spark, sf), 10, "and").select("query_id", "chunk_id")
+    hits = S.keyword_matches(S.query_terms(qs), docs(spark, sf))
     rows = hits.join(c.select("chunk_id", F.col("text").alias("page")), "chunk_id").join(qs.select("query_id", F.col("text").alias("passage")), "query_id")
     d = rows.withColumn("l", T.locate_passage(F.col("passage"), F.col("page"))).where(F.col("l.strategy") == "full")
     return d.select("query_id", "chunk_id", F.col("l.start").cast("bigint").alias("start"), F.col("l.len").cast("bigint").alias("len"))
