@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lexloom.llm import fingerprint, language_id, line_dedup, near_dedup, packing, quality_rules, sentence_pieces, substring_dedup, toxicity, url_filter
+from lexloom.llm import selection_catalog  # noqa: F401
 from lexloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WORD = r"[^\x20\x09-\x0D]+"
