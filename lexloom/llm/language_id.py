@@ -9,12 +9,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lexloom.llm import words
+from lexloom.operators.ordered import top_k
+from lexloom.session import small
 
-SAMPLE_TEXTS = 800  # labelled texts per language in its dictionary
-SAMPLE_CHARS = 1200  # characters of each of them
+SAMPLE_TEXTS = 800  # labelled texts per language in its dictionary, at most
+SAMPLE_BYTES = 1 << 20  # bytes of a dictionary, at most; a text that does not fit any more is left out whole
 PIECE_BYTES = 2048
 LEVEL = 6
 MIN_MARGIN = 0.01  # best and second size closer than this share of the second: rejected
@@ -23,25 +25,23 @@ UNDETERMINED = "und"
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Dictionary content per language, from (text, lang).
 
-    Learns from a bounded sample: of each language ``sample_texts`` distinct texts with the
-    smallest hashes, ``sample_chars`` characters of each. Rows with null text or language teach
-    nothing. Languages are counted first, so that each hands on a few times the sample only,
-    however large it is.
+    Learns from a bounded sample of whole texts: of each language the ``sample_texts`` distinct
+    texts with the smallest hashes, and of these in that order as many as ``sample_bytes`` hold (at
+    least one). Rows with null text or language teach nothing. The sample is drawn from hashes
+    alone, of which each task hands on ``sample_texts`` a language; only chosen texts move.
     """
-    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    share = known.groupBy("lang").agg((4.0 * sample_texts / F.count(F.lit(1))).alias("share"))
-    marked = known.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, sample_chars).alias("text"))
-    near = marked.join(share, "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    once = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash")
-    smallest = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts)
-    content: dict[str, list[str]] = {}
-    for r in smallest.orderBy("lang", F.desc("n")).collect():  # the bounded sample
-        content.setdefault(r["lang"], []).append(r["text"])
-    return {lang: _plain("\n".join(texts)) for lang, texts in content.items()}
+    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("hash"))
+    chosen = top_k(known.select("lang", "hash").distinct(), ["lang"], [F.pmod("hash", F.lit(1 << 30)), F.col("hash")], sample_texts, "n")
+    texts = known.join(small(chosen), ["lang", "hash"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
+    content: dict[str, list[bytes]] = {}
+    for r in texts.orderBy("lang", "n").toLocalIterator():  # the bounded sample, a partition at a time
+        held, text = content.setdefault(r["lang"], []), _plain(r["text"])
+        if not held or sum(map(len, held)) + len(held) + len(text) <= sample_bytes:
+            held.append(text)
+    return {lang: b"\n".join(reversed(held)) for lang, held in content.items()}
 
 
 def _plain(text: str) -> bytes:
@@ -84,7 +84,7 @@ def predict(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     no margin and 1 from a tenth on. Repeated rows are judged one by one, an empty table gives
     no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(content)  # languages * SAMPLE_TEXTS * SAMPLE_CHARS characters at most
+    shared = docs.sparkSession.sparkContext.broadcast(content)  # languages * SAMPLE_BYTES, or a language's only text
 
     def run(batches):
         sizes = _Sizes(shared.value)

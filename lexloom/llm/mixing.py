@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 MIN_QUALITY = 1e-6
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 _DRAWS = float((1 << 52) + 2)  # keys are drawn from 52 bits
 
 
@@ -68,19 +68,24 @@ def with_targets(sources: DataFrame, share: float = 1.0, max_epochs: int = MAX_E
 
 
 def mix(docs: DataFrame, quality: Column | None = None, keep: tuple[str, ...] = ("doc_id",), share: float = 1.0,
-        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, marks: DataFrame | None = None) -> DataFrame:
     """The columns ``keep`` of every document with size, source_size, target, quality, epochs and taken.
 
-    ``quality`` is a column over ``docs``. ``epochs`` are the complete passes of the source,
-    ``taken`` the words the mix takes of the document, repeats counted.
+    ``quality`` is a column over ``docs``; in its place ``marks`` (doc_id once, quality) gives the
+    quality of documents, joined where texts are measured already. ``epochs`` are the complete
+    passes of the source, ``taken`` the words the mix takes of the document, repeats counted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    worth = F.lit(1.0) if quality is None else quality.cast("double")
-    worth = F.when(worth.isNull() | F.isnan(worth), 1.0).when(worth <= 0, MIN_QUALITY).otherwise(worth)
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text).cast("binary")), 1, 13), 16, 10)
     rows = checkpoint(docs.select(
         F.struct(*keep).alias("kept"), "source", _source_key().alias("source_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        worth.alias("quality"), (-F.log((draw.cast("long") + 1).cast("double") / F.lit(_DRAWS)) / worth).alias("draw")), "mix")
+        (F.lit(1.0) if quality is None else quality).cast("double").alias("quality"), F.col("doc_id").alias("__id"),
+        (-F.log((draw.cast("long") + 1).cast("double") / F.lit(_DRAWS))).alias("draw")), "mix")
+    if marks is not None:
+        rows = rows.drop("quality").join(marks.select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("quality")), "__id", "left")
+    worth = F.col("quality")
+    rows = rows.withColumn("quality", F.when(worth.isNull() | F.isnan(worth), 1.0).when(worth <= 0, MIN_QUALITY).otherwise(worth))
+    rows = rows.withColumn("draw", F.col("draw") / F.col("quality")).drop("__id")
     sources = rows.groupBy("source", "source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goals = with_targets(checkpoint(weighted(sources, weights), "weights"), share, max_epochs)
     whole = F.floor("target").cast("long")

@@ -29,9 +29,9 @@ placed AS (SELECT d.*, g.n, g.target, g.epochs, g.goal - g.epochs * g.n AS budge
   FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, source, size, n AS source_size, target, quality, epochs::BIGINT AS epochs, (epochs * size + least(size, greatest(0, budget - before)))::BIGINT AS taken FROM placed""")
 def source_mixing_query(spark, sf_dir):
-    marks = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(marks, "doc_id", "left")
-    return mixing.mix(docs, F.when(F.col("quality") == 1, _GOOD).when(F.col("quality") == 0, _BAD).otherwise(1.0), ("doc_id", "source"))
+    quality = F.when(F.max("quality") == 1, _GOOD).when(F.max("quality") == 0, _BAD).otherwise(1.0)
+    marks = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").agg(quality.alias("quality"))
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id", "source"), marks=marks)
 
 
 @query("op12_ranked_search", sql=rf"""

@@ -9,18 +9,19 @@ bounded sample of labelled texts, each time on the window of a text that scores
 from __future__ import annotations
 
 import copy
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lexloom.llm import words
+from lexloom.session import checkpoint
 
 WINDOW, STRIDE = 64, 32
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3500  # labelled documents of each class to learn from
-SAMPLE_CHARS = 4000  # characters of each of them
 WORD_SIZE, GRAM_SIZE, HIDDEN, ATTENTION = 4, 4, 8, 8
 GRAMS = (3, 4, 5)
 MIN_DOCUMENTS = 3  # a word or n-gram in fewer sampled texts has no vector
@@ -299,25 +300,35 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS) -> Network | float:
-    """Trains on at most ``toxic`` and ``clean`` labelled documents, ``chars`` characters of each.
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Network | float:
+    """Trains on the whole texts of at most ``toxic`` and ``clean`` labelled documents.
 
     ``labels`` has doc_id and toxic (0 or 1); null labels and null texts teach nothing, and a
-    document labelled both ways counts as toxic. The sample is the smallest hashes of doc_id.
+    document labelled both ways counts as toxic. The sample is the smallest hashes of doc_id of
+    each class; every task hands on so many rows at most. It is written to shared storage and one
+    task trains on it, so the driver receives the weights only.
     """
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean)).select("doc_id", "toxic")
+    known = checkpoint(labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    by_hash = F.xxhash64("doc_id"), F.col("doc_id")
+    picked = known.where("toxic = 1").orderBy(*by_hash).limit(toxic).unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(clean))
+    sample = checkpoint(
+        docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")  # toxic + clean rows at most
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     every = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    rows = (
-        docs.select("doc_id", F.substring("text", 1, chars).alias("text")).where("text IS NOT NULL")
-        .join(F.broadcast(picked), "doc_id")  # the sample's rows only
-        .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect())  # the bounded sample
-    net = train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
-    if isinstance(net, Network):  # the sample holds more toxic texts than there are among all labelled ones
-        taken = sum(r["toxic"] for r in rows)
-        net.weights["b"] += np.log(every[1] / every[0]) - np.log(taken / (len(rows) - taken))
-    return net
+
+    def run(batches):
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            marks += batch.column("toxic").to_pylist()
+        net = train(texts, np.array(marks))
+        if isinstance(net, Network):  # the sample holds more toxic texts than there are among all labelled ones
+            net.weights["b"] += np.log(every[1] / every[0]) - np.log(sum(marks) / (len(marks) - sum(marks)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["model"])
+
+    ordered = sample.repartition(1).sortWithinPartitions(*by_hash).select("text", F.col("toxic").cast("int"))  # the bounded sample
+    models = ordered.mapInArrow(run, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else 0.0
 
 
 def score(docs: DataFrame, network: Network | float, keep: list[str] | None = None) -> DataFrame:

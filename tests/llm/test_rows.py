@@ -2,7 +2,7 @@
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -248,3 +248,71 @@ def test_cascade_is_exact_with_tiny_filters(spark, monkeypatch):
 
 def test_crc_split_matches_the_contract(spark):
     assert spark.range(50).select(F.crc32(F.col("id").cast("string")).alias("c")).collect()[7].c == zlib.crc32(b"7")
+
+
+def test_language_sizes_equal_direct_compression(spark):
+    """Every prediction from plain calls of the library, piece by piece."""
+    import zstandard
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    content = language_id.fit(docs.select("text", "lang"), sample_texts=20, sample_bytes=30_000)
+    kept = defaultdict(list)
+    for r in docs.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("hash", F.xxhash64("text")).collect():
+        kept[r.lang].append((r.hash % (1 << 30), r.hash, r.text))
+    for lang, rows in kept.items():
+        held = []
+        for _, _, text in sorted(set(rows))[:20]:
+            plain = language_id._plain(text)
+            if not held or len(b"\n".join([*held, plain])) <= 30_000:
+                held.append(plain)
+        assert content[lang] == b"\n".join(reversed(held))  # whole texts only
+    books = {lang: zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for lang, data in content.items()}
+    for book in books.values():
+        book.precompute_compress(level=language_id.LEVEL)
+    for r in language_id.predict(docs, content).join(docs, "doc_id").limit(200).collect():
+        if r.text is None or not any(map(str.isalpha, r.text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        data = language_id._plain(r.text)
+        sizes = {}
+        for lang, book in books.items():
+            press = zstandard.ZstdCompressor(dict_data=book, write_content_size=False, write_checksum=False)
+            sizes[lang] = sum(len(press.compress(data[i:i + language_id.PIECE_BYTES])) for i in range(0, len(data), language_id.PIECE_BYTES))
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == first and r.lang_pred == min(k for k, v in sizes.items() if v == first)
+        assert r.score == pytest.approx(min(1.0, 0.5 + 5 * (second - first) / second)) and r.rejected == ((second - first) / second < language_id.MIN_MARGIN)
+
+
+def test_toxicity_score_is_the_worst_window_step_by_step():
+    """Plain loops over windows, words and units give the same scores."""
+    rng = random.Random(4)
+    texts = [prose(rng, n) + (" awful fool" if n % 3 == 0 else "") for n in [0, 1, 3, 30, 64, 65, 96, 97, 150, 200, 333] + list(range(5, 60))]
+    net = toxicity.train(texts, np.array([int("awful" in t) for t in texts]), epochs=1)
+    codes, bounds, vocabulary = words.split(pa.array([t.lower() for t in texts]))
+    got = net.scores(codes, bounds, vocabulary)
+    vector, w, h_size = net.word_vectors(vocabulary), net.weights, toxicity.HIDDEN
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def side(name, xs):
+        h, out = np.zeros(h_size), []
+        for x in xs:
+            p, g = x @ w["W" + name] + w["c" + name], h @ w["U" + name]
+            z, r = sigmoid(p[:h_size] + g[:h_size]), sigmoid(p[h_size:2 * h_size] + g[h_size:2 * h_size])
+            h = (1 - z) * h + z * np.tanh(p[2 * h_size:] + r * g[2 * h_size:])
+            out.append(h)
+        return out
+    for row in range(len(texts)):
+        mine = codes[bounds[row]:bounds[row + 1]]
+        starts = range(0, max(1, len(mine) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        worst = -np.inf
+        for a in starts:
+            xs = [vector[c] for c in mine[a:a + toxicity.WINDOW]]
+            states = [np.r_[f, b] for f, b in zip(side("f", xs), side("b", xs[::-1])[::-1])]
+            if states:
+                e = np.exp([np.tanh(s @ w["A"]) @ w["v"] for s in states])
+                logit = sum(k * (s @ w["o"]) for k, s in zip(e / e.sum(), states)) + w["b"][0]
+            else:
+                logit = w["b"][0]
+            worst = max(worst, logit)
+        assert got[row] == pytest.approx(sigmoid(worst), abs=1e-9)
