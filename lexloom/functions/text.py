@@ -251,54 +251,72 @@ def strip_list_marks(text: Column) -> Column:
     return trim_ws(F.regexp_replace(out, r"^[\d.)\]]+\s*", ""))
 
 
-def locate_passage(passage: Column, page: Column) -> Column:
-    """(start, len, strategy) of a passage in a page, in normalised text, start from 0.
+# the search uses at most this many leading characters of a passage by definition
+PASSAGE_CHARS = 300
 
-    Attempts run from strict to lenient and the first that hits wins; null without a hit.
-    """
-    full = normalize_match(page)
-    # the search uses at most this many leading characters of the passage by definition
-    target = F.substring(normalize_match(passage), 1, 300)
+
+def _attempts(target: Column) -> list[tuple[str, Column, Column | None, Column | None]]:
+    """(strategy, phrase, length of the hit, condition) from strict to lenient; fixed phrases have no length of their own."""
     clean = strip_list_marks(target)
-    words = F.split(target, " ")
     clean_words = F.split(clean, " ")
 
-    def attempt(name, phrase, length, allowed=None):
-        at = F.instr(full, phrase)
-        ok = at > 0
-        if allowed is not None:
-            ok = allowed & ok
-        return F.when(ok, F.struct((at - 1).cast("int").alias("start"), length.cast("int").alias("len"), F.lit(name).alias("strategy")))
-
     def head(text, n):
         return F.substring(text, 1, n)
 
-    long_words = F.filter(words, lambda w: F.length(w) > 4)
-    key_phrase = F.array_join(F.slice(long_words, 1, 5), " ")
+    def stretched(phrase, factor, most):
+        return F.least(F.length(phrase) * factor, most if isinstance(most, Column) else F.lit(most))
+
+    key_phrase = F.array_join(F.slice(F.filter(F.split(target, " "), lambda w: F.length(w) > 4), 1, 5), " ")
     middle = F.array_join(F.slice(clean_words, 6, 10), " ")
     solid = F.filter(clean_words, lambda w: F.length(w) > 3)
-    n_grams = F.least(F.size(solid) - 3, F.lit(10))
-    grams = F.when(n_grams > 0, F.transform(F.sequence(F.lit(1), n_grams), lambda i: F.array_join(F.slice(solid, i, F.lit(4)), " ")))
-    gram = F.try_element_at(F.filter(grams, lambda g: (F.length(g) > 15) & (F.instr(full, g) > 0)), F.lit(1))
     calc = trim_ws(F.regexp_replace(F.regexp_replace(clean, r"(?i)^[\d\s%x=aed.,()+-]+", ""), r"(?i)^(the\s+)?portion\s+of\s+", ""))
     cleaned = clean != target
-    steps = [
-        attempt("full", target, F.length(target)),
-        attempt("head150", head(target, 150), F.length(head(target, 150))),
-        attempt("head80", head(target, 80), F.length(head(target, 80))),
-        attempt("head40", head(target, 40), F.least(F.length(head(target, 40)) * 3, F.length(target))),
-        attempt("key_phrase", key_phrase, F.least(F.length(key_phrase) * 2, F.lit(200)), F.length(key_phrase) > 20),
-        attempt("clean200", head(clean, 200), F.least(F.lit(200), F.length(clean)), cleaned),
-        attempt("clean80", head(clean, 80), F.least(F.length(head(clean, 80)) * 2, F.lit(150)), cleaned),
-        attempt("clean40", head(clean, 40), F.least(F.length(head(clean, 40)) * 3, F.lit(150)), cleaned),
-        attempt("middle", middle, F.least(F.length(middle) * 2, F.lit(200)), (F.size(clean_words) > 10) & (F.length(middle) > 30)),
-        attempt("word_run", gram, F.least(F.length(gram) * 3, F.lit(150)), gram.isNotNull()),
-        attempt("calc", head(calc, 60), F.least(F.length(head(calc, 60)) * 2, F.lit(150)), F.length(calc) > 30),
-    ] + [
-        attempt("distinctive", F.lit(p), F.least(F.lit(100), F.length(full) - F.instr(full, p) + 1), clean.contains(p))
-        for p in vocab.DISTINCTIVE_PHRASES
+    runs = []
+    for i in range(1, 11):
+        run = F.array_join(F.slice(solid, i, F.lit(4)), " ")
+        runs.append(("word_run", run, stretched(run, 3, 150), (F.size(solid) - 3 >= i) & (F.length(run) > 15)))
+    return [
+        ("full", target, F.length(target), None),
+        ("head150", head(target, 150), F.length(head(target, 150)), None),
+        ("head80", head(target, 80), F.length(head(target, 80)), None),
+        ("head40", head(target, 40), stretched(head(target, 40), 3, F.length(target)), None),
+        ("key_phrase", key_phrase, stretched(key_phrase, 2, 200), F.length(key_phrase) > 20),
+        ("clean200", head(clean, 200), F.least(F.lit(200), F.length(clean)), cleaned),
+        ("clean80", head(clean, 80), stretched(head(clean, 80), 2, 150), cleaned),
+        ("clean40", head(clean, 40), stretched(head(clean, 40), 3, 150), cleaned),
+        ("middle", middle, stretched(middle, 2, 200), (F.size(clean_words) > 10) & (F.length(middle) > 30)),
+        *runs,
+        ("calc", head(calc, 60), stretched(head(calc, 60), 2, 150), F.length(calc) > 30),
+        *[("distinctive", F.lit(p), None, clean.contains(p)) for p in vocab.DISTINCTIVE_PHRASES],
     ]
-    return F.coalesce(*steps)
+
+
+#: Attempts whose phrase begins with that of a more lenient one: where they hit, it hits.
+_COVERED = {"full", "head150", "head80", "clean200", "clean80"}
+
+
+def passage_phrases(target: Column) -> Column:
+    """Array of phrases of which a page holds at least one wherever an attempt hits; empty ones are left out."""
+    phrases = [F.when(F.lit(True) if allowed is None else allowed, phrase) for name, phrase, _, allowed in _attempts(target) if name not in _COVERED]
+    return F.filter(F.array(*phrases), lambda p: p.isNotNull() & (p != ""))
+
+
+def locate_normalized(target: Column, full: Column, empty: bool = True) -> Column:
+    """``locate_passage`` of texts in normalised form; without ``empty`` an empty phrase hits nothing."""
+    def attempt(name, phrase, length, allowed):
+        at = F.instr(full, phrase)
+        ok = at > 0 if allowed is None else allowed & (at > 0)
+        length = F.least(F.lit(100), F.length(full) - at + 1) if length is None else length
+        return F.when(ok if empty else ok & (phrase != ""), F.struct((at - 1).cast("int").alias("start"), length.cast("int").alias("len"), F.lit(name).alias("strategy")))
+    return F.coalesce(*[attempt(*a) for a in _attempts(target)])
+
+
+def locate_passage(passage: Column, page: Column) -> Column:
+    """(start, len, strategy) of a passage in a page, in normalised text, start from 0.
+
+    Attempts run from strict to lenient and the first that hits wins; null without a hit.
+    """
+    return locate_normalized(F.substring(normalize_match(passage), 1, PASSAGE_CHARS), normalize_match(page))
 
 
 # ---------------------------------------------------------------- model replies

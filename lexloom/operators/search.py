@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexloom.functions import scoring, text as T
 from lexloom.operators.ordered import top_k
 from lexloom.operators.rows import computed
+from lexloom.operators.setjoin import similar_sets
 from lexloom.session import checkpoint, fits, small
 
 # a query matrix up to this many bytes is shipped to every executor; beyond it the search is blocked
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
-# query tables up to this size are matched by trigram in one scan of the corpus
-MAX_SCAN_QUERIES = 4096
+MAX_SCAN_QUERIES = 4096  # no longer read: trigrams of any number of queries are matched in one way
 _SLICE = 1024
 
 
@@ -433,74 +433,15 @@ def matches_any(tokens: Column, terms: Column) -> Column:
 
 def trigram_topk(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.3, qid: str = "query_id", qtext: str = "text",
                  cid: str = "chunk_id", ctext: str = "text") -> DataFrame:
-    """Chunks whose trigram set is similar to the query's, best k.
-
-    Set sizes alone rule out a pair when min/max is below the threshold, so chunks outside
-    the range of the query sizes are dropped first.
-    """
-    q = computed(queries.select(F.col(qid).alias("query_id"), F.col(qtext).alias("__x")), "__q", T.trigrams(F.col("__x"))).withColumn("__nq", F.size("__q"))
-    c = computed(corpus.select(F.col(cid).alias("chunk_id"), F.col(ctext).alias("__x")), "__c", T.trigrams(F.col("__x"))).withColumn("__nc", F.size("__c"))
-    span = q.agg(F.struct(F.min("__nq").alias("lo"), F.max("__nq").alias("hi")).alias("s")).scalar()
-    c = c.where((F.col("__nc") >= span["lo"] * threshold) & (F.col("__nc") * threshold <= span["hi"]))
-    sim = _trigram_scan(q, c, threshold) if fits(q, MAX_SCAN_QUERIES) else None
-    if sim is None:
-        sim = _trigram_join(q, c, threshold)
+    """Chunks whose trigram set is similar to the query's, best k: a prefix-filtered set join, see setjoin."""
+    def sets(df, key, text):
+        # named, a trigram is 8 bytes
+        return computed(df.select(F.col(key).alias("id"), F.col(text).alias("__x")), "elements", F.transform(T.trigrams(F.col("__x")), lambda g: F.xxhash64(g))).drop("__x")
+    sim = similar_sets(sets(queries, qid, qtext), sets(corpus, cid, ctext), threshold)
+    sim = sim.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("chunk_id"), F.round("score", 9).alias("score"))
     return top_k(sim, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
-def _trigram_join(q: DataFrame, c: DataFrame, threshold: float) -> DataFrame:
-    """Shared trigrams counted per pair before they are shuffled: one row per pair and task moves."""
-    pairs = (
-        c.select("chunk_id", "__nc", F.explode("__c").alias("__g"))
-        .join(q.select("query_id", "__nq", F.explode("__q").alias("__g")), "__g")
-        .where((F.col("__nc") >= F.col("__nq") * threshold) & (F.col("__nc") * threshold <= F.col("__nq")))
-        .groupBy("query_id", "chunk_id", "__nq", "__nc").agg(F.count(F.lit(1)).alias("__both"))
-    )
-    sim = F.round(F.col("__both") / (F.col("__nq") + F.col("__nc") - F.col("__both")), 9)
-    return pairs.select("query_id", "chunk_id", sim.alias("score")).where(F.col("score") >= threshold)
-
-
-def _trigram_scan(q: DataFrame, c: DataFrame, threshold: float) -> DataFrame | None:
-    """The same for a query table shown to be small: chunks stay where they are, and shared
-    trigrams of all pairs are one product of 0/1 matrices per batch. None when the query
-    matrix would be too large to ship."""
-    got = q.select("query_id", "__q").toArrow()
-    query_ids, sets = got["query_id"], got["__q"].combine_chunks()
-    grams = pc.unique(sets.flatten())
-    if len(sets) * len(grams) * 4 > 4 * BROADCAST_BYTES:
-        return None
-    table, step = _incidence(sets, grams), max(16, 2 ** 24 // max(1, len(grams)))
-    shipped = c.sparkSession.sparkContext.broadcast((query_ids.to_pylist(), grams, table, np.diff(sets.offsets.to_numpy())))
-    names = {"query_id": q.schema["query_id"].dataType, "chunk_id": c.schema["chunk_id"].dataType}
-    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in names.items()) + ", score double"
-    id_type = got.schema.field("query_id").type
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, grams, table, sizes = shipped.value
-        ids = np.array(ids)
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                sets = batch["__c"]
-                both = _incidence(sets, grams) @ table.T
-                lengths = batch["__nc"].to_numpy()[:, None]
-                sims = np.round(both.astype(np.float64) / (lengths + sizes[None, :] - both), 9)
-                row, col = np.nonzero(sims >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[col].tolist(), type=id_type), batch["chunk_id"].take(pa.array(row)), pa.array(sims[row, col])], names=["query_id", "chunk_id", "score"])
-
-    return c.mapInArrow(run, schema)
-
-
-def _incidence(sets: pa.ListArray, values: pa.Array) -> np.ndarray:
-    """0/1 matrix of which value is in which set."""
-    out = np.zeros((len(sets), len(values)), dtype=np.float32)
-    rows = np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
-    cols = pc.index_in(sets.flatten(), value_set=values)
-    known = pc.is_valid(cols).to_numpy(zero_copy_only=False)
-    out[rows[known], cols.drop_null().to_numpy()] = 1.0
-    return out
-
-
 # ------------------------------------------------------------------ fusion
 
 def fuse(semantic: DataFrame, keyword: DataFrame, k: int, rrf_k: int = 60, w_semantic: float = 1.0, w_keyword: float = 1.0) -> DataFrame:

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from lexloom import vocab
 from lexloom.functions import text as T
-from lexloom.operators import chunking as C, context as X, prefilter as P, search as S, tables as TB
+from lexloom.operators import chunking as C, context as X, passages as PG, prefilter as P, search as S, tables as TB
 from lexloom.plans.common import QUESTIONS_SQL, q, query, questions, sql_list, table, texts
-from lexloom.plans.search_catalog import DOCS, QV, bench_queries, corpus, docs, kw_sql, sem_sql
+from lexloom.plans.search_catalog import DOCS, QV, _big, bench_queries, corpus, docs, kw_sql, sem_sql
 from lexloom.sources import files as FS
 
 
@@ -216,6 +216,46 @@ def locate_passages(spark, sf):
     return d.select("query_id", "chunk_id", F.col("l.start").cast("bigint").alias("start"), F.col("l.len").cast("bigint").alias("len"))
 
 
+_STRIPPED = (r"regexp_replace(regexp_replace(regexp_replace({t}, '^(i{{1,3}}|iv|v|vi{{0,3}}|ix|x{{1,3}}|[a-z]|[0-9]+)\s+', '', 'i'), '^[\d.)\]]+\s*', ''), "
+             r"'^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')")
+#: (strategy, phrase, length, condition), strict to lenient
+_PLACES = [
+    ("full", "target", "length(target)", "true"), ("head150", "substring(target, 1, 150)", "least(150, length(target))", "true"),
+    ("head80", "substring(target, 1, 80)", "least(80, length(target))", "true"), ("head40", "substring(target, 1, 40)", "least(3 * least(40, length(target)), length(target))", "true"),
+    ("key_phrase", "key", "least(2 * length(key), 200)", "length(key) > 20"), ("clean200", "substring(clean, 1, 200)", "least(200, length(clean))", "clean <> target"),
+    ("clean80", "substring(clean, 1, 80)", "least(2 * least(80, length(clean)), 150)", "clean <> target"),
+    ("clean40", "substring(clean, 1, 40)", "least(3 * least(40, length(clean)), 150)", "clean <> target"),
+    ("middle", "array_to_string(words[6:15], ' ')", "least(2 * length(array_to_string(words[6:15], ' ')), 200)", "len(words) > 10 AND length(array_to_string(words[6:15], ' ')) > 30"),
+    *[("word_run", f"array_to_string(solid[{i}:{i + 3}], ' ')", f"least(3 * length(array_to_string(solid[{i}:{i + 3}], ' ')), 150)",
+       f"len(solid) - 3 >= {i} AND length(array_to_string(solid[{i}:{i + 3}], ' ')) > 15") for i in range(1, 11)],
+    ("calc", "substring(calc, 1, 60)", "least(2 * least(60, length(calc)), 150)", "length(calc) > 30"),
+    *[("distinctive", q(p), "NULL", f"contains(clean, {q(p)})") for p in vocab.DISTINCTIVE_PHRASES],
+]
+_PLACE_ROWS = " UNION ALL ".join(
+    f"SELECT query_id, {i} AS step, '{name}' AS strategy, {phrase} AS phrase, ({length})::BIGINT AS n FROM parts WHERE {ok}" for i, (name, phrase, length, ok) in enumerate(_PLACES))
+
+
+@query("passage_places", rf"""WITH passages AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL
+    SELECT 1000000 + item_id, (item_id % 9 + 1)::VARCHAR || ') ' || substring(text, item_id % 60 + 1, 45) || ' tail cut off by hand' FROM benchmark UNION ALL
+    SELECT 2000000 + item_id, 'Lead words that no page has: ' || substring(text, item_id % 20 + 8) FROM benchmark),
+t AS (SELECT query_id, substring({_NORM.format(t='text')}, 1, 300) AS target FROM passages), c AS (SELECT *, {_STRIPPED.format(t='target')} AS clean FROM t WHERE target <> ''),
+parts AS (SELECT *, string_split(clean, ' ') AS words, list_filter(string_split(clean, ' '), lambda w: length(w) > 3) AS solid,
+  array_to_string(list_filter(string_split(target, ' '), lambda w: length(w) > 4)[1:5], ' ') AS key,
+  regexp_replace(regexp_replace(regexp_replace(clean, '^[\d\s%x=aed.,()+-]+', '', 'i'), '^(the\s+)?portion\s+of\s+', '', 'i'), '^\s+|\s+$', '', 'g') AS calc FROM c),
+phrases AS ({_PLACE_ROWS}), pages AS (SELECT doc_id AS chunk_id, {_NORM.format(t='text')} AS page FROM documents),
+hits AS (SELECT query_id, chunk_id, step, strategy, instr(page, phrase) - 1 AS start, coalesce(n, least(100, length(page) - instr(page, phrase) + 1)) AS len
+  FROM phrases, pages WHERE phrase <> '' AND contains(page, phrase))
+SELECT query_id, chunk_id, start::BIGINT AS start, len::BIGINT AS len, strategy FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY step) = 1""")
+def passage_places(spark, sf):
+    """Where every benchmark text stands in all documents, whole, cut and with foreign words before it, by any attempt."""
+    b = table(spark, sf, "benchmark")
+    n, text = F.col("item_id"), F.col("text")
+    forms = [(0, text), (1_000_000, F.concat((n % 9 + 1).cast("string"), F.lit(") "), F.substring(text, n % 60 + 1, F.lit(45)), F.lit(" tail cut off by hand"))),
+             (2_000_000, F.concat(F.lit("Lead words that no page has: "), F.substring(text, n % 20 + 8, F.length(text))))]
+    passages = b.select(F.explode(F.array(*[F.struct((n + k).alias("query_id"), t.alias("text")) for k, t in forms])).alias("p")).select("p.*")
+    return _big(PG.locate_passages(passages, docs(spark, sf)), "start", "len")
+
+
 _HIT = "instr(lower(text), 'the')"
 
 
