@@ -1,24 +1,29 @@
-"""Choosing the documents worth searching for a question."""
+"""Choosing the documents worth searching for a question.
+
+Points are a matrix product: a question has a column for every term and phrase it holds, a
+document the points it gives for them. Documents stay where they are; each task finds the asked
+terms in its documents' words, multiplies for one owner after the other, and hands on the best
+documents of every question. Questions of one owner with equal texts are worked out once. What
+is sent to tasks is cut into blocks of questions of bounded size.
+"""
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexloom import vocab
 from lexloom.functions import text as T
 from lexloom.operators.ordered import top_k
-from lexloom.session import checkpoint, fits
-
-try:
-    import ahocorasick
-except ImportError:  # the word join does the same work
-    ahocorasick = None
+from lexloom.session import checkpoint
 
-# terms up to this number are searched by one scan of the texts
-MAX_SCAN_TERMS = 1_000_000
+MAX_SCAN_TERMS = 1_000_000  # no longer read: any number of terms is found in one way
+BLOCK_CELLS = 8 << 20  # cells of a block's question matrix, 4 bytes each
+_SLICE_BYTES = 8 << 20
 
 # fixed values: points per kind of match
 NAME_POINTS, TEXT_POINTS = 10, 5
@@ -31,73 +36,178 @@ def _terms(question: Column) -> Column:
     return F.filter(F.split(F.lower(question), T.WS), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
 
 
-def _term_hits(questions: DataFrame, documents: DataFrame, column: str, points: int) -> DataFrame:
-    """(owner, query_id, document_id, score) for question terms found inside a text column."""
-    asked = questions.select("owner", "query_id", F.explode(_terms(F.col("question"))).alias("term")) \
-        .groupBy("owner", "query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = asked.select("term").distinct()
-    docs = documents.select("owner", "document_id", F.lower(F.col(column)).alias("low"))
-    found = _found_by_scan(docs, terms) if ahocorasick is not None and fits(terms, MAX_SCAN_TERMS) else _found_by_words(docs, terms)
-    return asked.join(found, ["owner", "term"]).groupBy("owner", "query_id", "document_id").agg((F.sum("times") * points).alias("score"))
+class _Terms:
+    """Finds strings without blanks inside words: windows of every asked length, by hash."""
 
+    def __init__(self, terms: list[str]):
+        data = [t.encode() for t in terms]
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(d) for d in data}:
+            mine = np.array([i for i, d in enumerate(data) if len(d) == n], np.int64)
+            hashed = np.array([self._hash(np.frombuffer(data[i], np.uint8), n)[0] for i in mine], np.uint64)
+            order = np.argsort(hashed, kind="stable")
+            self.by_length[n] = hashed[order], mine[order]
 
-def _found_by_scan(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(owner, document_id, term): each text is read once against an automaton of all terms.
+    @staticmethod
+    def _hash(data: np.ndarray, n: int) -> np.ndarray:
+        total = np.zeros(max(0, len(data) - n + 1), np.uint64)
+        for k in range(n):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + data[k:k + len(total)].astype(np.uint64) + np.uint64(1)
+        return total ^ (total >> np.uint64(29))
 
-    The terms, shown to be few, go to every task; documents are not shuffled.
-    """
-    listed = docs.sparkSession.sparkContext.broadcast(terms.toArrow()["term"].to_pylist())
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "low") + ", term string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for term in listed.value:
-            automaton.add_word(term, term)
-        automaton.make_automaton()
-        for pdf in batches:
-            rows = [
-                (owner, doc, term)
-                for owner, doc, low in zip(pdf["owner"], pdf["document_id"], pdf["low"])
-                if low and len(automaton)
-                for term in {t for _, t in automaton.iter(low)}
-            ]
-            yield pd.DataFrame(rows, columns=["owner", "document_id", "term"])
-
-    return docs.mapInPandas(run, schema)
-
-
-def _found_by_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The same for any number of terms.
-
-    A term holds no blank, so it is in a text when it is in one of its blank-separated words.
-    Terms meet the distinct words of the corpus over a shared trigram (terms are at least
-    three characters long); documents then join on whole words.
+    def inside(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, term) pairs, each once, for lower-case texts."""
+        lists = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[\s\x{a0}]+")
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        pair = np.unique(row * max(1, len(coded.dictionary)) + coded.indices.to_numpy().astype(np.int64))
+        row, word = np.divmod(pair, max(1, len(coded.dictionary)))
+        words = [w.encode() + b"\n" for w in coded.dictionary.to_pylist()]
+        ends = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)  # every distinct word once; no term holds the mark between them
+        found_word, found_term = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (hashed, terms) in self.by_length.items():
+            at = self._hash(data, n)
+            spot = np.searchsorted(hashed, at)
+            hit = np.flatnonzero(hashed[np.minimum(spot, len(hashed) - 1)] == at)
+            found_word.append(np.searchsorted(ends, hit, side="right") - 1)
+            found_term.append(terms[spot[hit]])
+        found = np.unique(np.concatenate(found_word) * (1 << 32) + np.concatenate(found_term))
+        held, term = found >> 32, found & 0xFFFFFFFF
+        low, high = np.searchsorted(held, word), np.searchsorted(held, word, side="right")
+        size = high - low
+        spot = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.unique(np.repeat(row, size) * (1 << 32) + term[spot])
+        return both >> 32, both & 0xFFFFFFFF
+
+
+_BLOCK_COLUMNS = ["low_name", "low_text", "phrases", "core", "regulation"]
+
+
+def _phrase_points(name: Column, body: Column) -> Column:
+    """Points a document gives for each fixed phrase."""
+    def points(p):
+        # a phrase in a name may be written with its first blank as a hyphen or underscore
+        forms = sorted({p, p.replace(" ", "-", 1), p.replace(" ", "_", 1)})
+        in_name = F.lit(False)
+        for form in forms:
+            in_name = in_name | name.contains(form)
+        return F.when(in_name, PHRASE_NAME_POINTS).otherwise(0) + F.when(body.contains(p), PHRASE_TEXT_POINTS).otherwise(0)
+    return F.array(*[points(p) for p in vocab.PREFILTER_PHRASES])
+
+
+def _scored(questions: list, owners: dict, terms: list[str], max_docs: int, positive: bool, article_points: bool, arrow: pa.Schema):
+    """Task that scores its documents for a block of questions and hands on the best of each."""
+    code = {t: i for i, t in enumerate(terms)}
+    width = len(terms) + len(vocab.PREFILTER_PHRASES) + 3
+    matrix = np.zeros((len(questions), width), np.float32)
+    for i, (mine, phrases, article) in enumerate(questions):
+        for t, n in mine.items():
+            matrix[i, code[t]] = n
+        matrix[i, len(terms):width - 3] = phrases
+        matrix[i, width - 3:] = (1, 0, 0) if not (article and article_points) else (0, 1, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, best = _Terms(terms), {}
+        for whole in batches:
+            for batch in _slices(whole):
+                points = np.zeros((batch.num_rows, width), np.float32)
+                for column, worth in (("low_name", NAME_POINTS), ("low_text", TEXT_POINTS)):
+                    row, term = finder.inside(batch[column])
+                    points[row, term] += worth
+                points[:, len(terms):width - 3] = batch["phrases"].flatten().to_numpy().reshape(batch.num_rows, -1)
+                core, regulation = (batch[c].to_numpy(zero_copy_only=False).astype(np.float32) for c in ("core", "regulation"))
+                points[:, width - 3], points[:, width - 2], points[:, width - 1] = core * CORE_POINTS, core * CORE_ARTICLE_POINTS, regulation * REGULATION_POINTS
+                coded = batch["owner"].dictionary_encode()
+                for number, owner in enumerate(coded.dictionary.to_pylist()):
+                    mine = owners.get(owner)
+                    if mine is None:
+                        continue
+                    docs = np.flatnonzero(coded.indices.to_numpy(zero_copy_only=False) == number)
+                    score = (matrix[mine] @ points[docs].T).astype(np.int64)
+                    pos = batch["pos"].to_numpy(zero_copy_only=False).astype(np.int64)[docs]
+                    ids = np.array(batch["document_id"].to_pylist(), dtype=object)[docs]
+                    best[owner] = _merge(best.get(owner), score, np.broadcast_to(pos, score.shape), np.broadcast_to(ids, score.shape), max_docs)
+        for owner, (score, pos, ids) in best.items():
+            keep = score > (0 if positive else -1)
+            number = np.repeat(np.array(owners[owner]), keep.sum(axis=1))
+            if len(number):
+                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(ids[keep].tolist(), arrow.field(1).type),
+                                                  pa.array(pos[keep]), pa.array(score[keep])], schema=arrow)
+    return run
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of about _SLICE_BYTES of text."""
+    size = pc.fill_null(pc.binary_length(batch["low_text"]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // _SLICE_BYTES
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if batch.num_rows else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(int(a), int(b - a))
+
+
+def _merge(old, score, pos, ids, k):
+    """The k best columns of every row: high scores first, then low positions."""
+    if old is not None:
+        score, pos, ids = (np.concatenate(x, axis=1) for x in zip(old, (score, pos, ids)))
+    if score.shape[1] > 4 * k:  # few of many: only columns that reach the k-th score are sorted
+        reach = np.partition(score, score.shape[1] - k, axis=1)[:, -k, None]
+        useful = (score >= reach) & (score > 0) | (pos <= np.partition(pos[0], k - 1)[k - 1])
+        used = np.flatnonzero(useful.any(axis=0))
+        score, pos, ids = score[:, used], pos[:, used], ids[:, used]
+    order = np.lexsort((pos, -score), axis=1)[:, :k]
+    return tuple(np.take_along_axis(np.ascontiguousarray(x), order, axis=1) for x in (score, pos, ids))
+
+
+def score_documents(questions: DataFrame, documents: DataFrame, max_docs: int, core: Column, regulation: Column,
+                    positive: bool = True, article_points: bool = True) -> DataFrame:
+    """(owner, question, document_id, pos, score, rank): the best documents of every (owner, question).
+
+    ``questions`` has distinct (owner, question). Without ``positive`` documents without points
+    fill up the list in their order. Rows with null owner or question choose nothing.
     """
-    words = docs.select("owner", "document_id", F.explode(F.array_distinct(F.split("low", T.WS))).alias("word"))
-    vocabulary = words.select("word").where(F.length("word") > 2).distinct()
-    grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))).alias("gram"))
-    keys = terms.withColumn("gram", F.substring("term", 1, 3))
-    holds = grams.join(keys, "gram").where(F.col("word").contains(F.col("term"))).select("word", "term")
-    return words.join(holds, "word").select("owner", "document_id", "term").distinct()
-
-
-def _phrase_hits(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Same for the fixed phrases; only documents and questions holding one take part."""
-    name, body = F.lower("name"), F.lower(F.coalesce("description", F.lit("")))
+    spark = documents.sparkSession
     low = F.lower("question")
-    def held(cols):
-        return F.filter(F.array(*cols), lambda x: x.isNotNull())
-    # a phrase in a name may be written with its first blank as a hyphen or underscore
-    def in_name(p):
-        forms = {p, p.replace(" ", "-", 1), p.replace(" ", "_", 1)}
-        return reduce(lambda a, b: a | b, [name.contains(f) for f in sorted(forms)])
-    asked = questions.select("owner", "query_id", F.explode(held([F.when(low.contains(p), F.lit(p)) for p in vocab.PREFILTER_PHRASES])).alias("phrase"))
-    docs = documents.select("owner", "document_id", F.explode(held([
-        F.when(in_name(p) | body.contains(p), F.struct(F.lit(p).alias("phrase"), (F.when(in_name(p), PHRASE_NAME_POINTS).otherwise(0)
-               + F.when(body.contains(p), PHRASE_TEXT_POINTS).otherwise(0)).alias("points"))) for p in vocab.PREFILTER_PHRASES])).alias("h")) \
-        .select("owner", "document_id", "h.phrase", "h.points")
-    return asked.join(docs, ["owner", "phrase"]).groupBy("owner", "query_id", "document_id").agg(F.sum("points").alias("score"))
+    asked = checkpoint(questions.where("owner IS NOT NULL AND question IS NOT NULL").select(
+        "owner", "question", _terms(F.col("question")).alias("terms"), F.array(*[low.contains(p) for p in vocab.PREFILTER_PHRASES]).alias("phrases"),
+        low.rlike(r"article\s*\d+").alias("article")), "prefilter-questions")
+    body = F.lower(F.coalesce("description", F.lit("")))
+    name = F.lower(F.coalesce("name", F.lit("")))
+    docs = documents.where("owner IS NOT NULL").select(
+        "owner", "document_id", F.col("pos").cast("long").alias("pos"), name.alias("low_name"), body.alias("low_text"), _phrase_points(name, body).alias("phrases"),
+        F.coalesce(core, F.lit(False)).alias("core"), F.coalesce(regulation, F.lit(False)).alias("regulation"))
+    schema = f"question_no int, document_id {documents.schema['document_id'].dataType.simpleString()}, pos bigint, score bigint"
+    from pyspark.sql.pandas.types import to_arrow_type
+    arrow = pa.schema([("question_no", pa.int32()), ("document_id", to_arrow_type(documents.schema["document_id"].dataType)), ("pos", pa.int64()), ("score", pa.int64())])
+    out = None
+    for block in _blocks(asked):
+        terms = sorted({t for r in block for t in r.terms})
+        rows = [(Counter(r.terms), r.phrases, r.article) for r in block]
+        owners: dict = {}
+        for i, r in enumerate(block):
+            owners.setdefault(r.owner, []).append(i)
+        found = checkpoint(docs.mapInArrow(_scored(rows, owners, terms, max_docs, positive, article_points, arrow), schema), "prefilter-scores")
+        best = top_k(found, ["question_no"], [F.col("score").desc(), F.col("pos")], max_docs)
+        named = spark.createDataFrame([(i, r.owner, r.question) for i, r in enumerate(block)], "question_no int, owner " + asked.schema["owner"].dataType.simpleString() + ", question string")
+        part = best.join(named, "question_no").drop("question_no")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = asked.select("owner", "question").join(docs.select("owner", "document_id", "pos").limit(0), "owner").withColumns({"score": F.lit(0).cast("bigint"), "rank": F.lit(1)})
+    return out.select("owner", "question", "document_id", "pos", "score", "rank")
+
+
+def _blocks(asked: DataFrame):
+    """Questions whose matrix has at most BLOCK_CELLS cells together (or one question)."""
+    block, terms, fixed = [], set(), len(vocab.PREFILTER_PHRASES) + 3
+    for row in asked.toLocalIterator():
+        more = terms | set(row.terms)
+        if block and (len(block) + 1) * (len(more) + fixed) > BLOCK_CELLS:
+            yield block
+            block, more = [], set(row.terms)
+        block.append(row)
+        terms = more
+    if block:
+        yield block
 
 
 def is_core(name: Column) -> Column:
@@ -105,6 +215,21 @@ def is_core(name: Column) -> Column:
     return low.contains("federal-decree-law") | (low.contains("corporate tax") & low.contains("general"))
 
 
+def is_core_without_bonus(name: Column) -> Column:
+    """The main law, as the variant that keeps documents without points knows it."""
+    low = F.lower(name)
+    return low.contains("federal-decree-law-no.-47") | low.contains("federal decree-law")
+
+
+def scored_documents(questions: DataFrame, documents: DataFrame, max_docs: int = 10) -> DataFrame:
+    """Variant without fallbacks: the first ``max_docs`` documents by points, those without points too.
+
+    (query_id, document_id, score, rank); questions and documents as in ``prefilter_documents``.
+    """
+    best = score_documents(questions.select("owner", "question").distinct(), documents, max_docs, is_core_without_bonus(F.col("name")), F.lit(False), False, False)
+    return questions.join(best, ["owner", "question"]).select("query_id", "document_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 def prefilter_documents(questions: DataFrame, documents: DataFrame, max_docs: int = 10) -> DataFrame:
     """Up to ``max_docs`` documents per question: (query_id, document_id, score, rank).
 
@@ -116,19 +241,9 @@ def prefilter_documents(questions: DataFrame, documents: DataFrame, max_docs: in
     # read by every step below
     qs = checkpoint(questions.withColumn("__article", F.lower("question").rlike(r"article\s*\d+")), "prefilter-questions")
     name = F.lower("name")
-    core, regulation = is_core(F.col("name")), name.contains("executive regulation")
-    extra = F.when(F.col("__core") & F.col("__article"), CORE_ARTICLE_POINTS).when(F.col("__core"), CORE_POINTS).otherwise(0) \
-        + F.when(F.col("__reg") & F.col("__article"), REGULATION_POINTS).otherwise(0)
-    flags = documents.select("owner", "document_id", "pos", core.alias("__core"), regulation.alias("__reg"))
-    # documents with points for their kind alone: of one kind only an owner's first can be chosen
-    kinds = top_k(flags.where(F.col("__core") | F.col("__reg")), ["owner", "__core", "__reg"], [F.col("pos")], max_docs, "__n").drop("__n")
-    zero = qs.join(kinds, "owner").select("owner", "query_id", "document_id", F.lit(0).cast("bigint").alias("score"))
-    points = _term_hits(qs, documents, "name", NAME_POINTS).unionByName(_term_hits(qs, documents.where(F.col("description").isNotNull()), "description", TEXT_POINTS)) \
-        .unionByName(_phrase_hits(qs, documents)).unionByName(zero).groupBy("owner", "query_id", "document_id").agg(F.sum("score").alias("score"))
-    scored = points.join(flags, ["owner", "document_id"]).join(qs.select("owner", "query_id", "__article"), ["owner", "query_id"]) \
-        .select("owner", "query_id", "document_id", "pos", (F.col("score") + extra).alias("score")).where(F.col("score") > 0)
+    best = score_documents(qs.select("owner", "question").distinct(), documents, max_docs, is_core(F.col("name")), name.contains("executive regulation"))
     # read four times below
-    chosen = checkpoint(top_k(scored, ["query_id"], [F.col("score").desc(), F.col("pos")], max_docs), "prefilter")
+    chosen = checkpoint(qs.join(best, ["owner", "question"]).select("query_id", "document_id", "score", "rank"), "prefilter")
 
     have = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("__have"))
     counted = qs.join(have, "query_id", "left").withColumn("__have", F.coalesce("__have", F.lit(0)))

@@ -157,6 +157,47 @@ def doc_prefilter(spark, sf):
     return P.prefilter_documents(prefilter_questions(spark, sf), _named(spark, sf), 10)
 
 
+# every order asks, in the language of its customer; equal questions of one language have equal answers
+_AQ = f"""{QUESTIONS_SQL}, aq AS (SELECT ['en', 'fr', 'de', 'es'][(owner % 4 + 1)::INT] AS owner, question_id AS query_id, question FROM questions), pq AS (SELECT DISTINCT owner, question FROM aq)"""
+_MAIN = "(contains(lower(name), 'federal-decree-law-no.-47') OR contains(lower(name), 'federal decree-law'))"
+
+
+def all_questions(spark, sf):
+    owner = F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.col("owner") % 4 + 1).cast("int"))
+    return questions(spark, sf).select(owner.alias("owner"), F.col("question_id").alias("query_id"), "question")
+
+
+@query("doc_prefilter_scores", f"""WITH {_AQ}, nd AS (SELECT lang AS owner, doc_id, lower(coalesce(text, '')) AS low, {_NAMES} AS name FROM documents),
+p AS (SELECT owner, question, {_PT} AS terms FROM pq),
+sc AS (SELECT owner, question, doc_id, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(name), t) THEN 10 ELSE 0 END + CASE WHEN contains(low, t) THEN 5 ELSE 0 END)), 0) + {_PH}
+  + CASE WHEN {_MAIN} THEN 5 ELSE 0 END AS score FROM p JOIN nd USING (owner)),
+ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner, question ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10)
+SELECT query_id, doc_id AS document_id, score::BIGINT AS score, rank::BIGINT AS rank FROM aq JOIN ch USING (owner, question)""")
+def doc_prefilter_scores(spark, sf):
+    """The best ten documents of every order's question, also where none has points."""
+    return P.scored_documents(all_questions(spark, sf), _named(spark, sf), 10)
+
+
+@query("doc_prefilter_all", f"""WITH {_AQ}, nd AS (SELECT lang AS owner, doc_id, lower(coalesce(text, '')) AS low, {_NAMES} AS name FROM documents),
+p AS (SELECT owner, question, {_PT} AS terms, regexp_matches(lower(question), 'article\\s*\\d+') AS art FROM pq),
+sc AS (SELECT owner, question, doc_id, art, coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(name), t) THEN 10 ELSE 0 END + CASE WHEN contains(low, t) THEN 5 ELSE 0 END)), 0) + {_PH}
+  + CASE WHEN {_CORE} AND art THEN 50 WHEN {_CORE} THEN 5 ELSE 0 END + CASE WHEN art AND contains(lower(name), 'executive regulation') THEN 30 ELSE 0 END AS score FROM p JOIN nd USING (owner)),
+ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner, question ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10),
+law AS (SELECT owner, doc_id FROM nd WHERE contains(lower(name), 'federal-decree-law') OR contains(lower(name), 'executive regulation')),
+hv AS (SELECT p.owner, p.question, p.art, count(ch.doc_id) AS have FROM p LEFT JOIN ch USING (owner, question) GROUP BY 1, 2, 3),
+tu AS (SELECT owner, question, doc_id, have + n AS rank FROM (SELECT hv.owner, hv.question, law.doc_id, have, row_number() OVER (PARTITION BY hv.owner, hv.question ORDER BY law.doc_id) AS n FROM hv JOIN law USING (owner)
+  WHERE art AND have < 3 AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.owner = hv.owner AND ch.question = hv.question AND ch.doc_id = law.doc_id)) WHERE have + n <= 10),
+al AS (SELECT owner, question, doc_id, score, rank FROM ch UNION ALL SELECT owner, question, doc_id, 0, rank FROM tu),
+fb AS (SELECT * FROM (SELECT owner, doc_id, row_number() OVER (PARTITION BY owner ORDER BY doc_id) AS rank FROM nd WHERE contains(lower(name), 'corporate tax') OR contains(lower(name), 'federal-decree-law')) WHERE rank <= 5),
+fd AS (SELECT * FROM (SELECT owner, doc_id, row_number() OVER (PARTITION BY owner ORDER BY doc_id) AS rank FROM nd WHERE owner NOT IN (SELECT owner FROM fb)) WHERE rank <= 10),
+none AS (SELECT owner, question FROM p EXCEPT SELECT owner, question FROM al),
+fin AS (SELECT * FROM al UNION ALL SELECT owner, question, doc_id, 0, rank FROM none JOIN (SELECT * FROM fb UNION ALL SELECT * FROM fd) USING (owner))
+SELECT query_id, doc_id AS document_id, score::BIGINT AS score, rank::BIGINT AS rank FROM aq JOIN fin USING (owner, question)""")
+def doc_prefilter_all(spark, sf):
+    """Documents for the question of every order, with top-ups and fallbacks."""
+    return P.prefilter_documents(all_questions(spark, sf), _named(spark, sf), 10)
+
+
 @query("page_grouping", """WITH RECURSIVE p AS (SELECT *, sum(t) OVER (PARTITION BY document_id ORDER BY i) AS s FROM (
   SELECT source AS document_id, doc_id AS page_number, ceil(length(text) / 4)::BIGINT AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)),
 b AS (SELECT document_id, CASE WHEN sum(t) <= 5000 THEN sum(t) ELSE ceil((sum(t) / ceil(sum(t) / 5000) + 5000) / 2) END AS budget FROM p GROUP BY 1),
