@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexloom.session import checkpoint
+
 _B = "__bucket"
 
 
@@ -72,6 +74,21 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], out: str, bucket
     return out_df.withColumn(out, F.col(out) + (start - 1))
 
 
+def row_index_by_range(df: DataFrame, keys: list[str], order: list[str], out: str, start: int = 0) -> DataFrame:
+    """Dense position of the row within its key, without buckets known beforehand.
+
+    Rows are sorted by range of (key, order), so a hot key fills many ranges; a range numbers
+    its own rows and one count per key and range is carried on. The result is a table on shared
+    storage.
+    """
+    ranged = checkpoint(df.repartitionByRange(*keys, *order).withColumn(_B, F.spark_partition_id()), "ranges")
+    across = Window.partitionBy(*keys).orderBy(_B)
+    before = ranged.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__rows")).withColumn("__before", F.sum("__rows").over(across) - F.col("__rows")).drop("__rows")
+    inner = Window.partitionBy(*keys, _B).orderBy(*order)
+    numbered = _join_buckets(ranged.withColumn("__inner", F.row_number().over(inner)), before, keys)
+    return numbered.withColumn(out, (F.col("__before") + F.col("__inner") + (start - 1)).cast("bigint")).drop("__before", "__inner", _B)
+
+
 def carry(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
           bucket: Column | None = None, inclusive: bool = True, backward: bool = False) -> DataFrame:
     """Last non-null ``value`` at or before the row (``inclusive``) or strictly before it.

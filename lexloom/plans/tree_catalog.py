@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom import vocab
 from lexloom.operators import ordered, tree as R
-from lexloom.plans.common import query, table, texts
+from lexloom.plans.common import query, sql_list, sql_tokens, table, texts
 from lexloom.plans.index_flow import build_index
+from lexloom.plans.search_catalog import _TERMS
 from lexloom.session import checkpoint
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -201,9 +203,70 @@ def tree_build_index(spark, sf):
     return out.select("document_id", "node_id", "parent_id", "title", "start_index", "end_index", F.md5("text").alias("digest"))
 
 
-@query("section_retrieval")
+_SECTIONS = f"""RECURSIVE {TOC},
+{TREE[len("RECURSIVE ") + len(TOC) + 2:]}, {PAGES},
+qt AS (SELECT item_id AS query_id, text AS question, {_TERMS} AS t FROM benchmark), ask AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term FROM qt),
+np AS (SELECT n.document_id, node_id, any_value(title) AS title, any_value(crumb) AS crumb, any_value(start_index) AS a, any_value(end_index) AS b, string_agg(text || chr(10), '' ORDER BY page_number) AS text
+  FROM num n LEFT JOIN pg ON pg.document_id = n.document_id AND page_number BETWEEN start_index AND end_index GROUP BY 1, 2),
+nw AS (SELECT document_id, node_id, {sql_tokens("title || ' ' || coalesce(text, '')")} AS w FROM np), st AS (SELECT count(*) AS n, avg(len(w)) AS al FROM nw),
+tf AS (SELECT document_id, node_id, dl, term, count(*) AS tf FROM (SELECT document_id, node_id, len(w) AS dl, unnest(w) AS term FROM nw) WHERE term IN (SELECT term FROM ask) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+sc AS (SELECT query_id, document_id, node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))), 6) AS score, count(*) AS n_hit, max(n_terms) AS n_terms
+  FROM ask JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2, 3)"""
+_LEVEL = "CASE WHEN n_hit / n_terms >= 0.75 THEN 'high' WHEN n_hit / n_terms >= 0.4 THEN 'medium' ELSE 'low' END"
+
+
+def _section_questions(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def _sources(df):
+    return _big(df.drop("text"), "rank", "page_start", "page_end")
+
+
+@query("section_retrieval", f"""WITH {_SECTIONS},
+sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, node_id) AS pos FROM sc) WHERE pos <= 5),
+dp AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, document_id) AS document_pos FROM sel GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_pos, pos) AS rank FROM sel JOIN dp USING (query_id, document_id))
+SELECT query_id, rank, document_id, node_id, title, crumb AS section_path, a AS page_start, b AS page_end, {_LEVEL} AS confidence FROM k JOIN np USING (document_id, node_id) WHERE rank <= 5""")
 def section_retrieval(spark, sf):
     """Best sections of the region / nation / customer trees for every benchmark text."""
-    n = checkpoint(R.node_texts(nodes(spark, sf), pages(spark, sf)), "node-texts")
-    qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return R.retrieve_sections(R.select_by_terms(qs, n, 5), n).drop("text")
+    n, p = checkpoint(nodes(spark, sf), "nodes"), pages(spark, sf)
+    return _sources(R.retrieve_from_trees(R.select_sections(_section_questions(spark, sf), n, p, 5), n, p))
+
+
+_ARRIVAL = f"""ar AS (SELECT item_id AS query_id, {_SEGMENTS}[((item_id + 3 * d) % 5 + 1)::INT] AS document_id, d + 1 AS document_pos FROM benchmark, range(0, 3) r(d))"""
+
+
+def _arrival(spark, sf):
+    """Three documents a question may use, in the order they came."""
+    seg = F.array(*[F.lit(x) for x in _SEGMENTS])
+    d = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda d: F.struct(F.get(seg, ((F.col("item_id") + 3 * d) % 5).cast("int")).alias("document_id"), (d + 1).alias("document_pos")))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.inline(d))
+
+
+@query("section_retrieval_allowed", f"""WITH {_SECTIONS}, {_ARRIVAL},
+sel AS (SELECT * FROM (SELECT sc.*, document_pos, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, node_id) AS pos FROM sc JOIN ar USING (query_id, document_id)) WHERE pos <= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_pos, pos) AS rank FROM sel)
+SELECT query_id, rank, document_id, node_id, title, crumb AS section_path, a AS page_start, b AS page_end, {_LEVEL} AS confidence FROM k JOIN np USING (document_id, node_id) WHERE rank <= 5""")
+def section_retrieval_allowed(spark, sf):
+    """Sections of the documents each question may use only, documents in the order they came, two sections each."""
+    n, p, a = checkpoint(nodes(spark, sf), "nodes"), pages(spark, sf), _arrival(spark, sf)
+    return _sources(R.retrieve_from_trees(R.select_sections(_section_questions(spark, sf), n, p, 2, a), n, p, 2, 5, a))
+
+
+_RT = rf"list_filter(regexp_split_to_array(lower(question), '[^A-Za-z0-9_]+'), lambda w: length(w) > 2 AND NOT list_contains({sql_list(vocab.RERANK_STOP_WORDS)}, w))"
+
+
+@query("section_retrieval_reranked", f"""WITH {_SECTIONS}, {_ARRIVAL},
+sel AS (SELECT * FROM (SELECT sc.*, document_pos, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, node_id) AS pos FROM sc JOIN ar USING (query_id, document_id)) WHERE pos <= 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_pos, pos) AS arrived, count(*) OVER (PARTITION BY query_id) AS n_sources FROM sel JOIN np USING (document_id, node_id) JOIN qt USING (query_id)),
+w AS (SELECT *, lower(title || ' ' || crumb || ' ' || coalesce(k.text, '')) AS body, {_RT} AS rt FROM k),
+v AS (SELECT *, regexp_split_to_array(body, '[^A-Za-z0-9_]+') AS words FROM w),
+x AS (SELECT *, round(coalesce(list_sum(list_transform(rt, lambda t: len(list_filter(words, lambda y: y = t)))), 0) / sqrt(length(body)), 9) AS rescore FROM v),
+o AS (SELECT *, CASE WHEN n_sources <= 5 THEN arrived ELSE row_number() OVER (PARTITION BY query_id ORDER BY rescore DESC, arrived) END AS rank FROM x)
+SELECT query_id, rank, document_id, node_id, title, crumb AS section_path, a AS page_start, b AS page_end, {_LEVEL} AS confidence FROM o WHERE rank <= 5""")
+def section_retrieval_reranked(spark, sf):
+    """Three sections of each of a question's documents, the best five by its words."""
+    n, p, a, qs = checkpoint(nodes(spark, sf), "nodes"), pages(spark, sf), _arrival(spark, sf), _section_questions(spark, sf)
+    return _sources(R.retrieve_from_trees(R.select_sections(qs, n, p, 3, a), n, p, 3, 5, a, qs))
