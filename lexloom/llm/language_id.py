@@ -31,10 +31,14 @@ def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_bytes: int
     Learns from a bounded sample of whole texts: of each language the ``sample_texts`` distinct
     texts with the smallest hashes, and of these in that order as many as ``sample_bytes`` hold (at
     least one). Rows with null text or language teach nothing. The sample is drawn from hashes
-    alone, of which each task hands on ``sample_texts`` a language; only chosen texts move.
+    alone: languages are counted first, so that each hands on some four times the sample however
+    large it is, and only chosen texts move.
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("hash"))
-    chosen = top_k(known.select("lang", "hash").distinct(), ["lang"], [F.pmod("hash", F.lit(1 << 30)), F.col("hash")], sample_texts, "n")
+    order = F.pmod("hash", F.lit(1 << 30))
+    share = known.groupBy("lang").agg((F.lit(4.0 * sample_texts * (1 << 30)) / F.approx_count_distinct("hash")).alias("share"))
+    low = known.select("lang", "hash").join(small(share), "lang").where(order < F.col("share")).select("lang", "hash").distinct()
+    chosen = top_k(low, ["lang"], [order, F.col("hash")], sample_texts, "n")
     texts = known.join(small(chosen), ["lang", "hash"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     content: dict[str, list[bytes]] = {}
     for r in texts.orderBy("lang", "n").toLocalIterator():  # the bounded sample, a partition at a time
