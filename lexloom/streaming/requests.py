@@ -172,6 +172,38 @@ def unseen(texts: DataFrame, keys: list[str], ts: str = "ts", ttl: str = "10 min
     return texts.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
+_SEEN = "at_us bigint"
+
+
+def unseen_within(texts: DataFrame, keys: list[str], ttl_us: int, ts: str = "ts") -> DataFrame:
+    """Rows whose key no cache holds: (keys, ts) of the first row of a key, and of the first one at
+    least ``ttl_us`` after the one that was computed last.
+
+    ``texts`` has its watermark. A hit does not lengthen an entry's life. The state of a key is one
+    number and ends with the entry, by a timer in event time.
+    """
+    fields = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys) + f", `{ts}` timestamp"
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [pdf[ts] for pdf in batches]
+        times = pd.concat(parts).sort_values() if parts else pd.Series([], dtype="datetime64[us]")
+        held, found = (state.get[0] if state.exists else None), []
+        for at, us in zip(times, times.astype("datetime64[us]").astype("int64").tolist()):
+            if held is None or us - held >= ttl_us:
+                held = us
+                found.append(at)
+        if held is not None:
+            state.update((held,))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (held + ttl_us) // 1000))
+        if found:
+            yield pd.DataFrame({**{k: [v] * len(found) for k, v in zip(keys, key)}, ts: found})
+
+    return texts.select(*keys, ts).groupBy(*keys).applyInPandasWithState(step, fields, _SEEN, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def of_session(inserts: DataFrame, session: str, column: str = "chat_session_id") -> DataFrame:
     """Insert feed of one session."""
     return inserts.where(F.col(column) == session)
