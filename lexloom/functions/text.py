@@ -291,14 +291,18 @@ def _attempts(target: Column) -> list[tuple[str, Column, Column | None, Column |
     ]
 
 
-#: Attempts whose phrase begins with that of a more lenient one: where they hit, it hits.
-_COVERED = {"full", "head150", "head80", "clean200", "clean80"}
+def passage_attempts(target: Column) -> Column:
+    """Array of (step, strategy, phrase, n): what the attempts look for, steps from strict to lenient.
 
-
-def passage_phrases(target: Column) -> Column:
-    """Array of phrases of which a page holds at least one wherever an attempt hits; empty ones are left out."""
-    phrases = [F.when(F.lit(True) if allowed is None else allowed, phrase) for name, phrase, _, allowed in _attempts(target) if name not in _COVERED]
-    return F.filter(F.array(*phrases), lambda p: p.isNotNull() & (p != ""))
+    ``n`` is the length of the hit, null where it depends on the page; attempts that do not
+    apply, or whose phrase is empty, are left out.
+    """
+    rows = []
+    for step, (name, phrase, n, allowed) in enumerate(_attempts(target)):
+        n = F.lit(None).cast("int") if n is None else n.cast("int")
+        rows.append(F.when((F.lit(True) if allowed is None else allowed) & (phrase != ""), F.struct(
+            F.lit(step).alias("step"), F.lit(name).alias("strategy"), phrase.alias("phrase"), n.alias("n"))))
+    return F.filter(F.array(*rows), lambda r: r.isNotNull())
 
 
 def locate_normalized(target: Column, full: Column, empty: bool = True) -> Column:

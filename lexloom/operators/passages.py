@@ -1,11 +1,11 @@
 """Where passages stand in pages: all pairs of two tables, by every attempt.
 
-A page can hold a passage only if it holds one of the phrases its attempts look for. Phrases
-meet pages by winnowed anchors: of each run of SPAN neighbouring ANCHOR-byte pieces of a text
+Every attempt looks for a phrase of its own. Phrases meet pages by winnowed anchors: of each run of SPAN neighbouring ANCHOR-byte pieces of a text
 the one with the smallest hash is an anchor. Whatever stretch of ANCHOR + SPAN - 1 bytes two
 texts share, they share its anchors. A phrase joins the pages through its rarest anchor alone, so
 boilerplate in a phrase is no key unless all of it is boilerplate. Phrases shorter than a run
-are keys by themselves. Pairs found that way are checked by the attempts on the whole page.
+are keys by themselves. A phrase that may be in a page is looked for in the whole page, once for
+all passages that have it, and the strictest attempt that hits is a pair's place.
 
 Anchors of passages go to tasks in blocks of bounded size; pages hand on the asked anchors only.
 """
@@ -100,38 +100,40 @@ def locate_passages(passages: DataFrame, pages: DataFrame, qid: str = "query_id"
     ``text.locate_passage``. Passages without a letter or digit are located nowhere, and a
     phrase that cleaning leaves empty is no attempt. Ids should be unique; rows without id are left out.
     """
-    mine = checkpoint(passages.where(F.col(qid).isNotNull()).select(
-        F.col(qid).alias("query_id"), F.substring(T.normalize_match(F.col(qtext)), 1, T.PASSAGE_CHARS).alias("target")).where("target <> ''"), "passages")
-    full = pages.where(F.col(cid).isNotNull()).select(F.col(cid).alias("chunk_id"), T.normalize_match(F.col(ctext)).alias("full"))
-    phrases = mine.select("query_id", F.explode(F.array_distinct(T.passage_phrases(F.col("target")))).alias("phrase"))
-    asked = checkpoint(phrases.select("phrase").distinct().mapInArrow(_phrase_anchors, "phrase string, width int, anchors array<bigint>"), "anchors")
+    target = F.substring(T.normalize_match(F.col(qtext)), 1, T.PASSAGE_CHARS)
+    mine = computed(passages.where(F.col(qid).isNotNull()).select(F.col(qid).alias("query_id"), F.col(qtext)), "target", target).where("target <> ''")
+    attempts = checkpoint(mine.select("query_id", F.inline(T.passage_attempts(F.col("target")))), "attempts")
+    full = pages.where(F.col(cid).isNotNull()).select(F.col(cid).alias("chunk_id"), F.col(ctext).alias("__x"))
+    asked = checkpoint(attempts.select("phrase").distinct().mapInArrow(_phrase_anchors, "phrase string, width int, anchors array<bigint>"), "anchors")
     total = asked.agg(F.sum(F.size("anchors"))).first()[0] or 0
     blocks = -(-total // BLOCK_ANCHORS)
     block = F.pmod(F.xxhash64("phrase"), F.lit(max(1, blocks)))
     id_type = full.schema["chunk_id"].dataType.simpleString()
-    pairs = None
+    met = None
     for number in range(blocks):
         part = asked.where(block == number)
         keys = np.unique(part.select(F.explode("anchors").alias("a")).distinct().toArrow()["a"].to_numpy().view(_U64))  # about BLOCK_ANCHORS at most
         widths = [r.width for r in part.where("width > 0").select("width").distinct().collect()]  # 15 at most
-        hits = checkpoint(full.mapInArrow(_asked_in(keys, sorted(widths)), f"chunk_id {id_type}, anchor bigint"), "hits")
-        met = _pairs(hits, part, phrases)
-        pairs = met if pairs is None else pairs.unionByName(met)
-    if pairs is None:
-        return mine.join(full.limit(0), F.lit(True)).select("query_id", "chunk_id", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("strategy")).limit(0)
-    pairs = checkpoint(pairs.distinct(), "pairs")
-    met = computed(pages.where(F.col(cid).isNotNull()).join(pairs.select(F.col("chunk_id").alias(cid)).distinct(), cid, "left_semi"), "full", T.normalize_match(F.col(ctext)))
-    rows = pairs.join(mine, "query_id").join(met.select(F.col(cid).alias("chunk_id"), "full"), "chunk_id")
-    found = rows.select("query_id", "chunk_id", T.locate_normalized(F.col("target"), F.col("full"), empty=False).alias("at"))
-    return found.where("at IS NOT NULL").select("query_id", "chunk_id", "at.start", "at.len", "at.strategy")
-
-
-def _pairs(hits: DataFrame, asked: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) whose page has the rarest anchor of a phrase; phrases with an anchor that no page has are nowhere.
+        normal = full.select("chunk_id", T.normalize_match(F.col("__x")).alias("full"))
+        hits = checkpoint(normal.mapInArrow(_asked_in(keys, sorted(widths)), f"chunk_id {id_type}, anchor bigint"), "hits")
+        more = _met(hits, part)
+        met = more if met is None else met.unionByName(more)
+    if met is None:  # no passage has a phrase
+        return full.limit(0).join(attempts.limit(0), F.lit(True)).select("query_id", "chunk_id", F.lit(0).alias("start"), "n", "strategy").withColumnRenamed("n", "len")
+    met = checkpoint(met, "met")
+    held = computed(full.join(met.select("chunk_id").distinct(), "chunk_id", "left_semi"), "full", T.normalize_match(F.col("__x"))).drop("__x")
+    found = computed(held.join(met, "chunk_id"), "at", F.instr("full", F.col("phrase"))).where("at > 0").select("chunk_id", "phrase", "at", F.length("full").alias("size"))
+    places = found.join(attempts, "phrase").select("query_id", "chunk_id", F.struct(
+        "step", (F.col("at") - 1).alias("start"), F.coalesce("n", F.least(F.lit(100), F.col("size") - F.col("at") + 1)).alias("len"), "strategy").alias("place"))
+    return places.groupBy("query_id", "chunk_id").agg(F.min("place").alias("place")).select("query_id", "chunk_id", "place.start", "place.len", "place.strategy")
+
+
+def _met(hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """(chunk_id, phrase) whose page has the rarest anchor of the phrase; phrases with an anchor that no page has are nowhere.
 
     Both sides are plain tables, so Spark splits the pages of a hot anchor over several tasks.
     """
     spread = hits.groupBy("anchor").agg(F.count(F.lit(1)).alias("pages"))
     placed = asked.select("phrase", F.size("anchors").alias("n"), F.explode("anchors").alias("anchor")).join(spread, "anchor")
     rare = placed.groupBy("phrase", "n").agg(F.min(F.struct("pages", "anchor"))["anchor"].alias("anchor"), F.count(F.lit(1)).alias("known")).where("known = n")
-    return hits.join(checkpoint(rare.select("phrase", "anchor"), "rarest"), "anchor").join(phrases, "phrase").select("query_id", "chunk_id")
+    return hits.join(checkpoint(rare.select("phrase", "anchor"), "rarest"), "anchor").select("chunk_id", "phrase")
