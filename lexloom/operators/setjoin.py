@@ -87,7 +87,8 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     own = _class_sizes(left)
     low, high = min((s[1] for s in own), default=0), max((s[2] for s in own), default=0)
     right = checkpoint(right.where((F.col("size") >= F.lit(low * threshold)) & (F.col("size") * F.lit(threshold) <= high)), "sets")
-    met = [(a, b) for a in own for b in _class_sizes(right) if b[1] * threshold <= a[2] and a[1] * threshold <= b[2]]
+    theirs = _class_sizes(right)
+    met = [(a, b) for a in own for b in theirs if b[1] * threshold <= a[2] and a[1] * threshold <= b[2]]
     shape = "class int, other int, least int"
     of_left = spark.createDataFrame([(a[0], b[0], b[1]) for a, b in met], shape)
     of_right = spark.createDataFrame([(b[0], a[0], a[1]) for a, b in met], shape)
