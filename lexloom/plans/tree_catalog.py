@@ -174,13 +174,25 @@ def _titles(spark, sf, p):
     return b.unionByName(p.select("document_id", (n + 1000).cast("bigint").alias("pos"), F.substring("text", 1, 12).alias("title"), F.when(n % 4 == 0, n + 1).otherwise(n).alias("physical_index")))
 
 
-@query("toc_repair")
+def _repair_round(i: int) -> str:
+    """One round of repair: (document_id, pos, title, physical_index, is_correct) of v{i} into v{i + 1}."""
+    return f"""w{i} AS (SELECT *, coalesce(last_value(CASE WHEN is_correct THEN physical_index END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo) AS a,
+  coalesce(first_value(CASE WHEN is_correct THEN physical_index END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), hi) AS b FROM v{i} JOIN bounds USING (document_id)),
+f{i} AS (SELECT w.document_id, w.pos, min(page_number) AS fixed FROM w{i} w JOIN pn ON pn.document_id = w.document_id AND page_number BETWEEN a AND b AND contains(page, tt) WHERE NOT is_correct GROUP BY 1, 2),
+v{i + 1} AS (SELECT v.document_id, v.pos, v.tt, coalesce(fixed, v.physical_index) AS physical_index, v.is_correct OR fixed IS NOT NULL AS is_correct FROM v{i} v LEFT JOIN f{i} f ON f.document_id = v.document_id AND f.pos = v.pos)"""
+
+
+@query("toc_repair", f"""WITH {PAGES}, pn AS (SELECT document_id, page_number, {_N.format(t='text')} AS page FROM pg), bounds AS (SELECT document_id, min(page_number) AS lo, max(page_number) AS hi FROM pg GROUP BY 1),
+d AS (SELECT document_id, 1000 + page_number AS pos, {_N.format(t='substring(text, 1, 12)')} AS tt, CASE WHEN page_number % 4 = 0 THEN page_number + 1 ELSE page_number END AS physical_index FROM pg),
+v0 AS (SELECT d.document_id, d.pos, d.tt, d.physical_index, coalesce(contains(page, tt), false) AS is_correct FROM d LEFT JOIN pn ON pn.document_id = d.document_id AND page_number = physical_index),
+{_repair_round(0)}, {_repair_round(1)}, {_repair_round(2)}
+SELECT document_id, pos, physical_index, is_correct FROM v3""")
 def toc_repair(spark, sf):
     """Titles one page off move back between their correct neighbours."""
     p = pages(spark, sf)
     v = R.verify_rows(_titles(spark, sf, p).where(F.col("pos") >= 1000), p)
     bounds = p.groupBy("document_id").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
-    return R.repair_rows(v, p, bounds).select("document_id", "pos", "physical_index", "is_correct")
+    return _big(R.repair_rows(v, p, bounds), "physical_index").select("document_id", "pos", "physical_index", "is_correct")
 
 
 @query("toc_preface", """WITH t AS (SELECT source AS document_id, doc_id AS pos, doc_id // 20 + doc_id % 3 + 1 AS physical_index, substring(text, 1, 20) AS title FROM documents),
@@ -192,7 +204,26 @@ def toc_preface(spark, sf):
     return _big(R.add_preface(t).select("document_id", "pos", "title", "physical_index"), "physical_index")
 
 
-@query("tree_build_index")
+# pages with a heading line each, as documents without contents pages; headings that no page checks would stand off are none here
+_HEADED = f"""hp AS (SELECT document_id, page_number, CASE WHEN page_number % 4 = 1 THEN ((page_number - 1) // 4 + 1) || ' Part at page ' || page_number || chr(10)
+  ELSE ((page_number - 1) // 4 + 1) || '.' || page_number || ' Section of page ' || page_number || chr(10) END || text AS text FROM pg),
+ln AS (SELECT document_id, page_number, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM hp),
+hd AS (SELECT document_id, page_number, i, regexp_extract(l, '^\\s*(\\d+(?:\\.\\d+)*)\\.?\\s+(\\S.*)$', 1) AS structure, trim(regexp_extract(l, '^\\s*(\\d+(?:\\.\\d+)*)\\.?\\s+(\\S.*)$', 2)) AS title FROM ln),
+toc AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, i) - 1 AS pos, structure, title, page_number AS physical_index,
+  {_N.format(t='title')} AS tt FROM hd WHERE structure <> ''),
+ends AS (SELECT document_id, max(page_number) AS last_page FROM pg GROUP BY 1),
+flagged AS (SELECT toc.*, starts_with({_N.format(t='hp.text')}, tt) AS opens FROM toc JOIN hp ON hp.document_id = toc.document_id AND hp.page_number = toc.physical_index),
+ranges AS (SELECT f.*, physical_index AS start_index, coalesce(lead(CASE WHEN opens THEN physical_index - 1 ELSE physical_index END) OVER (PARTITION BY f.document_id ORDER BY pos), last_page) AS end_index FROM flagged f JOIN ends USING (document_id)),
+par AS (SELECT c.document_id, c.pos, max(p.pos) AS parent_pos FROM toc c JOIN toc p ON p.document_id = c.document_id AND p.structure = regexp_extract(c.structure, '^(.*)\\.[^.]*$', 1) AND p.pos < c.pos GROUP BY 1, 2),
+nd AS (SELECT r.*, parent_pos FROM ranges r LEFT JOIN par USING (document_id, pos)),
+tr AS (SELECT document_id, pos, title, start_index, end_index, [pos] AS path FROM nd WHERE parent_pos IS NULL
+  UNION ALL SELECT n.document_id, n.pos, n.title, n.start_index, n.end_index, list_append(t.path, n.pos) FROM nd n JOIN tr t ON n.document_id = t.document_id AND n.parent_pos = t.pos),
+num AS (SELECT *, printf('%04d', row_number() OVER (PARTITION BY document_id ORDER BY path) - 1) AS node_id FROM tr),
+tx AS (SELECT n.document_id, node_id, coalesce(string_agg(hp.text || chr(10), '' ORDER BY page_number), '') AS text FROM num n LEFT JOIN hp ON hp.document_id = n.document_id AND page_number BETWEEN start_index AND end_index GROUP BY 1, 2)"""
+
+
+@query("tree_build_index", f"""WITH RECURSIVE {PAGES}, {_HEADED} SELECT a.document_id, a.node_id, b.node_id AS parent_id, a.title, a.start_index, a.end_index, md5(text) AS digest
+FROM num a JOIN tx ON tx.document_id = a.document_id AND tx.node_id = a.node_id LEFT JOIN num b ON a.document_id = b.document_id AND b.path = a.path[1:-2]""")
 def tree_build_index(spark, sf):
     """Whole build over pages with page numbers as headings, since the texts have none."""
     p = pages(spark, sf)
@@ -200,7 +231,7 @@ def tree_build_index(spark, sf):
     head = F.concat(F.floor((F.col("page_number") - 1) / 4 + 1).cast("string"), F.lit("."), number, F.lit(" Section of page "), number, F.lit("\n"))
     head = F.when(F.col("page_number") % 4 == 1, F.concat(F.floor((F.col("page_number") - 1) / 4 + 1).cast("string"), F.lit(" Part at page "), number, F.lit("\n"))).otherwise(head)
     out = build_index(p.withColumn("text", F.concat(head, "text")))
-    return out.select("document_id", "node_id", "parent_id", "title", "start_index", "end_index", F.md5("text").alias("digest"))
+    return _big(out, "start_index", "end_index").select("document_id", "node_id", "parent_id", "title", "start_index", "end_index", F.md5("text").alias("digest"))
 
 
 _SECTIONS = f"""RECURSIVE {TOC},
