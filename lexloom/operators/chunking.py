@@ -100,7 +100,7 @@ def semantic_breaks(sentences: DataFrame, document: str, order: str, vector: str
     document's ``share`` percentile of such distances."""
     prev = ordered.previous_row(sentences, [document], [order], [vector], "__prev", bucket)
     dist = prev.withColumn("distance", F.when(F.col("__prev").isNotNull(), F.round(1 - V.cosine(F.col(vector), F.col(f"__prev.{vector}")), 9))).drop("__prev")
-    cut = ordered.percentiles(dist, [document], "distance", {"__cut": share}, 0.01)
+    cut = ordered.percentiles(dist, [document], "distance", {"__cut": share})
     marked = dist.join(cut, document, "left").withColumn("is_break", F.coalesce(F.col("distance") > F.col("__cut"), F.lit(False)))
     return ordered.running_sum(marked, [document], [order], F.col("is_break").cast("bigint"), "segment", bucket).drop("__cut")
 

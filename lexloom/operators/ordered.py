@@ -74,19 +74,25 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], out: str, bucket
     return out_df.withColumn(out, F.col(out) + (start - 1))
 
 
-def row_index_by_range(df: DataFrame, keys: list[str], order: list[str], out: str, start: int = 0) -> DataFrame:
-    """Dense position of the row within its key, without buckets known beforehand.
+def running_sum_by_range(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` up to and including the row, without buckets known beforehand.
 
-    Rows are sorted by range of (key, order), so a hot key fills many ranges; a range numbers
-    its own rows and one count per key and range is carried on. The result is a table on shared
-    storage.
+    Rows are sorted by range of (key, order), with bounds that Spark draws from the rows, so a
+    hot key fills many ranges; a range adds up its own rows and one sum per key and range is
+    carried on. The result is based on a table on shared storage.
     """
-    ranged = checkpoint(df.repartitionByRange(*keys, *order).withColumn(_B, F.spark_partition_id()), "ranges")
+    ranged = checkpoint(df.withColumn("__value", value).repartitionByRange(*keys, *order).withColumn(_B, F.spark_partition_id()), "ranges")
     across = Window.partitionBy(*keys).orderBy(_B)
-    before = ranged.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__rows")).withColumn("__before", F.sum("__rows").over(across) - F.col("__rows")).drop("__rows")
-    inner = Window.partitionBy(*keys, _B).orderBy(*order)
-    numbered = _join_buckets(ranged.withColumn("__inner", F.row_number().over(inner)), before, keys)
-    return numbered.withColumn(out, (F.col("__before") + F.col("__inner") + (start - 1)).cast("bigint")).drop("__before", "__inner", _B)
+    before = ranged.groupBy(*keys, _B).agg(F.sum("__value").alias("__total")).withColumn("__before", F.sum("__total").over(across) - F.col("__total")).drop("__total")
+    inner = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = _join_buckets(ranged.withColumn("__inner", F.sum("__value").over(inner)), before, keys)
+    return summed.withColumn(out, F.col("__before") + F.col("__inner")).drop("__before", "__inner", "__value", _B)
+
+
+def row_index_by_range(df: DataFrame, keys: list[str], order: list[str], out: str, start: int = 0) -> DataFrame:
+    """Dense position of the row within its key, in the same way."""
+    numbered = running_sum_by_range(df, keys, order, F.lit(1).cast("bigint"), out)
+    return numbered.withColumn(out, F.col(out) + (start - 1))
 
 
 def carry(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
@@ -156,16 +162,19 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     """Exact linear-interpolated percentiles per key.
 
     Equal values are counted first (partial aggregation), the counts are summed in value
-    order bucket by bucket, and only the two rows around each percentile are aggregated:
-    no task holds a key's values.
+    order range by range, whose bounds Spark draws from the values, and only the two rows around
+    each percentile are aggregated: no task holds a key's values, however they are spread.
+    ``width`` is no longer read.
     """
     grid = keys or ["__all"]
     base = df if keys else df.withColumn("__all", F.lit(1))
     counts = base.where(F.col(value).isNotNull()).groupBy(*grid, value).agg(F.count(F.lit(1)).alias("__n"))
-    bucket = F.floor(F.col(value) / width) if width else None
-    upto = running_sum(counts, grid, [value], F.col("__n"), "__upto", bucket)
-    totals = counts.groupBy(*grid).agg(F.sum("__n").alias("__rows"))
-    placed = upto.join(totals, grid)
+    upto = running_sum_by_range(counts, grid, [value], F.col("__n"), "__upto")
+    totals = counts.groupBy(*[F.col(c).alias(f"__key_{i}") for i, c in enumerate(grid)]).agg(F.sum("__n").alias("__rows"))
+    on = F.lit(True)
+    for i, c in enumerate(grid):
+        on = on & F.col(c).eqNullSafe(F.col(f"__key_{i}"))
+    placed = upto.join(totals, on)
     first, last = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
     aggs = []
     for name, share in shares.items():

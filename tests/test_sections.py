@@ -71,3 +71,18 @@ def test_documents_in_order_of_arrival_and_reranked(spark):
         mine = [score(r) for r in sorted((r for r in again if r.query_id == q), key=lambda r: r["rank"])]
         assert len(mine) < 4 or mine == sorted(mine)
     assert R.retrieve_from_trees(selected.limit(0), n, p).count() == 0
+
+
+def test_percentiles_of_a_skewed_key(spark):
+    """One key with nearly all rows, whose values lie in a hair's breadth but for one."""
+    rng = random.Random(6)
+    rows = [("hot", 1 + rng.random() * 1e-9) for _ in range(4000)] + [("hot", 1e12), (None, 3.0), (None, None), ("one", -5.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.k: (r.a, r.b) for r in ordered.percentiles(df, ["k"], "v", {"a": 0.5, "b": 0.95}).collect()}
+    ranged = ordered.running_sum_by_range(df.where("v IS NOT NULL"), ["k"], ["v"], F.lit(1), "n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    values = sorted(v for k, v in rows if k == "hot")
+    assert got["hot"] == (values[2000], values[3800]) and got[None] == (3.0, 3.0) and got["one"] == (-5.0, -5.0)
+    assert {r.n for r in ranged.where("k = 'hot'").collect()} == set(range(1, 4002))
