@@ -22,6 +22,7 @@ from lexloom.session import checkpoint, fits, small
 # a query matrix up to this many bytes is shipped to every executor; beyond it the search is blocked
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
+MAX_LISTED_CELLS = 1000  # probed cells named in the scan's filter
 MAX_SCAN_QUERIES = 4096  # no longer read: trigrams of any number of queries are matched in one way
 _SLICE = 1024
 
@@ -137,13 +138,14 @@ def _scan_broadcast(queries, corpus, cols, qvec, cvec, dim, k, floor, cell, prob
     query_ids, matrix = got[cols["qid"]].to_pylist(), _units(_matrix(got[qvec], dim))
     allowed = None
     if cell:
-        # one row per query and probed cell: bounded by the query table times the probe count
+        # the queries of each probed cell: as many numbers as the query table has probes
         place = {q: i for i, q in enumerate(query_ids)}
         pairs = probes.toArrow()
-        allowed = np.zeros((max(pairs[cell].to_pylist(), default=0) + 1, len(query_ids)), dtype=bool)
+        allowed = {}
         for q, c in zip(pairs["query_id"].to_pylist(), pairs[cell].to_pylist()):
-            allowed[c, place[q]] = True
-        corpus = corpus.where(F.col(cell) < len(allowed))
+            allowed.setdefault(c, []).append(place[q])
+        if len(allowed) <= MAX_LISTED_CELLS:  # cells nobody probes are not read where the corpus is stored by cell
+            corpus = corpus.where(F.col(cell).isin(*sorted(allowed)))
     shipped = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix, allowed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +153,22 @@ def _scan_broadcast(queries, corpus, cols, qvec, cvec, dim, k, floor, cell, prob
         best = _Best(len(ids), k)
         for batch in batches:
             if batch.num_rows:
-                rows = None if mask is None else mask[batch[cell].to_numpy()]
+                rows = None if mask is None else _asked_in(mask, batch[cell].to_numpy(), len(ids))
                 _score(best, m, _matrix(batch[cvec], dim), _ids(batch[cols["cid"]]), floor, rows)
         yield _table(best, ids, arrow)
 
     return corpus.mapInArrow(run, schema)
 
 
+def _asked_in(probes: dict[int, list[int]], cells: np.ndarray, n: int) -> np.ndarray:
+    """Which queries look at each row."""
+    out = np.zeros((len(cells), n), dtype=bool)
+    for c in np.unique(cells).tolist():
+        if c in probes:
+            out[np.ix_(cells == c, probes[c])] = True
+    return out
+
+
 def _block_scorer(cols, qvec, cvec, dim, k, floor, schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -232,6 +243,43 @@ def probe_cells(model, queries: DataFrame, n_probe: int, qid: str = "query_id",
     return source.mapInArrow(run, f"query_id {id_type}, cell int")
 
 
+def nearest_centres(vectors: DataFrame, centres: DataFrame, n: int, vid: str, vvec: str = "embedding", out: str = "cell") -> DataFrame:
+    """(vid, cell) of the ``n`` centres nearest by cosine to each vector; ties go to the smaller centre id.
+
+    centres: cell (int), embedding. Their number grows with the root of a corpus; they go to
+    every task, so their matrix must stay below BROADCAST_BYTES.
+    """
+    held = centres.select("cell", "embedding").orderBy("cell")
+    dim = held.select(F.size("embedding")).first()
+    limit = BROADCAST_BYTES // (8 * max(1, dim[0] if dim else 1))
+    if not fits(held, limit):
+        raise ValueError(f"more than {limit} centres: group the centres into cells of their own first")
+    got = held.toArrow()
+    cells, matrix = got["cell"].to_numpy(), _units(_matrix(got["embedding"], dim[0])) if dim else np.zeros((0, 1))
+    shipped = vectors.sparkSession.sparkContext.broadcast((cells, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, units = shipped.value
+        for batch in batches:
+            if not batch.num_rows or not len(numbers):
+                continue
+            sims = np.round(np.nan_to_num(_units(_matrix(batch[vvec], units.shape[1])), nan=-1.0) @ units.T, 9)
+            near = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+            ids = batch[vid].take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(numbers[near.ravel()].astype(np.int32))], names=[vid, out])
+
+    kind = vectors.schema[vid].dataType.simpleString()
+    return vectors.where(F.col(vvec).isNotNull()).select(vid, vvec).mapInArrow(run, f"{vid} {kind}, {out} int")
+
+
+def cell_topk(queries: DataFrame, corpus: DataFrame, centres: DataFrame, k: int, n_probe: int) -> DataFrame:
+    """Approximate top k over given centres: every chunk belongs to its nearest centre, a query
+    looks into the cells of its ``n_probe`` nearest ones."""
+    members = nearest_centres(corpus, centres, 1, "chunk_id")
+    cells = checkpoint(corpus.join(members, "chunk_id").repartition("cell").sortWithinPartitions("cell"), "cells")
+    return semantic_topk(queries, cells, k, cell="cell", probes=nearest_centres(queries, centres, n_probe, "query_id"))
+
+
 def ann_topk(queries: DataFrame, cells: DataFrame, model, k: int, n_probe: int, **kw) -> DataFrame:
     """Approximate top k: only the cells nearest to a query are scored."""
     probes = probe_cells(model, queries, n_probe, kw.get("qid", "query_id"), kw.get("qvec", "embedding"))

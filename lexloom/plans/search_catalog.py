@@ -5,6 +5,8 @@ queries are all benchmark texts with the vector of theirs.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lexloom import vocab
@@ -119,6 +121,45 @@ def ann_topk_recall(spark, sf):
     return exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
+PROBED = 0.75  # share of the cells a query looks into: the vectors of this table are all but random, fewer cells find under nine of ten
+_CELLS = f"""n AS (SELECT floor(sqrt(count(*)))::BIGINT AS step FROM embeddings), ce AS (SELECT vec_id // step AS cell, embedding::DOUBLE[] AS z FROM embeddings, n WHERE vec_id % step = 0),
+q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS qe FROM benchmark JOIN embeddings ON item_id = vec_id), v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings),
+own AS (SELECT chunk_id, v, cell FROM (SELECT chunk_id, v, cell, row_number() OVER (PARTITION BY chunk_id ORDER BY round(list_cosine_similarity(v, z), 9) DESC, cell) AS r FROM v, ce) WHERE r = 1),
+ask AS (SELECT query_id, qe, cell FROM (SELECT query_id, qe, cell, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qe, z), 9) DESC, cell) AS r FROM q, ce) WHERE r <= (SELECT ceil({PROBED} * count(*)) FROM ce)),
+s AS (SELECT query_id, chunk_id, round(list_cosine_similarity(qe, v), 9) AS similarity FROM ask JOIN own USING (cell)),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s) WHERE rank <= {K})"""
+
+
+def _given_cells(spark, sf):
+    """Evenly spaced vectors as centres, as many as the root of their number."""
+    e = vectors(spark, sf)
+    step = int(e.count() ** 0.5)
+    centres = e.where(F.col("chunk_id") % step == 0).select(F.floor(F.col("chunk_id") / step).cast("int").alias("cell"), "embedding")
+    return centres, math.ceil(PROBED * centres.count())
+
+
+@query("ann_cell_topk", f"WITH {_CELLS} SELECT query_id, chunk_id, similarity, rank FROM near")
+def ann_cell_topk(spark, sf):
+    """The approximate search over given centres, whose number grows with the root of the corpus."""
+    centres, probes = _given_cells(spark, sf)
+    return _big(S.cell_topk(bench_queries(spark, sf), vectors(spark, sf), centres, K, probes), "rank")
+
+
+@query("ann_cell_recall", f"""WITH {_CELLS}, x AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qe, v), 9) DESC, chunk_id) AS rank FROM q, v) WHERE rank <= {K}),
+r AS (SELECT x.query_id, count(near.chunk_id) / count(*) AS recall FROM x LEFT JOIN near ON near.query_id = x.query_id AND near.chunk_id = x.chunk_id GROUP BY 1),
+m AS (SELECT query_id, count(*) AS n_read FROM s GROUP BY 1)
+SELECT query_id, recall, coalesce(n_read, 0) AS n_read FROM r LEFT JOIN m USING (query_id)""")
+def ann_cell_recall(spark, sf):
+    """Share of the exact ten best that it finds, and how many vectors it compares, per query."""
+    e, qs, (centres, probes) = vectors(spark, sf), bench_queries(spark, sf), _given_cells(spark, sf)
+    exact = S.semantic_topk(qs, e, K)
+    near = S.cell_topk(qs, e, centres, K, probes).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    sizes = S.nearest_centres(e, centres, 1, "chunk_id").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    read = S.nearest_centres(qs, centres, probes, "query_id").join(sizes, "cell").groupBy("query_id").agg(F.sum("n").alias("n_read"))
+    recall = exact.join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return recall.join(read, "query_id", "left").withColumn("n_read", F.coalesce("n_read", F.lit(0)))
+
+
 @query("cosine_pairs", """SELECT a.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
 FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id""")
 def cosine_pairs(spark, sf):
