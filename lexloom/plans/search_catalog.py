@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lexloom import vocab
 from lexloom.functions import scoring, text as T, vectors as V
-from lexloom.operators import rerank as R, search as S
+from lexloom.operators import index as IX, rerank as R, search as S
 from lexloom.operators.ordered import top_k
 from lexloom.plans.common import query, sql_list, sql_tokens, table, texts
+from lexloom.session import shared_dir
 
 K = 10
 
@@ -189,6 +190,23 @@ def keyword_search_or(spark, sf):
     return _big(S.keyword_topk(S.query_terms(bench_queries(spark, sf)), docs(spark, sf), K, "or"), "rank")
 
 
+def _indexed(spark, sf, match):
+    path = shared_dir(spark, "index")
+    IX.write_index(docs(spark, sf), path, 32)
+    return _big(IX.keyword_topk(spark, path, S.query_terms(bench_queries(spark, sf)), K, match, 32), "rank")
+
+
+@query("keyword_index_or", f"WITH {QV}, {DOCS}, {kw_sql(K, 'or')} SELECT query_id, chunk_id, score, n_hit, rank FROM kw")
+def keyword_index_or(spark, sf):
+    """The same search from a stored index."""
+    return _indexed(spark, sf, "or")
+
+
+@query("keyword_index_and", f"WITH {QV}, {DOCS}, {kw_sql(K, 'and')} SELECT query_id, chunk_id, score, n_hit, rank FROM kw")
+def keyword_index_and(spark, sf):
+    return _indexed(spark, sf, "and")
+
+
 @query("hybrid_rrf", f"WITH {QV}, {DOCS}, {sem_sql(2 * K)}, {kw_sql(2 * K, 'and')}, {fuse_sql(K)} SELECT query_id, chunk_id, semantic_rank, keyword_rank, rrf_score, rank, source AS file_name FROM fused JOIN cv USING (chunk_id)")
 def hybrid_rrf(spark, sf):
     c = corpus(spark, sf)
