@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import evaluation as E, ordered, rerank as RR, search as S
 from lexloom.plans.common import ANSWERS_SQL, answers, query, table, texts
 from lexloom.plans.search_catalog import DOCS, EV, LC, QV, bench_queries, corpus, doc_vectors, docs, kw_sql, label_centres, sem_sql, vectors
+from lexloom.session import checkpoint
 from lexloom.sources import sinks
 
 
@@ -252,6 +253,21 @@ def topk_compare(spark, sf):
     return E.compare_depths(ranks, "span").withColumns({x: F.round(x, 6) for x in ("hit_small", "hit_large", "improvement")})
 
 
+@query("topk_compare_multi", f"""WITH {QV}, {DOCS}, {_TEXT_REL}, {kw_sql(20, 'or')},
+f AS (SELECT k.query_id, min(k.rank) AS r FROM kw k JOIN al ON al.query_id = k.query_id AND al.chunk_id = k.chunk_id GROUP BY 1),
+m AS (SELECT al.query_id, count(DISTINCT source) > 1 AS multi FROM al JOIN cv USING (chunk_id) GROUP BY 1), g AS (SELECT multi, r FROM m LEFT JOIN f USING (query_id))
+SELECT multi, count(*) AS n, round(avg(coalesce(r <= 10, false)::INT), 6) AS hit_small, round(avg(coalesce(r <= 20, false)::INT), 6) AS hit_large, round(avg(coalesce(r <= 20, false)::INT) - avg(coalesce(r <= 10, false)::INT), 6) AS improvement
+FROM g GROUP BY ROLLUP (multi)""")
+def topk_compare_multi(spark, sf):
+    """Hit rates of texts that several documents answer, and of the others."""
+    qs, c = bench_queries(spark, sf), docs(spark, sf)
+    terms = S.query_terms(qs)
+    relevant = checkpoint(S.keyword_scores(terms, c, "and").select("query_id", "chunk_id"), "relevant")
+    sources = relevant.join(corpus(spark, sf).select("chunk_id", "source"), "chunk_id").groupBy("query_id").agg((F.count_distinct("source") > 1).alias("multi"))
+    ranks = E.first_relevant_rank(S.keyword_topk(terms, c, 20, "or"), relevant, sources).join(sources, "query_id")
+    return E.compare_depths(ranks, "multi").withColumns({x: F.round(x, 6) for x in ("hit_small", "hit_large", "improvement")})
+
+
 @query("rerank_compare", f"""WITH {QV}, {DOCS}, {_TEXT_REL}, {sem_sql(50)}, {kw_sql(50, 'or')},
 a AS (SELECT q.query_id, min(s.rank) AS r FROM qv q LEFT JOIN (SELECT sem.* FROM sem JOIN al ON al.query_id = sem.query_id AND al.chunk_id = sem.chunk_id) s USING (query_id) GROUP BY 1),
 b AS (SELECT q.query_id, min(s.rank) AS r FROM qv q LEFT JOIN (SELECT kw.* FROM kw JOIN al ON al.query_id = kw.query_id AND al.chunk_id = kw.chunk_id) s USING (query_id) GROUP BY 1)
