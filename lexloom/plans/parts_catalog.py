@@ -239,8 +239,9 @@ def sql_functions(spark, sf):
     """The scalar rules as a SQL user calls them."""
     FS.register(spark)
     corpus(spark, sf).where("embedding IS NOT NULL").select("chunk_id", "text", F.col("embedding").cast("array<double>").alias("v")).createOrReplaceTempView("sql_chunks")
+    vectors(spark, sf).select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).createOrReplaceTempView("sql_vectors")
     return spark.sql("""SELECT a.chunk_id AS doc_id, round(cosine_similarity(a.v, b.v), 6) AS similarity, round(rrf_term(a.chunk_id % 20, 60, 0.6D), 9) AS term, estimate_tokens(a.text) AS n_tokens,
-        md5(strip_html('<p>' || a.text || '</p>')) AS plain FROM sql_chunks a JOIN sql_chunks b ON b.chunk_id = a.chunk_id + 1""")
+        md5(strip_html('<p>' || a.text || '</p>')) AS plain FROM sql_chunks a JOIN sql_vectors b ON b.chunk_id = a.chunk_id + 1""")
 
 
 @query("sql_split_cover", r"""SELECT doc_id, md5(regexp_replace(text, '[\x{1c}-\x{1f}\s\p{Z}\x{85}]+', '', 'g')) AS digest, true AS fits FROM documents WHERE length(trim(text)) > 0""")
