@@ -73,7 +73,7 @@ def toxicity_query(spark, sf_dir):
 
 
 _RULES = [
-    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 ]
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in _RULES)
