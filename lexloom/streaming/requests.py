@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -105,44 +107,77 @@ def with_rates(aggregated: DataFrame) -> DataFrame:
 
 
 METRICS = "request_id string, ttft_ms double, stream_ms double, token_count bigint, response_chars bigint, tokens_per_second double, finished boolean"
-_STATE = "start_us bigint, first_us bigint, last_us bigint, n bigint, chars bigint"
+STATE_BUCKETS = 2048  # keys share a state row by hash, so Python is called once per bucket and batch, not once per key
+_ENTRIES = "entries binary"  # the open entries of a bucket, as an Arrow table
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(STATE_BUCKETS)).cast("int")
+
+
+def _entries(state: GroupState) -> list[pd.DataFrame]:
+    return [pa.ipc.open_stream(state.get[0]).read_all().to_pandas()] if state.exists else []
+
+
+def _keep(state: GroupState, entries: pd.DataFrame) -> None:
+    """Stores the entries of a bucket, with a timer at the first of their deadlines (``deadline``, ms)."""
+    if not len(entries):
+        if state.exists:
+            state.remove()
+        return
+    table, sink = pa.Table.from_pandas(entries, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(entries["deadline"].min())))
+
+
+_FOLD = {"start": "min", "first": "min", "last": "max", "n": "sum", "chars": "sum", "done": "max", "seen": "max", "deadline": "max"}
+
+
+def _fold(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts, ignore_index=True).groupby("request_id", dropna=False, sort=False, as_index=False).agg(_FOLD)
 
 
 def request_metrics(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
     """One row per request as soon as its ``[DONE]`` arrives, or after the time-out.
 
-    events: request_id, ts (watermarked), data. State per request is five numbers.
+    events: request_id, ts (watermarked), data. State per request is its id and six numbers; requests
+    share state rows by hash, and those that are open go on or time out one by one.
     """
-    routed = route_events(events).select("request_id", "ts", "kind", F.length("content").cast("bigint").alias("chars"))
+    routed = route_events(events).select("request_id", "ts", "kind", F.length("content").cast("bigint").alias("chars"), _bucket("request_id").alias("__bucket"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, first, last, n, chars = state.get if state.exists else (None, None, None, 0, 0)
-        done = state.hasTimedOut
-        if not done:
-            for pdf in batches:
-                us = pdf["ts"].astype("datetime64[us]").astype("int64")
-                token = (pdf["kind"] == "content").to_numpy()
-                start = min(int(us.min()), start) if start is not None else int(us.min())
-                if token.any():
-                    mine = us[token]
-                    first = min(int(mine.min()), first) if first is not None else int(mine.min())
-                    last = max(int(mine.max()), last) if last is not None else int(mine.max())
-                    n, chars = n + int(token.sum()), chars + int(pdf["chars"][token].sum())
-                done = done or bool((pdf["kind"] == "done").any())
-        if not done:
-            state.update((start, first, last, n, chars))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), start // 1000) + timeout_ms)
+        now, held = state.getCurrentWatermarkMs(), _entries(state)
+        for pdf in () if state.hasTimedOut else batches:
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            token = pdf["kind"] == "content"
+            rows = pd.DataFrame({
+                "request_id": pdf["request_id"].astype(object), "start": us, "first": us.where(token, _HIGH), "last": us.where(token, _LOW), "n": token.astype("int64"),
+                "chars": pdf["chars"].where(token, 0).fillna(0).astype("int64"), "done": pdf["kind"] == "done", "seen": True, "deadline": _LOW})
+            held = [_fold([*held, rows])] if len(rows) else held
+        if not held:
             return
-        timed_out = state.hasTimedOut
-        if state.exists:
-            state.remove()
-        stream = (last - first) / 1000.0 if first is not None else 0.0
-        yield pd.DataFrame([{
-            "request_id": key[0], "ttft_ms": (first - start) / 1000.0 if first is not None else None, "stream_ms": stream, "token_count": n,
-            "response_chars": chars, "tokens_per_second": n / (stream / 1000.0) if stream > 0 else 0.0, "finished": not timed_out,
-        }])
-
-    return routed.groupBy("request_id").applyInPandasWithState(step, METRICS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        d = held[0]
+        # only requests with new events start their time anew
+        fresh = np.maximum(now, d["start"] // 1000) + timeout_ms
+        d["deadline"] = d["deadline"].where(~d["seen"], fresh)
+        over = d["done"] | (~d["seen"] & (d["deadline"] < now))
+        _keep(state, d[~over].assign(seen=False))
+        ended = d[over]
+        if not len(ended):
+            return
+        stream, wait = [], []
+        for start, first, last, n in zip(*(ended[c].tolist() for c in ("start", "first", "last", "n"))):
+            stream.append((last - first) / 1000.0 if n else 0.0)
+            wait.append((first - start) / 1000.0 if n else None)
+        yield pd.DataFrame({
+            "request_id": ended["request_id"].where(ended["request_id"].notna(), None).to_numpy(), "ttft_ms": pd.Series(wait, dtype="float64"), "stream_ms": stream,
+            "token_count": ended["n"].to_numpy(), "response_chars": ended["chars"].to_numpy(),
+            "tokens_per_second": [n / (s / 1000.0) if s > 0 else 0.0 for n, s in zip(ended["n"].tolist(), stream)], "finished": ended["done"].to_numpy()})
+
+    return routed.groupBy("__bucket").applyInPandasWithState(step, METRICS, _ENTRIES, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 LOG_FIELDS = ("requestId string, timestamp timestamp, model string, userId string, ragTotalTimeMs bigint, llmTtftMs bigint, llmTotalTimeMs bigint, "
