@@ -6,12 +6,13 @@ or when its time-out passes.
 """
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -207,36 +208,76 @@ def unseen(texts: DataFrame, keys: list[str], ts: str = "ts", ttl: str = "10 min
     return texts.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-_SEEN = "at_us bigint"
+def _as_text(c: str, kind: T.DataType) -> Column:
+    """A key column as text that tells its value exactly: pandas has no integers with nulls."""
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    return F.to_json(c) if isinstance(kind, (T.StructType, T.ArrayType)) else F.col(c).cast("string")
+
+
+def _from_text(c: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return F.unhex(c)
+    return F.from_json(c, kind) if isinstance(kind, (T.StructType, T.ArrayType)) else F.col(c).cast(kind)
 
 
 def unseen_within(texts: DataFrame, keys: list[str], ttl_us: int, ts: str = "ts") -> DataFrame:
     """Rows whose key no cache holds: (keys, ts) of the first row of a key, and of the first one at
     least ``ttl_us`` after the one that was computed last.
 
-    ``texts`` has its watermark. A hit does not lengthen an entry's life. The state of a key is one
-    number and ends with the entry, by a timer in event time.
+    ``texts`` has its watermark. A hit does not lengthen an entry's life. The state of a key is the
+    key and two numbers and ends with the entry, by a timer in event time; keys share state rows by hash.
     """
-    fields = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys) + f", `{ts}` timestamp"
+    names = [f"__key_{i}" for i in range(len(keys))]
+    fields = ", ".join(f"`{n}` string" for n in names) + ", `__at` timestamp"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        now = state.getCurrentWatermarkMs()
+        parts = [held.assign(fresh=False) for held in _entries(state)]
+        for pdf in () if state.hasTimedOut else batches:
+            us = pdf["__at"].astype("datetime64[us]").astype("int64")
+            parts.append(pdf[names].astype(object).assign(us=us, deadline=_LOW, fresh=True))
+        if not parts:
+            return
+        d = pd.concat(parts, ignore_index=True)
+        if not len(d):
             return
-        parts = [pdf[ts] for pdf in batches]
-        times = pd.concat(parts).sort_values() if parts else pd.Series([], dtype="datetime64[us]")
-        held, found = (state.get[0] if state.exists else None), []
-        for at, us in zip(times, times.astype("datetime64[us]").astype("int64").tolist()):
-            if held is None or us - held >= ttl_us:
-                held = us
-                found.append(at)
-        if held is not None:
-            state.update((held,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (held + ttl_us) // 1000))
+        code = d.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+        us, fresh = d["us"].to_numpy(), d["fresh"].to_numpy()
+        # an entry before its new rows, rows without time last
+        order = np.lexsort((np.where(us == _LOW, _HIGH, us), fresh, code))
+        edges = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0, True]).tolist()
+        times, new, deadline = us[order].tolist(), fresh[order].tolist(), d["deadline"].to_numpy()[order].tolist()
+        found, kept, kept_us, until = [], [], [], []
+        for a, b in zip(edges, edges[1:]):
+            at, i, end = (None, a, deadline[a]) if new[a] else (times[a], a + 1, deadline[a])
+            last = b
+            while last > i and times[last - 1] == _LOW:
+                last -= 1
+            if i < b:
+                if at is None:
+                    at = times[i]
+                    found.append(i)
+                    i += 1
+                while (i := bisect_left(times, at + ttl_us, min(i, last), last)) < last:
+                    at = times[i]
+                    found.append(i)
+                    i += 1
+                end = max(now + 1, (at + ttl_us) // 1000)
+            elif end < now:
+                continue
+            kept.append(a)
+            kept_us.append(at)
+            until.append(end)
+        _keep(state, d[names].iloc[order[kept]].assign(us=np.array(kept_us, np.int64), deadline=np.array(until, np.int64)))
         if found:
-            yield pd.DataFrame({**{k: [v] * len(found) for k, v in zip(keys, key)}, ts: found})
+            hits = d[names].iloc[order[found]].reset_index(drop=True)
+            yield hits.where(hits.notna(), None).assign(__at=us[order[found]].astype("datetime64[us]"))
 
-    return texts.select(*keys, ts).groupBy(*keys).applyInPandasWithState(step, fields, _SEEN, "append", GroupStateTimeout.EventTimeTimeout)
+    kinds = {k: texts.schema[k].dataType for k in keys}
+    rows = texts.select(*[_as_text(k, kinds[k]).alias(n) for k, n in zip(keys, names)], F.col(ts).alias("__at"))
+    got = rows.withColumn("__bucket", _bucket(*names)).groupBy("__bucket").applyInPandasWithState(step, fields, _ENTRIES, "append", GroupStateTimeout.EventTimeTimeout)
+    return got.select(*[_from_text(n, kinds[k]).alias(k) for k, n in zip(keys, names)], F.col("__at").alias(ts))
 
 
 def of_session(inserts: DataFrame, session: str, column: str = "chat_session_id") -> DataFrame:
