@@ -24,6 +24,8 @@ from lexloom.session import checkpoint
 MAX_SCAN_TERMS = 1_000_000  # no longer read: any number of terms is found in one way
 BLOCK_CELLS = 8 << 20  # cells of a block's question matrix, 4 bytes each
 _SLICE_BYTES = 8 << 20
+_POINT_CELLS = 16 << 20  # cells of a part's points, 4 bytes each
+_SCORE_CELLS = 1 << 20  # (question, document) scores worked on at once
 
 # fixed values: points per kind of match
 NAME_POINTS, TEXT_POINTS = 10, 5
@@ -110,7 +112,7 @@ def _scored(questions: list, owners: dict, terms: list[str], max_docs: int, posi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, best = _Terms(terms), {}
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, max(1, _POINT_CELLS // width)):
                 points = np.zeros((batch.num_rows, width), np.float32)
                 for column, worth in (("low_name", NAME_POINTS), ("low_text", TEXT_POINTS)):
                     row, term = finder.inside(batch[column])
@@ -124,10 +126,14 @@ def _scored(questions: list, owners: dict, terms: list[str], max_docs: int, posi
                     if mine is None:
                         continue
                     docs = np.flatnonzero(coded.indices.to_numpy(zero_copy_only=False) == number)
-                    score = (matrix[mine] @ points[docs].T).astype(np.int64)
                     pos = batch["pos"].to_numpy(zero_copy_only=False).astype(np.int64)[docs]
+                    order = np.argsort(pos, kind="stable")
+                    docs, pos = docs[order], pos[order]
                     ids = np.array(batch["document_id"].to_pylist(), dtype=object)[docs]
-                    best[owner] = _merge(best.get(owner), score, np.broadcast_to(pos, score.shape), np.broadcast_to(ids, score.shape), max_docs)
+                    step = max(max_docs, _SCORE_CELLS // len(mine))
+                    for a in range(0, len(docs), step):
+                        score = (matrix[mine] @ points[docs[a:a + step]].T).astype(np.int64)
+                        best[owner] = _merge(best.get(owner), score, pos[a:a + step], ids[a:a + step], max_docs)
         for owner, (score, pos, ids) in best.items():
             keep = score > (0 if positive else -1)
             number = np.repeat(np.array(owners[owner]), keep.sum(axis=1))
@@ -137,26 +143,30 @@ def _scored(questions: list, owners: dict, terms: list[str], max_docs: int, posi
     return run
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of about _SLICE_BYTES of text."""
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of about _SLICE_BYTES of text and at most ``rows`` rows."""
     size = pc.fill_null(pc.binary_length(batch["low_text"]), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // _SLICE_BYTES
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if batch.num_rows else []
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-        yield batch.slice(int(a), int(b - a))
+        for c in range(int(a), int(b), rows):
+            yield batch.slice(c, min(rows, int(b) - c))
 
 
 def _merge(old, score, pos, ids, k):
-    """The k best columns of every row: high scores first, then low positions."""
+    """The k best columns of every row: high scores first, then low positions.
+
+    The new columns come in the order of their positions, so a column's number breaks ties.
+    """
+    n = score.shape[1]
+    at = np.broadcast_to(np.arange(n), score.shape)
+    if n > k:
+        at = np.sort(np.argpartition(score * -n + at, k - 1, axis=1)[:, :k], axis=1)
+    score, pos, ids = np.take_along_axis(score, at, axis=1), pos[at], ids[at]
     if old is not None:
         score, pos, ids = (np.concatenate(x, axis=1) for x in zip(old, (score, pos, ids)))
-    if score.shape[1] > 4 * k:  # few of many: only columns that reach the k-th score are sorted
-        reach = np.partition(score, score.shape[1] - k, axis=1)[:, -k, None]
-        useful = (score >= reach) & (score > 0) | (pos <= np.partition(pos[0], k - 1)[k - 1])
-        used = np.flatnonzero(useful.any(axis=0))
-        score, pos, ids = score[:, used], pos[:, used], ids[:, used]
     order = np.lexsort((pos, -score), axis=1)[:, :k]
-    return tuple(np.take_along_axis(np.ascontiguousarray(x), order, axis=1) for x in (score, pos, ids))
+    return tuple(np.take_along_axis(x, order, axis=1) for x in (score, pos, ids))
 
 
 def score_documents(questions: DataFrame, documents: DataFrame, max_docs: int, core: Column, regulation: Column,
