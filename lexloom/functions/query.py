@@ -96,7 +96,12 @@ def _rules(query: Column, found: Column) -> Column:
 
 def intent_stage(query: Column) -> Column:
     """Struct intent, confidence, action, topic of the rule stages; intent null when a model must decide."""
-    return T.let(topic_keywords(query), lambda found: _rules(query, found))
+    return T.let(topic_keywords(query), lambda found: intent_of(query, found))
+
+
+def intent_of(query: Column, found: Column) -> Column:
+    """``intent_stage`` for topic words that are worked out already."""
+    return _rules(query, found)
 
 
 def intent_with_model(query: Column, model: Column) -> Column:

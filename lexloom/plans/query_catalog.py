@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexloom import vocab
 from lexloom.functions import query as Q, text as T
+from lexloom.operators.rows import computed
 from lexloom.plans.common import QUESTIONS_SQL, WS_SQL, q, query, questions, sql_list, sql_trim
 
 
@@ -118,8 +119,9 @@ SELECT question_id, array_to_string(found, ', ') AS topics,
   CASE WHEN {_CODE} THEN 'programming' WHEN {_VATQ} THEN 'VAT/indirect tax' ELSE found[1] END AS topic
 FROM t""")
 def query_topic_intent(spark, sf):
-    d = questions(spark, sf).withColumn("s", Q.intent_stage(F.col("question")))
-    return d.select("question_id", F.array_join(Q.topic_keywords(F.col("question")), ", ").alias("topics"),
+    d = computed(questions(spark, sf), "found", Q.topic_keywords(F.col("question")))
+    d = computed(d, "s", Q.intent_of(F.col("question"), F.col("found")))
+    return d.select("question_id", F.array_join("found", ", ").alias("topics"),
                     F.coalesce("s.intent", F.lit("undecided")).alias("intent"), "s.topic")
 
 
