@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexloom import vocab
 from lexloom.functions import citations as C
+from lexloom.operators.rows import computed
 from lexloom.plans.common import ANSWERS_SQL, answers, q, query, sql_list, sql_trim
 
 _MARKS = r"list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda n: n::BIGINT)"
@@ -94,5 +95,5 @@ s AS (SELECT question_id, 40 - CASE WHEN clustered THEN 15 ELSE 0 END - CASE WHE
   30 - CASE WHEN words < 50 THEN 15 ELSE 0 END - CASE WHEN NOT contains(answer, chr(10)) AND words > 100 THEN 5 ELSE 0 END AS co FROM k)
 SELECT question_id, (cq + kf + co)::BIGINT AS score, cq::BIGINT AS citation_quality, kf::BIGINT AS key_figures, co::BIGINT AS completeness FROM s""")
 def quality_score(spark, sf):
-    d = answers(spark, sf).withColumn("s", C.quality_score(F.col("question"), F.col("answer"), F.col("n_sources")))
+    d = computed(answers(spark, sf), "s", C.quality_score(F.col("question"), F.col("answer"), F.col("n_sources")))
     return d.select("question_id", *[F.col(f"s.{c}").cast("bigint").alias(c) for c in ("score", "citation_quality", "key_figures", "completeness")])
