@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from lexloom.operators import tree as R
-from lexloom.session import checkpoint
+from lexloom.session import checkpoint, small
 
 
 def build_index(pages: DataFrame, regenerate: Callable[[DataFrame], DataFrame] = R.headings, keep_text: bool = True,
@@ -19,15 +19,16 @@ def build_index(pages: DataFrame, regenerate: Callable[[DataFrame], DataFrame] =
     """
     pages = checkpoint(pages, "pages")
     bounds = pages.groupBy(R.DOC).agg(F.lit(1).alias("first_page"), F.max("page_number").alias("last_page"), F.max("page_number").alias("n_pages"))
-    marked = R.toc_pages(pages, R.looks_like_toc(F.col("text")))
-    toc_text = pages.join(marked, [R.DOC, "page_number"], "left_semi")
+    # a few pages a document, so texts are not shuffled to find them
+    marked = checkpoint(R.toc_pages(pages, R.looks_like_toc(F.col("text"))), "toc-pages")
+    toc_text = pages.join(small(marked), [R.DOC, "page_number"], "left_semi")
     toc = checkpoint(R.toc_rows(toc_text), "toc-rows")
     last = marked.groupBy(R.DOC).agg(F.max("page_number").alias("last_toc_page"))
-    body = pages.join(last, R.DOC).where(F.col("page_number") > F.col("last_toc_page"))
+    body = pages.join(small(last), R.DOC).where(F.col("page_number") > F.col("last_toc_page"))
     found = regenerate(body.select(*pages.columns))
     placed = R.add_physical_indices(toc, found.select(R.DOC, "title", "physical_index"), last)
     without = pages.select(R.DOC).distinct().join(toc.select(R.DOC).distinct(), R.DOC, "left_anti")
-    fresh = regenerate(pages)
+    fresh = checkpoint(regenerate(pages), "fresh")  # used twice
     rows = placed.select(R.DOC, "pos", "structure", "title", F.col("physical_index").cast("int")) \
         .unionByName(fresh.join(without, R.DOC, "left_semi").select(R.DOC, "pos", "structure", "title", F.col("physical_index").cast("int")))
     valid = R.valid_rows(rows, bounds.select(R.DOC, "n_pages"))
