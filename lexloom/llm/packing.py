@@ -8,12 +8,16 @@ After each epoch the best packings of an island move to the next island of the s
 """
 from __future__ import annotations
 
+import json
 import os
 import random
+import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexloom.llm import words
@@ -27,29 +31,106 @@ GENERATIONS = 8  # of an epoch
 POPULATION = 6
 ELITES = 2  # packings that move on
 CACHED_WORDS = 600_000
+JOINED_WORDS = 256  # encoded in one call
 SLICE_BYTES = 16 << 20
 END = 0  # id after every document
 
+#: a normalizer and pre-tokenizer that fold case, keep no white space and encode letters and punctuation apart
+_FOLDED = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_RUNS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Latin and Cyrillic letters that normalization leaves alone and whose small form is one letter, then ASCII punctuation
+_CUT = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-įı-ɏЀ-ҁ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+
 
 class WordIds:
-    """Token ids of blank-separated words; the tokenizer never joins characters across white space."""
+    """Token ids of blank-separated words; the tokenizer never joins characters across white space.
+
+    Where the tokenizer's file says that case does not matter and that letters and punctuation are
+    encoded apart, words are looked up as a stem in small letters and the punctuation behind it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, np.ndarray] = {}
+        self._last = _last_tokens(path)
+        self._known: dict[str, int] = {}  # part of a word -> its place in _sizes
+        self._ids, self._sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def of(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, number of ids of each word)."""
-        words_ = vocabulary.to_pylist()
-        known = self._known
-        new = [w for w in words_ if w not in known]
-        fresh = {w: np.array(e.ids, np.uint32) for w, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        found = [known[w] if w in known else fresh[w] for w in words_]
-        if len(known) + len(fresh) <= CACHED_WORDS:
-            known.update(fresh)
+        if self._last is None:
+            stems, tails = vocabulary, pa.array([], vocabulary.type)
+        else:
+            cut = pc.extract_regex(vocabulary, _CUT)
+            stems, tails = pc.coalesce(pc.ascii_lower(pc.struct_field(cut, "stem")), vocabulary), pc.coalesce(pc.struct_field(cut, "tail"), "")
+        stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
+        before = len(self._known), self._ids, self._sizes
+        parts = self._places(stems.dictionary)[stems.indices.to_numpy()]
+        if len(tails):
+            parts = np.c_[parts, self._places(tails.dictionary)[tails.indices.to_numpy()]].ravel()
+        sizes = self._sizes[parts]
+        flat = _gathered(self._ids, (np.cumsum(self._sizes) - self._sizes)[parts], sizes)
+        if len(self._known) > CACHED_WORDS:  # what this call added is forgotten
+            self._known = dict(islice(self._known.items(), before[0]))
+            self._ids, self._sizes = before[1:]
+        return flat, sizes.reshape(len(vocabulary), -1).sum(axis=1) if len(vocabulary) else sizes
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        parts, known = parts.to_pylist(), self._known
+        new = [w for w in parts if w not in known]
+        letters = [w for w in new if w.isalpha()] if self._last is not None else []
+        others = [w for w in new if not w.isalpha()] if self._last is not None else new
+        ids, sizes = [self._ids], [self._sizes]
+        for some, (got, lengths) in chain(self._together(letters), self._alone(others)):
+            known.update(zip(some, range(len(known), len(known) + len(some))))
+            ids.append(got)
+            sizes.append(lengths)
+        self._ids, self._sizes = np.concatenate(ids), np.concatenate(sizes)
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+
+    def _alone(self, some: list[str]):
+        """(words, (ids of all, number of ids of each)), every word encoded by itself."""
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), lengths
+        yield some, (np.fromiter(chain.from_iterable(found), np.uint32, lengths.sum()), lengths)
+
+    def _together(self, letters: list[str]):
+        """The same, encoded many at a time. Every word ends in a token that can only be a last one,
+        so as many of these as words means one for each."""
+        groups = [letters[i:i + JOINED_WORDS] for i in range(0, len(letters), JOINED_WORDS)]
+        for some, found in zip(groups, self._tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self._last[ids])
+            if len(ends) == len(some):
+                yield some, (ids, np.diff(ends, prepend=-1))
+            else:  # some word is more than one run of letters to the tokenizer
+                yield from self._alone(some)
+
+
+def _last_tokens(path: str) -> np.ndarray | None:
+    """Which ids end a run of characters that is encoded by itself; None if the file does not say so of letters."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+    if (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"]) != (_FOLDED, _RUNS, None) or model["type"] != "BPE" or not suffix or suffix.isalpha():
+        return None
+    from tokenizers.pre_tokenizers import ByteLevel
+    if any(c + end not in model["vocab"] for c in ByteLevel.alphabet() for end in ("", suffix)):
+        return None  # characters could be lost
+    if not all(re.match(r"[!-/:-@\[-`{-~]+[A-Za-z]", t["content"]) for t in spec["added_tokens"]):
+        return None  # a special token could lie in a stem and its tail
+    last = np.zeros(max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1, bool)
+    last[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+    return last
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[starts[i]:starts[i] + sizes[i]] of every i, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 _tokenizers: dict[str, WordIds] = {}  # one per worker process
@@ -66,11 +147,9 @@ def document_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     flat = np.r_[flat, np.uint32(END)].astype(np.uint32)
     lengths = np.r_[lengths, 1]
     codes = np.insert(codes, bounds[1:], len(vocabulary))  # the end mark is one more word
-    starts = np.cumsum(lengths) - lengths
     size = lengths[codes]
-    ends = np.cumsum(size)
-    ids = flat[np.repeat(starts[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-    return ids, np.r_[0, ends][bounds + np.arange(len(bounds))]
+    ids = _gathered(flat, (np.cumsum(lengths) - lengths)[codes], size)
+    return ids, np.r_[0, np.cumsum(size)][bounds + np.arange(len(bounds))]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
