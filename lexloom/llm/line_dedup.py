@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.operators.rows import computed
-from lexloom.session import checkpoint
+from lexloom.session import checkpoint, settled
 
 MIN_LINES = 2
 _SUFFIX = ["doc_id", "text_hash", "place"]
@@ -119,6 +119,10 @@ def intervals(suffixes: DataFrame) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """Where a later copy of ``min_lines`` repeated lines starts: (doc_id, places), and singles, the long lines that are later copies."""
+    return settled(docs.sparkSession, lambda: (_copies(docs, min_lines, long_words),), "copies")[0]
+
+
+def _copies(docs: DataFrame, min_lines: int, long_words: int | None) -> DataFrame:
     suffixes = repeated_suffixes(docs, min_lines, long_words)
     shared = checkpoint(intervals(suffixes), "intervals")
     # both sides are plain tables: Spark splits a hot interval over several tasks

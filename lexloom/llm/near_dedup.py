@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexloom.llm import words
-from lexloom.session import checkpoint
+from lexloom.session import checkpoint, settled
 
 SHINGLE = 5
 ROWS = 4
@@ -314,9 +314,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gives no rows.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return settled(docs.sparkSession, lambda: (_linked(docs, percent),), "components")[0]
+
+
+def _sets_and_classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_id) of every document, and the distinct sets with what they are compared by."""
     marked = checkpoint(signatures(docs, percent), "signatures")
-    classes = checkpoint(marked.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("c"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = marked.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(
+        F.min("doc_id").alias("c"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    return marked.select("doc_id", "n_shingles", "set_id"), classes
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
+    marked, classes = settled(docs.sparkSession, lambda: _sets_and_classes(docs, percent), "sets", "classes")
     banded = classes.select(F.explode("bands").alias("key"), "c", "n")
     leads = banded.groupBy("key").agg(F.min("c").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     sizes = classes.select(F.col("c").alias("leader"), F.col("n").alias("leader_n"))
